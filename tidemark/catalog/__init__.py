@@ -8,6 +8,7 @@ FAMILIES = [
     "projections",
     "scorecard",
     "health",
+    "timeseries",
 ]
 
 

@@ -19,14 +19,15 @@ def _single(s, d):
     return T.conns(s, d).withColumn("region", F.lit(None).cast("string"))
 
 
-def _cap(s, d, conns=T.conns):
+def _cap(s, d, builders, conns=T.conns):
     o, c, sm = T.ops(s, d), conns(s, d), T.samples(s, d)
-    floored = FL.with_floors(o, c, FL.pooled_floor(c, sm))
-    return H.with_capture(H.op_facts(floored), o, c, sm)
+    needs = {H.NEEDS[b] for b in builders if b in H.NEEDS}
+    judged = FL.with_floors(o, c, FL.pooled_floor(c, sm)) if "tails" in needs else o
+    return H.with_capture(H.op_facts(judged, needs=needs), o, c, sm)
 
 
 def _rows(*builders, conns=T.conns):
-    return lambda s, d: FD.flatten(H.rows(_cap(s, d, conns), list(builders)))
+    return lambda s, d: FD.flatten(H.rows(_cap(s, d, builders, conns), list(builders)))
 
 
 def _classes(conns=T.conns):
@@ -41,6 +42,9 @@ def _report(conns=T.conns):
     return lambda s, d: H.report(T.ops(s, d), conns(s, d), T.samples(s, d))
 
 
+_GLOBAL = [H.floor_row, H.span_rows, H.retransmit_row, H.http_error_row]
+
+
 def _medians(s, d):
     return exact_quantiles(
         T.ops(s, d),
@@ -72,7 +76,8 @@ def _baseline_ops(s, d):
 def _runs(s, d):
     c, sm = _single(s, d), T.samples(s, d)
     cur, base = T.ops(s, d), _baseline_ops(s, d)
-    return cur, H.report(cur, c, sm), base, H.report(base, c, sm), c
+    # a report is a few dozen rows: cut its lineage once, then compare the two tables
+    return cur, H.report(cur, c, sm).checkpoint(), base, H.report(base, c, sm).checkpoint(), c
 
 
 def _diff(s, d):
@@ -116,7 +121,7 @@ QUERIES = {
     "agg15_tail_rows": _rows(H.tail_rows),
     "agg16_row_populations": lambda s, d: H.op_facts(_classes()(s, d)).select(
         "total", "good", "nonpartial", "answered", "cand_dns", "cand_tcp", "cand_new", "cand_reused", "cand_tput",
-        *[F.col(f"q.{n}").alias(n) for n in ("n_dns", "n_tcp", "n_new_ns", "n_reused_ns", "n_tput", "n_new_jms", "n_reused_jms")],
+        *[F.col(f"q.{n}").alias(n) for n in ("n_dns", "n_tcp", "n_new_ns", "n_reused_ns", "n_tput", "n_new_jns", "n_reused_jns")],
     ),
     "agg18_agg23_path_rows": lambda s, d: FD.flatten(
         H.path_rows(H.conn_facts(T.conns(s, d)), capture_window(T.ops(s, d), T.conns(s, d), T.samples(s, d)))
@@ -125,7 +130,7 @@ QUERIES = {
     "agg26_environment": lambda s, d: H.environment(_single(s, d), FL.pooled_floor(T.conns(s, d), T.samples(s, d))).select(
         "env", "confidence", "rtt_ms", "n"
     ),
-    "agg27_row_verdict": lambda s, d: H.row_verdict(H.rows(_cap(s, d), H.OP_ROWS)),
+    "agg27_row_verdict": lambda s, d: H.row_verdict(H.rows(_cap(s, d, _GLOBAL), _GLOBAL)),
     "agg28_overall_verdict": _verdict(T.conns),
     "agg29_health_report": lambda s, d: FD.flatten(_report()(s, d)),
     "agg29_health_report_one_path": lambda s, d: FD.flatten(_report(_single)(s, d)),
@@ -379,7 +384,7 @@ ORACLES = {
     "agg14_get_throughput": _rows_sql(R_TPUT),
     "agg15_tail_rows": _rows_sql(R_TAIL),
     "agg16_row_populations": f"""{floors_sql()}, {facts_sql()} SELECT total, good_n AS good, nonpartial, answered, cand_dns, cand_tcp, cand_new, cand_reused, cand_tput,
- n_dns, n_tcp, n_new AS n_new_ns, n_reused AS n_reused_ns, n_tput, j_new AS n_new_jms, j_reused AS n_reused_jms FROM fc""",
+ n_dns, n_tcp, n_new AS n_new_ns, n_reused AS n_reused_ns, n_tput, j_new AS n_new_jns, j_reused AS n_reused_jns FROM fc""",
     "agg18_agg23_path_rows": f"{floors_sql()}, {PATH} " + " UNION ALL ".join(R_PATH),
     "agg25_multi_path": f"{floors_sql()} SELECT mixed FROM mix",
     "agg26_environment": f"""{floors_sql(ONE_PATH)}, {ENV} SELECT cls AS env, CASE WHEN cls IN ('mixed', 'cross-region') THEN 'high'

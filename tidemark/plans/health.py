@@ -44,45 +44,42 @@ def good() -> Column:
     return C.timeable()
 
 
-def op_facts(ops: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """One row: counts and order statistics of the requests (which carry ``floor_us``)."""
+def op_facts(ops: DataFrame, cfg: Config = DEFAULT, needs: set[str] = frozenset({"spans", "tails", "tput"})) -> DataFrame:
+    """One row: counts and order statistics of the requests.
+
+    ``needs`` limits the order statistics to some row groups; tails also need ``floor_us``.
+    """
     g, reused, t = good(), F.col("connection_reused"), F.col("ttfb_ns")
     cold = F.col("dns_latency_ns").isNotNull() & ~F.coalesce("dns_cache_hit", F.lit(False))
     st = F.col("http_status")
     cls = C.status_class(st)
-    ms, floor_ms = t / 1e6, F.col("floor_us") / 1e3
-    judged = g & F.col("floor_us").isNotNull()
     is_get = F.col("s3_op") == "GetObject"
     measured = is_get & (F.col("download_ns") > 0) & F.col("content_length").isNotNull()
-    values = {
-        "dns": F.when(g & cold, F.col("dns_latency_ns")),
-        "tcp": F.when(g, F.col("tcp_connect_ns")),
-        "tput": F.when(g & measured, F.col("content_length") / F.col("download_ns") * 1e3),
-    }
-    stats = [Stat("dns", "dns", "mid"), Stat("tcp", "tcp", "mid"), Stat("tput", "tput", "mid")]
-    for side, on in (("new", ~reused), ("reused", reused)):
-        values |= {
-            f"{side}_ns": F.when(g & on, t),
-            f"{side}_ms": F.when(g & on, ms),
-            f"{side}_jms": F.when(judged & on, ms),
-            f"{side}_ratio": F.when(judged & on, ms / floor_ms),
-        }
-        stats.append(Stat(f"{side}_mid", f"{side}_ns", "mid"))
-        for p in (95, 99):
-            stats += [
-                Stat(f"{side}_all_p{p}", f"{side}_ms", p / 100.0),
-                Stat(f"{side}_p{p}", f"{side}_jms", p / 100.0),
-                Stat(f"{side}_ratio_p{p}", f"{side}_ratio", p / 100.0),
-            ]
-    order = exact_quantiles(ops, [], values, stats)
-    sides = []
+    values, stats, sides = {}, [], []
+    if "spans" in needs:
+        values |= {"dns": F.when(g & cold, F.col("dns_latency_ns")), "tcp": F.when(g, F.col("tcp_connect_ns"))}
+        stats += [Stat("dns", "dns", "mid"), Stat("tcp", "tcp", "mid")]
+    if "tput" in needs:
+        values["tput"] = F.when(g & measured, F.col("content_length") / F.col("download_ns") * 1e3)
+        stats.append(Stat("tput", "tput", "mid"))
     for side, on in (("new", ~reused), ("reused", reused)):
-        f = F.when(judged & on & t.isNotNull(), floor_ms * 1e3)
-        sides += [
-            F.count_if(on & t.isNotNull()).alias(f"cand_{side}"),
-            F.min(f).alias(f"{side}_floor_lo"),
-            F.max(f).alias(f"{side}_floor_hi"),
-        ]
+        sides.append(F.count_if(on & t.isNotNull()).alias(f"cand_{side}"))
+        if needs & {"spans", "tails"}:
+            values[f"{side}_ns"] = F.when(g & on, t)
+        if "spans" in needs:
+            stats.append(Stat(f"{side}_mid", f"{side}_ns", "mid"))
+        if "tails" in needs:
+            floor_ms = F.col("floor_us") / 1e3
+            judged = g & on & F.col("floor_us").isNotNull()
+            values |= {f"{side}_jns": F.when(judged, t), f"{side}_ratio": F.when(judged, t / 1e6 / floor_ms)}
+            for p in (95, 99):
+                stats += [
+                    Stat(f"{side}_all_p{p}", f"{side}_ns", p / 100.0),
+                    Stat(f"{side}_p{p}", f"{side}_jns", p / 100.0),
+                    Stat(f"{side}_ratio_p{p}", f"{side}_ratio", p / 100.0),
+                ]
+            f = F.when(judged & t.isNotNull(), floor_ms * 1e3)
+            sides += [F.min(f).alias(f"{side}_floor_lo"), F.max(f).alias(f"{side}_floor_hi")]
     counts = ops.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(g).alias("good"),
@@ -98,7 +95,9 @@ def op_facts(ops: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         F.count_if(measured).alias("cand_tput"),
         *sides,
     )
-    return counts.withColumn("q", order.select(F.struct("*")).scalar())
+    if not stats:
+        return counts
+    return counts.withColumn("q", exact_quantiles(ops, [], values, stats).select(F.struct("*")).scalar())
 
 
 def with_capture(
@@ -236,7 +235,7 @@ def tail_rows(cfg: Config = DEFAULT) -> list[tuple[Column, Column]]:
     for side in ("new", "reused"):
         for p, least, mult in ((95, cfg.min_tail_sample, cfg.tail_rtt_mult), (99, cfg.min_p99_sample, cfg.p99_rtt_mult)):
             fid = f"ttfb_{side}_p{p}"
-            n, j = F.col(f"q.n_{side}_ms"), F.col(f"q.n_{side}_jms")
+            n, j = F.col(f"q.n_{side}_ns"), F.col(f"q.n_{side}_jns")
             ratio = F.col(f"q.{side}_ratio_p{p}")
             few = j < least
             blind = (ratio <= mult) & ((n - j) / F.when(n > 0, n) > 1.0 - p / 100.0)
@@ -246,7 +245,7 @@ def tail_rows(cfg: Config = DEFAULT) -> list[tuple[Column, Column]]:
                 n >= least,
                 _row(fid, F.when(na, "unjudged").otherwise(_severity(ratio <= mult)),
                      F.when(na, "n/a").when(ratio <= mult, "expected").otherwise("high"),
-                     fid, F.when(na, F.col(f"q.{side}_all_p{p}")).otherwise(F.col(f"q.{side}_p{p}")), "ms",
+                     fid, F.when(na, F.col(f"q.{side}_all_p{p}")).otherwise(F.col(f"q.{side}_p{p}")) / 1e6, "ms",
                      F.when(few, 0).otherwise(j), F.when(few, n).otherwise(n - j),
                      ratio_to_rtt=F.when(~na, ratio), threshold=f"<= {mult}xRTT",
                      baseline_rtt_us=F.when(~na & (lo == hi), F.round(lo).cast("bigint"))),
@@ -439,6 +438,8 @@ def path_rows(facts: DataFrame, window: DataFrame) -> DataFrame:
 
 # -- the whole report -------------------------------------------------------------------
 
+# the order statistics a builder reads from op_facts
+NEEDS = {span_rows: "spans", tail_rows: "tails", throughput_row: "tput"}
 OP_ROWS = [floor_row, span_rows, retransmit_row, http_error_row, tail_rows, reuse_row, status_rows, throughput_row]
 
 
