@@ -9,6 +9,7 @@ FAMILIES = [
     "scorecard",
     "health",
     "timeseries",
+    "advise",
 ]
 
 
