@@ -1,0 +1,76 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.operators.recency import reuse_peaks
+from tidemark.plans import sequence as SQ
+from tidemark.plans import study as ST
+
+
+def make(seed, n=300, objects=25, writes=0.15, sized=False):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        o = f"o{min(int(r.expovariate(0.15)), objects - 1)}"
+        op = "get" if r.random() > writes else r.choice(["put", "delete"])
+        rows.append(("*", i * 10 + r.randrange(5), f"{i:06d}", op, o, r.randrange(1, 9) if sized else 1))
+    return rows
+
+
+def lru_hits(rows, cap):
+    stack, hits, nbytes = [], 0, 0  # most recent last
+    for _, _, _, op, o, w in rows:
+        at = next((i for i, (x, _) in enumerate(stack) if x == o), None)
+        if op != "get":
+            if at is not None:
+                stack.pop(at)
+            continue
+        if at is not None:
+            hits, nbytes = hits + 1, nbytes + w
+            stack.pop(at)
+        stack.append((o, w))
+        while sum(x[1] for x in stack) > cap:
+            stack.pop(0)
+    return hits, nbytes
+
+
+@pytest.mark.parametrize("seed,writes,sized", [(1, 0.0, False), (2, 0.15, False), (3, 0.2, True)])
+def test_peaks_equal_a_replayed_cache(spark, seed, writes, sized):
+    rows = make(seed, writes=writes, sized=sized)
+    df = spark.createDataFrame(rows, "app string, ts_ns long, tie string, op string, object_id string, weight long")
+    got = reuse_peaks(df, depth=64, n_slices=7).where("kind = 'hit'").select("peak_n", "peak_b", "weight").collect()
+    for cap in (1, 2, 3, 5, 8, 13, 40, 200):
+        want = lru_hits(rows, cap)
+        peak = [(r.peak_b, r.weight) for r in got]
+        assert (sum(p <= cap for p, _ in peak), sum(w for p, w in peak if p <= cap)) == want
+
+
+def test_shallow_depth_is_exact_up_to_it(spark):
+    rows = make(5, n=400, objects=40, writes=0.2)
+    df = spark.createDataFrame(rows, "app string, ts_ns long, tie string, op string, object_id string, weight long")
+    got = [r.peak_n for r in reuse_peaks(df, depth=6, n_slices=9).where("kind = 'hit'").collect()]
+    for cap in (1, 2, 4, 6):
+        assert sum(p <= cap for p in got) == lru_hits(rows, cap)[0]
+
+
+def test_predictability_never_looks_ahead(spark):
+    r = random.Random(11)
+    ids = [r.choice("abcdef") for _ in range(400)]
+    rows = [("*", i, f"{i:05d}", "get", o) for i, o in enumerate(ids)]
+    df = spark.createDataFrame(rows, "app string, ts_ns long, op_id string, op string, object_id string")
+    for k in (1, 2):
+        counts, hit = {}, 0
+        for a, b in zip(ids, ids[1:]):
+            ranked = sorted(counts.get(a, {}).items(), key=lambda x: (-x[1], x[0]))[:k]
+            hit += b in [x[0] for x in ranked]
+            counts.setdefault(a, {})[b] = counts.setdefault(a, {}).get(b, 0) + 1
+        assert SQ.predictability(df, k=k).first().predicted == hit
+
+
+def test_byte_ladder_has_enough_rungs(spark):
+    df = spark.createDataFrame([(1,), (3,), (1000,), (5 << 20,), (1 << 40,)], "t long")
+    caps = {r.t: r.caps for r in df.select("t", ST.byte_caps(F.col("t")).alias("caps")).collect()}
+    assert caps[1] == [1] and caps[3] == [1, 3]
+    assert caps[1000][-1] == 1000 and len(caps[1000]) >= 5
+    assert caps[1 << 40][0] == 1 << 20 and all(b == a * 4 for a, b in zip(caps[1 << 40], caps[1 << 40][1:]))

@@ -10,6 +10,7 @@ FAMILIES = [
     "health",
     "timeseries",
     "advise",
+    "trace",
 ]
 
 

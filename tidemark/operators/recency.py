@@ -1,0 +1,161 @@
+"""Exact LRU reuse under invalidation, in time slices.
+
+An access hits a cache of capacity c iff, since the previous access of its object, no
+write touched the object and the object's stack position never exceeded c. Writes free
+slots, so the position can fall again: the *peak* position decides, not the last one.
+
+The trace is cut into time slices. The recency stack a slice starts from is found without
+replaying its past: an object's last access in slice a stays on the stack until the next
+slice that touches it, and the most recent ``depth`` such entries are gathered for every
+slice by doubling (log2 of the slice count shuffles of at most slices x depth rows). Each
+slice then runs on its own; peaks of residencies that span slices are combined by key.
+
+Positions beyond ``depth`` are not told apart: such accesses miss every capacity up to it.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from tidemark.operators.slices import SLICE, slice_count, with_slices
+from tidemark.session import materialize
+
+FAR = 1 << 62
+_OUT = "app string, object_id string, origin int, peak_n bigint, peak_b bigint, weight bigint, kind string"
+
+
+def _incoming(ev: DataFrame, n_slices: int, depth: int) -> DataFrame:
+    """(app, at, object_id, weight, origin, ts_ns, tie): the stack each slice starts from."""
+    last = ev.groupBy("app", "object_id", SLICE).agg(F.max(F.struct("ts_ns", "tie", "op", "weight")).alias("x"))
+    w = Window.partitionBy("app", "object_id").orderBy(SLICE)
+    stack = (
+        last.withColumn("until", F.coalesce(F.lead(SLICE).over(w), F.lit(n_slices + 1)))
+        .where(F.col("x.op") == "get")
+        .select(
+            "app", "object_id", F.col("x.weight").alias("weight"), F.col(SLICE).alias("origin"),
+            (F.col(SLICE) + 1).alias("at"), "until", F.col("x.ts_ns").alias("ts_ns"), F.col("x.tie").alias("tie"),
+        )
+        .where(F.col("at") <= F.col("until"))
+    )
+    top = Window.partitionBy("app", "at").orderBy(F.desc("ts_ns"), F.desc("tie"))
+
+    def keep(df: DataFrame) -> DataFrame:
+        return df.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= depth).drop("_r")
+
+    stack = keep(stack)
+    for k in range(max(1, math.ceil(math.log2(n_slices + 2)))):
+        later = F.col("at") + (1 << k)
+        stack = keep(
+            stack.withColumn("_at", F.explode(F.array_compact(F.array("at", F.when(later <= F.col("until"), later)))))
+            .drop("at")
+            .withColumnRenamed("_at", "at")
+        )
+    return stack.drop("until")
+
+
+def _sweep_slice(depth: int):
+    def run(events: pd.DataFrame, stack: pd.DataFrame) -> pd.DataFrame:
+        if not len(events):
+            return pd.DataFrame(columns=["app", "object_id", "origin", "peak_n", "peak_b", "weight", "kind"])
+        events = events.sort_values(["ts_ns", "tie"], kind="mergesort")
+        stack = stack.sort_values(["ts_ns", "tie"], ascending=False, kind="mergesort")
+        here = int(events[SLICE].iloc[0])
+        codes, names = pd.factorize(pd.concat([stack["object_id"], events["object_id"]], ignore_index=True))
+        n = len(stack)
+        size = depth + 1
+        ids = np.full(size, -1, dtype=np.int64)
+        wt, inc, pn, pb = (np.zeros(size, dtype=np.int64) for _ in range(4))
+        org = np.zeros(size, dtype=np.int64)
+        ids[:n], wt[:n], org[:n] = codes[:n], stack["weight"].to_numpy(), stack["origin"].to_numpy()
+        inc[:n] = np.cumsum(wt[:n])
+        pn[:n], pb[:n] = np.arange(1, n + 1), inc[:n]
+        live = set(codes[:n].tolist())
+        ranks = np.arange(1, size + 1)
+        is_get = (events["op"] == "get").to_numpy()
+        weights = events["weight"].to_numpy()
+        out: list[tuple] = []
+        fallen: dict[int, tuple] = {}  # dropped and not touched again: never a hit up to depth
+        for j, code in enumerate(codes[len(stack):].tolist()):
+            found = code in live
+            d = int(np.nonzero(ids[:n] == code)[0][0]) if found else n
+            fallen.pop(code, None)
+            if not is_get[j]:
+                if found:
+                    gone = wt[d]
+                    for a in (ids, wt, org, pn, pb, inc):
+                        a[d : n - 1] = a[d + 1 : n]
+                    inc[d : n - 1] -= gone
+                    live.discard(code)
+                    n -= 1
+                continue
+            w = int(weights[j])
+            if found:
+                out.append((code, int(org[d]), int(pn[d]), int(pb[d]), w, "seen" if org[d] == here else "tail"))
+                grow = w - int(wt[d])
+                if grow:
+                    inc[d + 1 : n] += grow
+                    if grow > 0:
+                        np.maximum(pb[d + 1 : n], inc[d + 1 : n], out=pb[d + 1 : n])
+            else:
+                n += 1
+                live.add(code)
+            for a in (ids, wt, org, pn, pb, inc):
+                a[1 : d + 1] = a[0:d].copy()
+            inc[1 : d + 1] += w
+            ids[0], wt[0], org[0], inc[0], pn[0], pb[0] = code, w, here, w, 1, w
+            np.maximum(pn[1 : d + 1], ranks[1 : d + 1], out=pn[1 : d + 1])
+            np.maximum(pb[1 : d + 1], inc[1 : d + 1], out=pb[1 : d + 1])
+            if n > depth:
+                n -= 1
+                lost = int(ids[n])
+                live.discard(lost)
+                fallen[lost] = (lost, int(org[n]), FAR, int(pb[n]), int(wt[n]), "carry")
+        out += fallen.values()
+        out += [(int(ids[i]), int(org[i]), int(pn[i]), int(pb[i]), int(wt[i]), "carry") for i in range(n)]
+        res = pd.DataFrame(out, columns=["object_id", "origin", "peak_n", "peak_b", "weight", "kind"])
+        res["object_id"] = np.asarray(names, dtype=object)[res["object_id"].to_numpy()] if len(res) else []
+        res.insert(0, "app", events["app"].iloc[0])
+        return res
+
+    return run
+
+
+def reuse_peaks(trace: DataFrame, depth: int = 4096, n_slices: int | None = None) -> DataFrame:
+    """One row per re-access: (app, peak_n, peak_b, weight) and, with kind 'limit', the byte
+    position at which entries fell off the tracked depth.
+
+    ``trace``: app, ts_ns, tie (total order), op (get / put / delete), object_id, weight.
+    """
+    n_slices = n_slices or slice_count(trace)
+    ev = materialize(
+        with_slices(
+            trace.where(F.col("op").isin("get", "put", "delete")).select("app", "ts_ns", "tie", "op", "object_id", "weight"),
+            "ts_ns",
+            n_slices,
+        ),
+        "trace",
+    )
+    stack = _incoming(ev, n_slices + 2, depth)
+    pieces = materialize(
+        ev.groupBy("app", SLICE).cogroup(stack.groupBy("app", "at")).applyInPandas(_sweep_slice(depth), _OUT), "peaks"
+    )
+    inside = pieces.where(F.col("kind") == "seen").select("app", "peak_n", "peak_b", "weight", F.lit("hit").alias("kind"))
+    spanning = (
+        pieces.where(F.col("kind").isin("tail", "carry"))
+        .groupBy("app", "object_id", "origin")
+        .agg(
+            F.max("peak_n").alias("peak_n"), F.max("peak_b").alias("peak_b"),
+            F.max(F.when(F.col("kind") == "tail", F.col("weight"))).alias("weight"),
+        )
+        .where(F.col("weight").isNotNull())
+        .select("app", "peak_n", "peak_b", "weight", F.lit("hit").alias("kind"))
+    )
+    limit = pieces.where(F.col("peak_n") >= FAR).groupBy("app").agg(F.min("peak_b").alias("peak_b")).select(
+        "app", F.lit(FAR).alias("peak_n"), "peak_b", F.lit(0).cast("bigint").alias("weight"), F.lit("limit").alias("kind")
+    )
+    return inside.unionByName(spanning).unionByName(limit)
