@@ -11,6 +11,7 @@ FAMILIES = [
     "timeseries",
     "advise",
     "trace",
+    "sources",
 ]
 
 
