@@ -12,6 +12,7 @@ FAMILIES = [
     "advise",
     "trace",
     "sources",
+    "stream",
 ]
 
 

@@ -14,7 +14,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").selectExpr(
+    return event_columns(read(spark, sf_dir, "events"))
+
+
+def event_columns(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "event_id",
         "user_id",
         "event_type",
@@ -26,7 +30,11 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests: one per event."""
-    return base_events(spark, sf_dir).selectExpr(
+    return ops_from(base_events(spark, sf_dir))
+
+
+def ops_from(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "CAST(event_id AS STRING) AS op_id",
         "ts_ns",
         "CAST(user_id AS STRING) AS sock_cookie",
@@ -193,3 +201,51 @@ def weblog(spark: SparkSession, sf_dir: str) -> DataFrame:
                AS host""",
         )
     )
+
+
+def wire_events(events: DataFrame) -> DataFrame:
+    """Decoded request traffic per (host, pid, fd): requests, responses, body reads, new links."""
+    return events.selectExpr(
+        "concat('h', CAST(user_id % 3 AS STRING), '/', CAST(user_id % 8 AS STRING), '/', CAST(user_id AS STRING)) AS conn",
+        "ts_ns",
+        "event_id AS seq",
+        """CASE WHEN k = 50 THEN 'link' WHEN event_type IN ('click', 'purchase') THEN 'request' WHEN event_type = 'signup' THEN 'body'
+           ELSE 'response' END AS kind""",
+        "CASE WHEN k % 9 = 0 THEN 'HEAD' WHEN event_type = 'purchase' THEN 'PUT' ELSE 'GET' END AS verb",
+        "CAST(CASE WHEN k % 10 = 0 THEN 100 WHEN event_type = 'error' THEN 500 WHEN k % 13 = 0 THEN 204 ELSE 200 END AS INT) AS http_status",
+        "CASE WHEN k % 4 <> 0 THEN CAST(k * 3 AS BIGINT) END AS content_length",
+        "CAST(CASE WHEN event_type = 'signup' THEN k * 2 ELSE 200 + k END AS BIGINT) AS bytes",
+        "CAST(200 AS BIGINT) AS head_bytes",
+        "k % 17 <> 0 AS head_complete",
+    )
+
+
+def socket_events(events: DataFrame) -> DataFrame:
+    """Connects and closes per socket, with the handshake facts seen in between."""
+    return events.selectExpr(
+        "CAST(user_id AS STRING) AS sock_cookie", "ts_ns", "event_id AS seq", "user_id % 8 AS pid",
+        """CASE event_type WHEN 'purchase' THEN 'connect' WHEN 'signup' THEN 'close' WHEN 'click' THEN 'client_hello' WHEN 'view' THEN 'server_hello'
+           ELSE 'other' END AS kind""",
+        "CASE WHEN event_type = 'click' THEN concat('b', CAST(k % 5 AS STRING), '.s3.eu-west-1.amazonaws.com') END AS sni",
+        "CASE WHEN event_type = 'view' AND k % 3 <> 0 THEN concat('TLSv1.', CAST(2 + k % 2 AS STRING)) END AS tls_version",
+        "CASE WHEN event_type = 'view' AND k % 5 <> 0 THEN 4865 + k % 3 END AS cipher",
+    )
+
+
+def dns_events(events: DataFrame) -> DataFrame:
+    return events.where("event_type IN ('click', 'view')").selectExpr(
+        "CAST(user_id % 10 AS STRING) AS sock_cookie", "k % 4 AS txn_id", "ts_ns", "event_id AS seq",
+        "CASE event_type WHEN 'click' THEN 'query' ELSE 'response' END AS kind", "concat('n', CAST(k % 2 AS STRING)) AS qname",
+        """CASE WHEN event_type = 'view' THEN array(named_struct('ip', concat('10.9.0.', CAST(k % 30 AS STRING)), 'ttl_s', CAST(k AS BIGINT)))
+           END AS answers""",
+    )
+
+
+def lookups(events: DataFrame) -> DataFrame:
+    return events.where("event_type = 'signup'").selectExpr(
+        "concat('n', CAST(k % 2 AS STRING)) AS host", "ts_ns", "event_id AS seq", "CAST(round(value * 10000000000) AS BIGINT) AS latency_ns", "k % 4 = 0 AS cache_hit"
+    )
+
+
+def connects(events: DataFrame) -> DataFrame:
+    return events.where("event_type = 'purchase'").selectExpr("concat('10.9.0.', CAST(k % 30 AS STRING)) AS ip", "ts_ns", "event_id AS seq")
