@@ -20,7 +20,7 @@ def _single(s, d):
 
 
 def _cap(s, d, builders, conns=T.conns):
-    o, c, sm = T.ops(s, d), conns(s, d), T.samples(s, d)
+    o, c, sm = T.ops(s, d), conns(s, d), T.sample_clock(s, d)
     needs = {H.NEEDS[b] for b in builders if b in H.NEEDS}
     judged = FL.with_floors(o, c, FL.pooled_floor(c, sm)) if "tails" in needs else o
     return H.with_capture(H.op_facts(judged, needs=needs), o, c, sm)
@@ -32,14 +32,14 @@ def _rows(*builders, conns=T.conns):
 
 def _classes(conns=T.conns):
     def run(s, d):
-        c, sm = conns(s, d), T.samples(s, d)
+        c, sm = conns(s, d), T.sample_clock(s, d)
         return FL.with_floors(T.ops(s, d), c, FL.pooled_floor(c, sm))
 
     return run
 
 
 def _report(conns=T.conns):
-    return lambda s, d: H.report(T.ops(s, d), conns(s, d), T.samples(s, d))
+    return lambda s, d: H.report(T.ops(s, d), conns(s, d), T.sample_clock(s, d))
 
 
 _GLOBAL = [H.floor_row, H.span_rows, H.retransmit_row, H.http_error_row]
@@ -59,7 +59,7 @@ def _medians(s, d):
 def _verdict(conns):
     def run(s, d):
         o, c = T.ops(s, d), conns(s, d)
-        return H.run_verdict(H.report(o, c, T.samples(s, d)), o, c)
+        return H.run_verdict(H.report(o, c, T.sample_clock(s, d)), o, c)
 
     return run
 
@@ -74,7 +74,7 @@ def _baseline_ops(s, d):
 
 
 def _runs(s, d):
-    c, sm = _single(s, d), T.samples(s, d)
+    c, sm = _single(s, d), T.sample_clock(s, d)
     cur, base = T.ops(s, d), _baseline_ops(s, d)
     # a report is a few dozen rows: cut its lineage once, then compare the two tables
     return cur, H.report(cur, c, sm).checkpoint(), base, H.report(base, c, sm).checkpoint(), c
@@ -104,8 +104,8 @@ def _tagged_ops(s, d):
 
 QUERIES = {
     "agg1_agg2_agg3_order_statistics": _medians,
-    "agg4_floor_ladder": lambda s, d: FL.pooled_floor(T.conns(s, d), T.samples(s, d)),
-    "agg4_floor_sampled": lambda s, d: FL.pooled_floor(T.conns(s, d).withColumn("srtt_us", F.lit(0).cast("bigint")), T.samples(s, d)),
+    "agg4_floor_ladder": lambda s, d: FL.pooled_floor(T.conns(s, d), T.sample_clock(s, d)),
+    "agg4_floor_sampled": lambda s, d: FL.pooled_floor(T.conns(s, d).withColumn("srtt_us", F.lit(0).cast("bigint")), T.sample_clock(s, d)),
     "agg4_floor_row": _rows(H.floor_row),
     "agg5_agg6_agg7_span_rows": _rows(H.span_rows, conns=_single),
     "agg6_agg7_spans_mixed_paths": _rows(H.span_rows),
@@ -114,7 +114,7 @@ QUERIES = {
     "agg10_reuse_rate": _rows(H.reuse_row),
     "agg11_class_ttfb": lambda s, d: H.class_stats(_classes()(s, d)),
     "agg11_agg12_class_rows": lambda s, d: FD.flatten(
-        H.class_rows(_classes(_single)(s, d), capture_window(T.ops(s, d), T.conns(s, d), T.samples(s, d)))
+        H.class_rows(_classes(_single)(s, d), capture_window(T.ops(s, d), T.conns(s, d), T.sample_clock(s, d)))
     ),
     "agg13_status_mix": _rows(H.status_rows),
     "agg14_get_throughput": _rows(H.throughput_row),
@@ -124,10 +124,10 @@ QUERIES = {
         *[F.col(f"q.{n}").alias(n) for n in ("n_dns", "n_tcp", "n_new_ns", "n_reused_ns", "n_tput", "n_new_jns", "n_reused_jns")],
     ),
     "agg18_agg23_path_rows": lambda s, d: FD.flatten(
-        H.path_rows(H.conn_facts(T.conns(s, d)), capture_window(T.ops(s, d), T.conns(s, d), T.samples(s, d)))
+        H.path_rows(H.conn_facts(T.conns(s, d)), capture_window(T.ops(s, d), T.conns(s, d), T.sample_clock(s, d)))
     ),
     "agg25_multi_path": lambda s, d: FL.multi_path(T.conns(s, d)),
-    "agg26_environment": lambda s, d: H.environment(_single(s, d), FL.pooled_floor(T.conns(s, d), T.samples(s, d))).select(
+    "agg26_environment": lambda s, d: H.environment(_single(s, d), FL.pooled_floor(T.conns(s, d), T.sample_clock(s, d))).select(
         "env", "confidence", "rtt_ms", "n"
     ),
     "agg27_row_verdict": lambda s, d: H.row_verdict(H.rows(_cap(s, d, _GLOBAL), _GLOBAL)),

@@ -25,10 +25,10 @@ QUERIES = {
     "sco4_unjudged_run": lambda s, d: FD.flatten(
         SC.unjudged_run(
             T.ops(s, d).withColumn("http_status", F.lit(None).cast("int")),
-            SC.capture_window(T.ops(s, d), T.conns(s, d), T.samples(s, d)),
+            SC.capture_window(T.ops(s, d), T.conns(s, d), T.sample_clock(s, d)),
         )
     ),
-    "agg17_capture_window": lambda s, d: SC.capture_window(T.ops(s, d), T.conns(s, d), T.samples(s, d)),
+    "agg17_capture_window": lambda s, d: SC.capture_window(T.ops(s, d), T.conns(s, d), T.sample_clock(s, d)),
 }
 
 FLAT = """NULL::VARCHAR AS verdict, NULL::VARCHAR AS value_str, NULL::BIGINT AS baseline_rtt_us, NULL::DOUBLE AS ratio_to_rtt,

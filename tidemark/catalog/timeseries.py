@@ -61,7 +61,7 @@ QUERIES = {
     "ts10_aggregate_throughput": lambda s, d: TS.aggregate_throughput(materialize(_agg(s, d), "buckets")),
     "ts11_throughput_ramp": lambda s, d: TS.ramp_summary(_shapes(s, d)),
     "ts_series_rows": lambda s, d: FD.flatten(
-        TS.series_rows(materialize(T.samples(s, d), "samples"), capture_window(T.samples(s, d)), TIES)
+        TS.series_rows(materialize(T.samples(s, d), "samples"), capture_window(T.sample_clock(s, d)), TIES)
     ),
     "agg24_sampled_ceilings": _ceilings,
 }

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.slices import SLICE, lagged, prefix
 from tidemark.session import materialize
 
-AT = F.struct("ts_ns", "seq")
+
+def _at() -> Column:
+    return F.struct("ts_ns", "seq")
+
 
 
 def asof(
@@ -96,7 +99,7 @@ def tls_facts(events: DataFrame) -> DataFrame:
     """Per socket and connect: the last server name, version and cipher seen since it connected."""
     opened = (F.col("kind") == "connect").cast("int")
     ep = prefix(events, ["sock_cookie"], "ts_ns", {"epoch": ("sum", opened)}, ties=("seq",))
-    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), AT))
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), _at()))
     return ep.groupBy("sock_cookie", "epoch").agg(latest("sni").alias("sni"), latest("tls_version").alias("tls_version"), latest("cipher").alias("cipher"))
 
 
@@ -132,14 +135,14 @@ def correlate_requests(events: DataFrame) -> DataFrame:
     per = ev.groupBy("conn", "epoch").agg(
         F.min(F.when(opener, F.struct("ts_ns", "seq", "kind", "verb"))).alias("o"),
         F.min(F.when(final, F.struct("ts_ns", "seq", "http_status", "content_length", "bytes", "head_bytes", "head_complete"))).alias("h"),
-        F.min(F.when((F.col("kind") == "response") & F.col("http_status").between(100, 199), AT)).alias("i"),
+        F.min(F.when((F.col("kind") == "response") & F.col("http_status").between(100, 199), _at())).alias("i"),
     )
     per = materialize(per, "requests")
     waiting = per.where(F.col("h").isNotNull() & (F.col("o.kind") == "request") & _expects_body(F.col("o.verb"), "h")).select(
         "conn", "epoch", F.struct(F.col("h.ts_ns").alias("ts_ns"), F.col("h.seq").alias("seq")).alias("head_at"),
         (F.col("h.content_length") - F.greatest(F.col("h.bytes") - F.col("h.head_bytes"), F.lit(0))).alias("need"),
     )
-    later = ev.join(waiting, ["conn", "epoch"]).where(F.col("kind").isin("response", "body") & (AT > F.col("head_at")) & (F.col("need") > 0))
+    later = ev.join(waiting, ["conn", "epoch"]).where(F.col("kind").isin("response", "body") & (_at() > F.col("head_at")) & (F.col("need") > 0))
     tally = prefix(later.select("conn", "epoch", "ts_ns", "seq", "bytes", "need"), ["conn", "epoch"], "ts_ns", {"got": ("sum", F.col("bytes"))}, ties=("seq",))
     done = tally.where(F.col("got") >= F.col("need")).groupBy("conn", "epoch").agg(F.min("ts_ns").alias("body_ts"))
     full = waiting.where(F.col("need") <= 0).select("conn", "epoch", F.col("head_at.ts_ns").alias("body_ts"))
