@@ -22,7 +22,7 @@ def _single(s, d):
 def _cap(s, d, builders, conns=T.conns):
     o, c, sm = T.ops(s, d), conns(s, d), T.sample_clock(s, d)
     needs = {H.NEEDS[b] for b in builders if b in H.NEEDS}
-    judged = FL.with_floors(o, c, FL.pooled_floor(c, sm)) if "tails" in needs else o
+    judged = FL.judged_requests(o, c, FL.pooled_floor(c, sm)) if "tails" in needs else o
     return H.with_capture(H.op_facts(judged, needs=needs), o, c, sm)
 
 
@@ -33,7 +33,15 @@ def _rows(*builders, conns=T.conns):
 def _classes(conns=T.conns):
     def run(s, d):
         c, sm = conns(s, d), T.sample_clock(s, d)
-        return FL.with_floors(T.ops(s, d), c, FL.pooled_floor(c, sm))
+        return FL.judged_requests(T.ops(s, d), c, FL.pooled_floor(c, sm))
+
+    return run
+
+
+def _floors(conns=T.conns):
+    def run(s, d):
+        c, sm = conns(s, d), T.sample_clock(s, d)
+        return FL.with_floors(T.ops(s, d), c, FL.pooled_floor(c, sm)).select("op_id", "floor_us")
 
     return run
 
@@ -146,8 +154,8 @@ QUERIES = {
     "agg34_jn12_top1_baseline_diff": _diff,
     "agg35_regression_gate": _gate,
     "set3_vanished_checks": _vanished,
-    "jn1_jn2_floor_ladder": lambda s, d: _classes()(s, d).select("op_id", "floor_us"),
-    "jn2_floor_single_path": lambda s, d: _classes(_single)(s, d).select("op_id", "floor_us"),
+    "jn1_jn2_floor_ladder": _floors(),
+    "jn2_floor_single_path": _floors(_single),
     "jn13_provider_tiers": lambda s, d: CP.provider_table(_tagged_ops(s, d), T.conns(s, d)),
     "jn13_provider_pivot": lambda s, d: CP.provider_pivot(CP.provider_table(_tagged_ops(s, d), T.conns(s, d)), ["p0", "p1"]),
 }

@@ -26,6 +26,7 @@ from tidemark.operators.slices import SLICE, slice_count, with_slices
 from tidemark.session import materialize
 
 FAR = 1 << 62
+SLICE_EVENTS = 1_000_000
 _OUT = "app string, object_id string, origin int, peak_n bigint, peak_b bigint, weight bigint, kind string"
 
 
@@ -131,7 +132,8 @@ def reuse_peaks(trace: DataFrame, depth: int = 4096, n_slices: int | None = None
 
     ``trace``: app, ts_ns, tie (total order), op (get / put / delete), object_id, weight.
     """
-    n_slices = n_slices or slice_count(trace)
+    # enough slices for the cluster, and small enough that one is a comfortable Arrow group
+    n_slices = n_slices or max(slice_count(trace), math.ceil(trace.count() / SLICE_EVENTS))
     ev = materialize(
         with_slices(
             trace.where(F.col("op").isin("get", "put", "delete")).select("app", "ts_ns", "tie", "op", "object_id", "weight"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT, Config
 from tidemark.functions import columns as C
 from tidemark.operators.quantiles import Stat, exact_quantiles
+from tidemark.session import materialize
 
 
 def unambiguous(conns: DataFrame) -> DataFrame:
@@ -117,3 +118,19 @@ def with_floors(ops: DataFrame, conns: DataFrame, pooled: DataFrame, cfg: Config
         .withColumn("floor_us", F.coalesce("conn_floor_us", F.when(~F.col("_mixed"), F.col("_pooled"))))
         .drop("conn_floor_us", "_pooled", "_mixed")
     )
+
+
+# what the judged rows of a report read from a request
+REPORT_COLUMNS = [
+    "s3_op", "http_status", "partial", "delimitation", "connection_reused", "ttfb_ns", "download_ns", "content_length",
+    "dns_latency_ns", "dns_cache_hit", "tcp_connect_ns",
+]
+
+
+def judged_requests(ops: DataFrame, conns: DataFrame, pooled: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The requests of a report with their floors, stored once.
+
+    Counts, order statistics (two scans each) and class rows all read them; storing the
+    narrow result costs one shuffle on the socket instead of one per reader.
+    """
+    return materialize(with_floors(ops.select("sock_cookie", *REPORT_COLUMNS), conns, pooled, cfg).drop("sock_cookie"), "judged-requests")

@@ -458,7 +458,7 @@ def report(
 ) -> DataFrame:
     """Every judged and reported row of a capture; evidence comes from ``op_evidence``."""
     pooled = FL.pooled_floor(conns, samples, cfg)
-    floored = FL.with_floors(ops, conns, pooled, cfg)
+    floored = FL.judged_requests(ops, conns, pooled, cfg)
     cap = with_capture(op_facts(floored, cfg), ops, conns, samples, cfg, sampled_send)
     window = capture_window(ops, conns, samples)
     parts = [
