@@ -63,8 +63,10 @@ def pooled_floor(conns: DataFrame, samples: DataFrame, cfg: Config = DEFAULT) ->
             C.usable_rtt(F.col("min_rtt_us"), cfg).alias("s_min"), C.usable_rtt(F.col("srtt_us"), cfg).alias("s_srtt"),
         )
     )
+    # the sampled rungs are looked at only when no connection closed with a usable srtt
+    closed = conns.agg((F.count(C.usable_rtt(F.col("srtt_us"), cfg)) > 0).alias("x"))
     med = exact_quantiles(
-        both,
+        both.withColumn("_closed", closed.scalar()).where((F.col("is_conn") == 1) | ~F.col("_closed")),
         [],
         {c: F.col(c) for c in ("c_srtt", "s_min", "s_srtt")},
         [Stat(f"m_{c}", c, "mid") for c in ("c_srtt", "s_min", "s_srtt")],
