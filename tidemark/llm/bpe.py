@@ -19,21 +19,22 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import pieces, utf8
+from tidemark.llm.text import pieces
 
 #: The code points with the Unicode property White_Space.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 #: Distinct words a worker remembers between pieces; the memory is emptied when full, results never change.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
+REMEMBERED_PAIRS = 400_000
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
@@ -55,9 +56,6 @@ class Vocabulary:
         self.suffix = model["end_of_word_suffix"] or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.id_of: dict[str, int] = model["vocab"]
-        self.token_of = [""] * (1 + max(chain(self.id_of.values(), self.special.values())))
-        for token, i in chain(self.id_of.items(), self.special.items()):
-            self.token_of[i] = token
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -103,7 +101,7 @@ class Vocabulary:
                     r = rank.get((x, y))
                     if r is not None and r > born_x and r > born_y and r < end_x and r <= end_y:
                         known = False
-            if len(self._stable) > 2_000_000:
+            if len(self._stable) > REMEMBERED_PAIRS:
                 self._stable.clear()
             self._stable[key] = known
         return known
@@ -186,12 +184,38 @@ class Vocabulary:
 
 
 _loaded: dict[str, tuple[Vocabulary, dict[str, bytes]]] = {}
+_token_lists: dict[str, list[str]] = {}
 
 
-def _vocabulary(name: str) -> tuple[Vocabulary, dict[str, bytes]]:
-    if name not in _loaded:
-        _loaded[name] = (Vocabulary(name if os.path.exists(name) else SparkFiles.get(os.path.basename(name))), {})
-    return _loaded[name]
+def _local(path: str) -> str:
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
+def _vocabulary(path: str) -> tuple[Vocabulary, dict[str, bytes]]:
+    if path not in _loaded:
+        _loaded[path] = (Vocabulary(_local(path)), {})
+    return _loaded[path]
+
+
+def _tokens(path: str) -> list[str]:
+    """The tokens by id; decoding needs no more of the file."""
+    if path not in _token_lists:
+        with open(_local(path), encoding="utf-8") as f:
+            spec = json.load(f)
+        ids = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"]}
+        tokens = [""] * (1 + max(ids.values()))
+        for token, i in ids.items():
+            tokens[i] = token
+        _token_lists[path] = tokens
+    return _token_lists[path]
+
+
+def _parts(column: pa.Array) -> Iterator[pa.Array]:
+    """A batch in parts of about a megabyte, so that a worker holds no more results than that."""
+    arr = column.cast(pa.large_binary())
+    sizes = pc.fill_null(pc.binary_length(arr), 0).to_numpy()
+    for i, j in pieces(np.concatenate([[0], np.cumsum(sizes)])):
+        yield column.slice(i, j - i)
 
 
 def encode_text(vocabulary: Vocabulary, memory: dict[str, bytes], texts: list[str]) -> list[bytes]:
@@ -218,11 +242,8 @@ def encode(text: Column | str, path: str, df: DataFrame) -> Column:
     def packed_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocabulary, memory = _vocabulary(path)
         for column in batches:
-            _, offsets = utf8(column)
-            out: list[bytes] = []
-            for i, j in pieces(offsets):
-                out += encode_text(vocabulary, memory, [t or "" for t in column.slice(i, j - i).to_pylist()])
-            yield pa.array(out, pa.binary())
+            for part in _parts(column):
+                yield pa.array(encode_text(vocabulary, memory, [t or "" for t in part.to_pylist()]), pa.binary())
 
     return packed_ids(F.col(text) if isinstance(text, str) else text)
 
@@ -233,8 +254,9 @@ def decode(ids: Column | str, path: str, df: DataFrame) -> Column:
 
     @F.arrow_udf("string")
     def joined_tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token_of = _vocabulary(path)[0].token_of
+        token_of = _tokens(path)
         for column in batches:
-            yield pa.array([" ".join(map(token_of.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in column.to_pylist()], pa.string())
+            for part in _parts(column):
+                yield pa.array([" ".join(map(token_of.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in part.to_pylist()], pa.string())
 
     return joined_tokens(F.col(ids) if isinstance(ids, str) else ids)

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, lines, mixing, sharding
+from tidemark.llm import bpe, langid, lines, mixing, quality, sharding, toxicity
+from tidemark.llm.learn import fold
 from tidemark.session import materialize
 
 
@@ -14,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _labelled(docs: DataFrame, spark: SparkSession, sf_dir: str, label: str, folds: int, held: int) -> DataFrame:
+    """Texts with their labels, without the held-out fold."""
+    labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), folds) != held).select("doc_id", label)
+    return docs.join(labels, "doc_id")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(_labelled(docs, spark, sf_dir, "quality", 5, 0))
+    scored = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), quality.score("text", model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -37,6 +51,22 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", "taken", "position").orderBy("position", "doc_id")
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = fold(F.col("doc_id"), 3) == 1
+    model = langid.fit(docs.filter(~held))
+    found = docs.select("doc_id", held.alias("held_out"), langid.predict("text", model).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.accepted")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(_labelled(docs, spark, sf_dir, "toxic", 4, 2))
+    held = (fold(F.col("doc_id"), 4) == 2).alias("held_out")
+    scored = docs.select("doc_id", held, toxicity.judge("text", model).alias("t")).select("doc_id", "held_out", "t.score")
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     placed = sharding.shard_documents(docs, sharding.topology(8))
@@ -44,9 +74,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op3_line_chunks": op3_line_chunks,
     "op5_bpe": op5_bpe,
     "op6_mixing": op6_mixing,
+    "op7_language": op7_language,
+    "op8_toxicity": op8_toxicity,
     "op10_sharding": op10_sharding,
 }
 
