@@ -67,7 +67,7 @@ def _rows(column: pa.Array) -> Iterator[tuple[np.ndarray, list[int], list[int]]]
 class LanguageModel:
     languages: list[str]
     logits: np.ndarray  # (BUCKETS + 1, languages); the last row, for no n-gram, is 0
-    min_score: float = 0.5
+    min_score: float = 0.4
 
     def scores(self, column: pa.Array) -> np.ndarray:
         """(rows, languages) probabilities; even ones for a text without n-grams."""
@@ -114,7 +114,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = 4000, epochs: int = 6, rate: float = 0.5, min_score: float = 0.5) -> LanguageModel:
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = 4000, epochs: int = 6, rate: float = 0.5, min_score: float = 0.4) -> LanguageModel:
     """Train on a sample of about ``rows`` labelled rows, as even over the languages as they allow.
 
     Rows with a null text or label teach nothing. Without any, the model knows no language.
