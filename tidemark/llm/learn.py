@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 _GRID = 1_000_000
 
 
@@ -14,12 +16,14 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds
 
 
-def stratified(df: DataFrame, label: str, key: str, rows: int) -> DataFrame:
-    """About ``rows`` rows, as even over the labels as they allow, chosen by a hash of the key.
+def label_counts(df: DataFrame, label: str) -> dict:
+    """Rows by label. Labels are classes, so they are few."""
+    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
 
-    Only the counts per label come to the driver: labels are classes, so they are few.
-    """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+
+def stratified(df: DataFrame, label: str, key: str, rows: int, counts: dict | None = None) -> DataFrame:
+    """About ``rows`` rows, as even over the labels as they allow, chosen by a hash of the key."""
+    counts = label_counts(df, label) if counts is None else counts
     each = rows / max(1, len(counts))
     keep = F.lit(0)
     for value, n in counts.items():
@@ -27,6 +31,19 @@ def stratified(df: DataFrame, label: str, key: str, rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), F.lit(_GRID)) < keep)
 
 
+def training_sample(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, rows: int) -> tuple[DataFrame, dict]:
+    """(text, label) of about ``rows`` labelled rows, even over the labels, and the counts of all labelled rows.
+
+    The sample is drawn from the labels alone; as its size is bounded by ``rows`` it is broadcast to the texts, which are
+    not shuffled, and stored once for the passes of a fit. Null labels teach nothing; a null text is an empty one.
+    """
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).dropna()
+    counts = label_counts(known, "label")
+    chosen = stratified(known, "label", "key", rows, counts)
+    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("text", "label")
+    return materialize(sample, "training"), counts
+
+
 def platt(margin: np.ndarray, positive: np.ndarray, steps: int = 200) -> tuple[float, float]:
     """Slope (at least a small positive one) and offset of the logistic curve through margins and 0/1 outcomes."""
     if not len(margin) or positive.all() or not positive.any():

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.learn import platt, sigmoid, stratified
+from tidemark.llm.learn import platt, sigmoid, training_sample
 from tidemark.llm.text import lower_ascii, pieces, span_hashes, utf8, word_bounds
 
 BUCKETS = 1 << 16
@@ -139,14 +139,14 @@ def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.nda
     return w, bias
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", rows: int = 6000, smoothing: float = 1.0, cost: float = 0.1, blend: float = 0.5, epochs: int = 12) -> QualityModel:
-    """Count over all labelled rows, then fit on a sample of about ``rows`` of them, even over the classes.
+def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", rows: int = 12000, smoothing: float = 1.0, cost: float = 0.1, blend: float = 0.5, epochs: int = 12) -> QualityModel:
+    """Fit on a sample of about ``rows`` labelled rows, even over the classes.
 
     Rows with a null label teach nothing; a null text is an empty one. With rows of one class or none,
     every score is that class's smoothed share (0.5 without rows).
     """
-    usable = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).dropna(subset=["label"])
-    counted = usable.select("text", "label").mapInArrow(_class_counts, "bucket int, zeros bigint, ones bigint")
+    usable, _ = training_sample(documents, labels, text, label, key, rows)
+    counted = usable.mapInArrow(_class_counts, "bucket int, zeros bigint, ones bigint")
     table = counted.groupBy("bucket").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
     bucket = table["bucket"].to_numpy()
     docs = [int(table[c].to_numpy()[bucket < 0].sum()) for c in ("zeros", "ones")]
@@ -159,7 +159,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
     likely = [(counts[y] + smoothing) / (counts[y].sum() + smoothing * BUCKETS) for y in (0, 1)]
     ratio = np.log(likely[1] / likely[0])
     ratio[counts.sum(axis=0) < 2] = 0  # of one row only: says nothing of another
-    got = stratified(usable, "label", "key", rows).select("text", "label").mapInArrow(_sampled, "label int, buckets array<int>").toArrow()
+    got = usable.mapInArrow(_sampled, "label int, buckets array<int>").toArrow()
     examples = sorted(((int(y), np.asarray(b.values)) for y, b in zip(got["label"].to_pylist(), got["buckets"], strict=True)), key=lambda e: (e[0], e[1].tobytes()))
     order = np.random.default_rng(11).permutation(len(examples))
     held, train = order[: len(order) // 5], order[len(order) // 5 :]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, lines, mixing, quality, sharding, toxicity
+from tidemark.llm import ann, bpe, jaccard, langid, lines, mixing, mtree, quality, sharding, toxicity
 from tidemark.llm.learn import fold
 from tidemark.session import materialize
 
@@ -15,23 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _labelled(docs: DataFrame, spark: SparkSession, sf_dir: str, label: str, folds: int, held: int) -> DataFrame:
-    """Texts with their labels, without the held-out fold."""
-    labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), folds) != held).select("doc_id", label)
-    return docs.join(labels, "doc_id")
+def _labels(spark: SparkSession, sf_dir: str, folds: int, held: int) -> DataFrame:
+    """The labels without the held-out fold."""
+    return table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), folds) != held)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(_labelled(docs, spark, sf_dir, "quality", 5, 0))
+    model = quality.fit(docs, _labels(spark, sf_dir, 5, 0))
     scored = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), quality.score("text", model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
 def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.exact_top(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -61,12 +68,17 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(_labelled(docs, spark, sf_dir, "toxic", 4, 2))
+    model = toxicity.fit(docs, _labels(spark, sf_dir, 4, 2))
     held = (fold(F.col("doc_id"), 4) == 2).alias("held_out")
     scored = docs.select("doc_id", held, toxicity.judge("text", model).alias("t")).select("doc_id", "held_out", "t.score")
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.similar_documents(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     placed = sharding.shard_documents(docs, sharding.topology(8))
@@ -75,11 +87,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_ann": op2_ann,
     "op3_line_chunks": op3_line_chunks,
+    "op4_mtree": op4_mtree,
     "op5_bpe": op5_bpe,
     "op6_mixing": op6_mixing,
     "op7_language": op7_language,
     "op8_toxicity": op8_toxicity,
+    "op9_jaccard": op9_jaccard,
     "op10_sharding": op10_sharding,
 }
 
@@ -98,6 +113,14 @@ t AS (SELECT doc_id, digest, sum(size) AS n_lines, sum(CAST(gone AS INT)) AS rem
 SELECT d.doc_id, CASE WHEN removed_chunks > 0 THEN kept ELSE d.text END AS text, CAST(coalesce(n_lines, 0) AS INT) AS n_lines,
   CAST(coalesce(removed_chunks, 0) AS INT) AS removed_chunks, CAST(coalesce(removed_lines, 0) AS INT) AS removed_lines
 FROM d LEFT JOIN t ON d.doc_id IS NOT DISTINCT FROM t.doc_id AND d.digest = t.digest
+""",
+    "op4_mtree": """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
 """,
     "op6_mixing": r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -115,5 +138,16 @@ j AS (SELECT doc_id, size, source_size, target, a, greatest(0, least(size, floor
 SELECT doc_id, size, source_size, target, CAST(t0 + t1 AS BIGINT) AS taken,
   CASE WHEN t0 > 0 THEN CASE WHEN a = 0 THEN u ELSE (sqrt((1 - a) * (1 - a) + 4 * a * u) - (1 - a)) / (2 * a) END END AS position
 FROM j
+""",
+    "op9_jaccard": r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+n AS (SELECT doc_id, list_distinct(CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' ')) END) AS s FROM d),
+k AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM n),
+f AS (SELECT doc_id, unnest(s) AS g FROM n),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM f a JOIN f b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN k a ON a.doc_id = x JOIN k b ON b.doc_id = y WHERE 100 * i >= 75 * (a.n_shingles + b.n_shingles - i)),
+c AS (SELECT x, y FROM l UNION SELECT c.x, l.y FROM c JOIN l ON c.y = l.x)
+SELECT k.doc_id, n_shingles, least(k.doc_id, coalesce(min(y), k.doc_id)) AS component_id FROM k LEFT JOIN c ON c.x = k.doc_id GROUP BY k.doc_id, n_shingles
 """,
 }

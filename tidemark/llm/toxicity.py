@@ -1,12 +1,12 @@
 """Toxicity by Levenshtein automata over a lexicon trie, judged in a context window.
 
 The lexicon is learned: terms and stems (first letters shared by several words) that are far more frequent in
-texts labelled toxic than in others, counted over all training rows. A word is read by the Levenshtein
+texts labelled toxic than in others, counted over a bounded sample of labelled rows. A word is read by the Levenshtein
 automata of all terms at once, run over the trie of the lexicon; their product's states are built when first
 met and kept, so a word costs one step per letter and most words end after a few. A long term allows more
 edits than a short one. A hit is then judged by the words around it: inside quotation marks or
 next to words of reporting it counts for less, next to other hits for more. A small logistic model over the
-sums of these scores, fitted on a bounded sample, gives the text's score.
+sums of these scores, fitted on the same sample, gives the text's score.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.learn import sigmoid, stratified
+from tidemark.llm.learn import label_counts, sigmoid, training_sample
 
 #: Letters of the stems that are tried.
 STEMS = (4, 5, 6, 7, 8)
@@ -232,16 +232,16 @@ def _akin(a: str, b: str) -> bool:
     return (a != x and y.startswith(x)) or (b != y and x.startswith(y))
 
 
-def learn_lexicon(usable: DataFrame, rows: int, min_share: float, min_rows: int, min_ratio: float) -> tuple[dict[str, float], int, int]:
-    """Weights (log ratios of document shares) by term; clean and toxic rows.
+def learn_lexicon(usable: DataFrame, min_share: float, min_rows: int, min_ratio: float) -> tuple[dict[str, float], int, int]:
+    """Weights (log ratios of document shares) by term; clean and toxic rows of the training rows.
 
     Candidates stand in at least ``min_share`` of the toxic rows, so there are at most as many as an average toxic
     row has terms, times 1 / ``min_share``, whatever the input's size. Of these a term is taken only as long as it
-    explains toxic rows of the sample that no term taken before explains, the one that explains most first:
-    so the harmless words of a toxic text with many copies stay out.
+    explains toxic rows that no term taken before explains, the one that explains most first: so the harmless
+    words of a toxic text with many copies stay out.
     """
-    totals = usable.groupBy(F.col("label") != 0).count().collect()
-    clean, toxic = (sum(r[1] for r in totals if r[0] == y) for y in (False, True))
+    totals = label_counts(usable, "label")
+    clean, toxic = totals.get(0, 0), sum(n for y, n in totals.items() if y)
     if not toxic:
         return {}, clean, toxic
     least = max(min_rows, min_share * toxic)
@@ -258,7 +258,7 @@ def learn_lexicon(usable: DataFrame, rows: int, min_share: float, min_rows: int,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([sorted(terms_in(t) & candidates.keys()) for t in batch.column("text").to_pylist()], pa.list_(pa.string()))], ["terms"])
 
-    sample = stratified(usable.filter("label != 0"), "label", "key", rows).select("text").mapInArrow(found_in, "terms array<string>")
+    sample = usable.filter("label != 0").select("text").mapInArrow(found_in, "terms array<string>")
     rows_of = [set(t) for t in sample.toArrow()["terms"].to_pylist() if t]
     kept: dict[str, float] = {}
     for share in (min_share, 6 * min_share):  # a second round finds terms that seldom stand alone, if they are frequent
@@ -279,14 +279,14 @@ def learn_lexicon(usable: DataFrame, rows: int, min_share: float, min_rows: int,
     return kept, clean, toxic
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = 4000, min_share: float = 0.005, min_rows: int = 3, min_ratio: float = 8.0, ridge: float = 0.001) -> ToxicityModel:
-    """Learn the lexicon from all labelled rows, and the weights of its hits from about ``rows`` of them.
+def fit(documents: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows: int = 12000, min_share: float = 0.005, min_rows: int = 3, min_ratio: float = 8.0, ridge: float = 0.001) -> ToxicityModel:
+    """Learn the lexicon and the weights of its hits from a sample of about ``rows`` labelled rows, even over the classes.
 
     Rows with a null label teach nothing; a null text is an empty one. Without toxic rows the lexicon is empty, and
     every score is the starting model's score of a text without hits.
     """
-    usable = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).cast("int").alias("label")).dropna(subset=["label"])
-    terms, clean, toxic = learn_lexicon(usable, rows, min_share, min_rows, min_ratio)
+    usable, counts = training_sample(documents, labels, text, label, key, rows)
+    terms, clean, toxic = learn_lexicon(usable, min_share, min_rows, min_ratio)
     model = ToxicityModel(terms)
     if not clean or not toxic:
         return model
@@ -296,12 +296,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
             x = [model.features(model.hits(w), len(w)).tolist() for w in map(words_of, batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
-    got = stratified(usable, "label", "key", rows).select("text", "label").mapInArrow(featured, "label int, x array<double>").toArrow()
+    got = usable.mapInArrow(featured, "label int, x array<double>").toArrow()
     rows_ = sorted(zip(got["label"].to_pylist(), got["x"].to_pylist(), strict=True))
     if rows_:
         y, x = np.array([bool(r[0]) for r in rows_]), np.array([r[1] for r in rows_])
         # the sample is even over the classes; the score is meant for texts as frequent as in all rows
-        weight = np.where(y, toxic / max(1, y.sum()), clean / max(1, (~y).sum())) / (clean + toxic)
+        all_clean, all_toxic = counts.get(0, 0), sum(n for c, n in counts.items() if c)
+        weight = np.where(y, all_toxic / max(1, y.sum()), all_clean / max(1, (~y).sum())) / (all_clean + all_toxic)
         w = PRIOR.copy()
         for _ in range(50):  # Newton steps on the weighted logistic loss, drawn to the start
             p = sigmoid(x @ w)
