@@ -288,14 +288,14 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     """
     described = materialize(describe_sets(df, key, text, width), "described")
     whole = _components_of_sets(df, described, text, width, t)
-    kept = whole.filter(F.col("s") == F.col("kept")).select(F.col("s").alias("_kept"), F.col("first").alias("_first"))
+    kept = whole.filter(F.col("s") == F.col("kept")).select(F.col("s").alias("__llm_kept"), F.col("first").alias("__llm_first"))
 
     @F.arrow_udf("bigint")
     def set_of(column: pa.Array) -> pa.Array:
         return pa.array([set_id(s) if len(s) else None for s in shingle_sets(column, width)], pa.int64())
 
     # rows without a set meet no other row; dealing them out by their key keeps them from one task
-    rows = df.withColumn("_set", set_of(F.col(text))).withColumn("_at", F.coalesce("_set", F.xxhash64(F.lit("empty"), F.col(key))))
-    met = rows.join(kept, F.col("_at") == F.col("_kept"), "left").filter(F.col("_set").isNull() | (F.col("_kept").isNotNull() & F.col(key).eqNullSafe(F.col("_first"))))
-    again = F.row_number().over(Window.partitionBy("_at").orderBy(F.col(key)))
-    return met.withColumn("_again", again).filter(F.col("_set").isNull() | (F.col("_again") == 1)).select(*[F.col(c) for c in df.columns])
+    rows = df.withColumn("__llm_set", set_of(F.col(text))).withColumn("__llm_at", F.coalesce("__llm_set", F.xxhash64(F.lit("empty"), F.col(key))))
+    met = rows.join(kept, F.col("__llm_at") == F.col("__llm_kept"), "left").filter(F.col("__llm_set").isNull() | (F.col("__llm_kept").isNotNull() & F.col(key).eqNullSafe(F.col("__llm_first"))))
+    again = F.row_number().over(Window.partitionBy("__llm_at").orderBy(F.col(key)))
+    return met.withColumn("__llm_again", again).filter(F.col("__llm_set").isNull() | (F.col("__llm_again") == 1)).select(*[F.col(c) for c in df.columns])

@@ -71,40 +71,40 @@ def dedup_lines(
       is left becomes empty.
     * Columns of ``df`` with one of the new names are replaced. No rows give no rows.
     """
-    base = df.drop("n_lines", "removed_chunks", "removed_lines").withColumn("_digest", F.coalesce(F.md5(F.col(text)), F.lit("")))
+    base = df.drop("n_lines", "removed_chunks", "removed_lines").withColumn("__llm_digest", F.coalesce(F.md5(F.col(text)), F.lit("")))
     parts = chunks(F.col(text), window, divisor)
-    row = [F.col(key).alias("_key"), F.col("_digest").alias("_row")]
+    row = [F.col(key).alias("__llm_key"), F.col("__llm_digest").alias("__llm_row")]
     found = (
         base.select(*row, F.posexplode(parts).alias("pos", "chunk"))
         .filter(_line_count(F.col("chunk")) >= min_lines)
-        .select("_key", "_row", "pos", F.xxhash64("chunk").alias("hash"))
+        .select("__llm_key", "__llm_row", "pos", F.xxhash64("chunk").alias("hash"))
     )
     # Chunks of a hash that occurs once need no text: only the others are fetched and compared.
     repeated = found.groupBy("hash").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("hash")
-    suspects = found.join(repeated, "hash", "left_semi").groupBy("_key", "_row").agg(F.collect_set("pos").alias("_suspects"))
-    same_row = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_row"))
+    suspects = found.join(repeated, "hash", "left_semi").groupBy("__llm_key", "__llm_row").agg(F.collect_set("pos").alias("__llm_suspects"))
+    same_row = F.col(key).eqNullSafe(F.col("__llm_key")) & (F.col("__llm_digest") == F.col("__llm_row"))
     doubtful = (
         base.join(suspects, same_row)
-        .select("_key", "_row", "_suspects", F.posexplode(parts).alias("pos", "chunk"))
-        .filter(F.array_contains("_suspects", F.col("pos")))
-        .drop("_suspects")
+        .select("__llm_key", "__llm_row", "__llm_suspects", F.posexplode(parts).alias("pos", "chunk"))
+        .filter(F.array_contains("__llm_suspects", F.col("pos")))
+        .drop("__llm_suspects")
     )
-    place = F.struct(F.col("_key").isNull().alias("nil"), F.col("_key").alias("key"), F.col("_row").alias("row"), F.col("pos").alias("pos"))
+    place = F.struct(F.col("__llm_key").isNull().alias("nil"), F.col("__llm_key").alias("key"), F.col("__llm_row").alias("row"), F.col("pos").alias("pos"))
     # Grouping by the chunk's bytes is the comparison.
     firsts = doubtful.groupBy("chunk").agg(F.min(place).alias("keep"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     gone = (
         doubtful.join(firsts, "chunk")
         .filter(place != F.col("keep"))
-        .groupBy("_key", "_row")
-        .agg(F.collect_set("pos").alias("_gone"), F.sum(_line_count(F.col("chunk"))).alias("_lines"))
+        .groupBy("__llm_key", "__llm_row")
+        .agg(F.collect_set("pos").alias("__llm_gone"), F.sum(_line_count(F.col("chunk"))).alias("__llm_lines"))
     )
-    inside = F.coalesce(F.col("_gone"), F.array().cast("array<int>"))
+    inside = F.coalesce(F.col("__llm_gone"), F.array().cast("array<int>"))
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(inside, i)), "\n")
     return (
         base.join(gone, same_row, "left")
         .withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(F.col(text), "\n"))))
         .withColumn("removed_chunks", F.size(inside))
-        .withColumn("removed_lines", F.coalesce("_lines", F.lit(0)).cast("int"))
+        .withColumn("removed_lines", F.coalesce("__llm_lines", F.lit(0)).cast("int"))
         .withColumn(text, F.when(F.col("removed_chunks") == 0, F.col(text)).otherwise(F.regexp_replace(kept, "(^|\n)x", "$1")))
-        .drop("_gone", "_lines", "_key", "_row", "_digest")
+        .drop("__llm_gone", "__llm_lines", "__llm_key", "__llm_row", "__llm_digest")
     )

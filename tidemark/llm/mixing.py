@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Slices of a source's word axis: no source is summed or sorted in one task.
-SLICES = 256
+#: Hexadecimal digits of a document's hash that name its slice of the source's word axis: 4096 slices, so that no
+#: source is summed or sorted in one task.
+SLICE_DIGITS = 3
 #: Slope of a source's schedule, by its place in the order of sources: early, even and late.
 SLOPES = (-0.5, 0.0, 0.5)
 
@@ -83,32 +84,32 @@ def plan_mixture(
     order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
     base = (
         df.drop("source_size", "target", "taken", "passes", "position")
-        .withColumn("_order", order)
-        .withColumn("_slice", F.conv(F.substring("_order", 1, 2), 16, 10).cast("int"))
-        .withColumn("_null", F.col(source).isNull())
-        .withColumn("_source", F.coalesce(F.col(source), F.lit("")))
+        .withColumn("__llm_order", order)
+        .withColumn("__llm_slice", F.conv(F.substring("__llm_order", 1, SLICE_DIGITS), 16, 10).cast("int"))
+        .withColumn("__llm_null", F.col(source).isNull())
+        .withColumn("__llm_source", F.coalesce(F.col(source), F.lit("")))
     )
-    cells = base.groupBy("_source", "_null", "_slice").agg(F.sum(size).alias("_words"))
+    cells = base.groupBy("__llm_source", "__llm_null", "__llm_slice").agg(F.sum(size).alias("__llm_words"))
     sources = targets(
-        cells.groupBy("_source", "_null").agg(F.sum("_words").alias("source_size")).select(F.when(~F.col("_null"), F.col("_source")).alias("source"), "source_size"),
+        cells.groupBy("__llm_source", "__llm_null").agg(F.sum("__llm_words").alias("source_size")).select(F.when(~F.col("__llm_null"), F.col("__llm_source")).alias("source"), "source_size"),
         weights, share, most,
-    ).select(F.coalesce("source", F.lit("")).alias("_s2"), F.col("source").isNull().alias("_n2"), "source_size", "target", "rank")
-    before = Window.partitionBy("_source", "_null").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    ).select(F.coalesce("source", F.lit("")).alias("__llm_s2"), F.col("source").isNull().alias("__llm_n2"), "source_size", "target", F.col("rank").alias("__llm_rank"))
+    before = Window.partitionBy("__llm_source", "__llm_null").orderBy("__llm_slice").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        cells.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-        .join(sources, (F.col("_source") == F.col("_s2")) & (F.col("_null") == F.col("_n2")))
-        .select(F.col("_source").alias("_s1"), F.col("_null").alias("_n1"), F.col("_slice").alias("_slice1"), "_before", "source_size", "target", "rank")
+        cells.withColumn("__llm_before", F.coalesce(F.sum("__llm_words").over(before), F.lit(0)))
+        .join(sources, (F.col("__llm_source") == F.col("__llm_s2")) & (F.col("__llm_null") == F.col("__llm_n2")))
+        .select(F.col("__llm_source").alias("__llm_s1"), F.col("__llm_null").alias("__llm_n1"), F.col("__llm_slice").alias("__llm_slice1"), "__llm_before", "source_size", "target", "__llm_rank")
     )
-    local = Window.partitionBy("_source", "_null", "_slice").orderBy("_order", key, size).rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy("__llm_source", "__llm_null", "__llm_slice").orderBy("__llm_order", key, size).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        base.withColumn("_here", F.coalesce(F.sum(size).over(local), F.lit(0)))
-        .join(carry, (F.col("_source") == F.col("_s1")) & (F.col("_null") == F.col("_n1")) & (F.col("_slice") == F.col("_slice1")))
-        .withColumn("_start", F.col("_before") + F.col("_here"))
+        base.withColumn("__llm_here", F.coalesce(F.sum(size).over(local), F.lit(0)))
+        .join(carry, (F.col("__llm_source") == F.col("__llm_s1")) & (F.col("__llm_null") == F.col("__llm_n1")) & (F.col("__llm_slice") == F.col("__llm_slice1")))
+        .withColumn("__llm_start", F.col("__llm_before") + F.col("__llm_here"))
     )
-    slope = F.get(F.array(*map(F.lit, SLOPES)), F.col("rank") % len(SLOPES))
+    slope = F.get(F.array(*map(F.lit, SLOPES)), F.col("__llm_rank") % len(SLOPES))
 
     def one_pass(e: int) -> Column:
-        start = F.col("_start") + e * F.col("source_size")
+        start = F.col("__llm_start") + e * F.col("source_size")
         words = F.greatest(F.lit(0).cast("long"), F.least(F.col(size), F.floor("target") - start))
         return F.struct(
             F.lit(e).alias("pass"),
@@ -121,7 +122,7 @@ def plan_mixture(
         placed.withColumn("passes", used)
         .withColumn("taken", F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["words"]))
         .withColumn("position", F.get("passes", F.lit(0))["position"])
-        .drop("_order", "_slice", "_null", "_source", "_here", "_s1", "_n1", "_slice1", "_before", "_start", "rank")
+        .drop("__llm_order", "__llm_slice", "__llm_null", "__llm_source", "__llm_here", "__llm_s1", "__llm_n1", "__llm_slice1", "__llm_before", "__llm_start", "__llm_rank")
     )
 
 
@@ -133,10 +134,10 @@ def leading_words(text: Column, words: Column) -> Column:
 
 def arrange(planned: DataFrame, text: str = "text", size: str = "size") -> DataFrame:
     """The training order: a row per document and pass, the last pass's part cut, range-sorted by position."""
-    rows = planned.withColumn("_p", F.explode("passes")).withColumn("position", F.col("_p.position"))
-    whole = F.col("_p.words") == F.col(size)
+    rows = planned.withColumn("__llm_p", F.explode("passes")).withColumn("position", F.col("__llm_p.position"))
+    whole = F.col("__llm_p.words") == F.col(size)
     return (
-        rows.withColumn(text, F.when(whole, F.col(text)).otherwise(leading_words(F.col(text), F.col("_p.words"))))
-        .orderBy("position", F.col("_p.pass"))
-        .drop("_p", "passes", "taken", "target", "source_size")
+        rows.withColumn(text, F.when(whole, F.col(text)).otherwise(leading_words(F.col(text), F.col("__llm_p.words"))))
+        .orderBy("position", F.col("__llm_p.pass"))
+        .drop("__llm_p", "passes", "taken", "target", "source_size")
     )

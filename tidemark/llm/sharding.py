@@ -76,17 +76,17 @@ def number_rows(df: DataFrame, group: str, order: list[Column], out: str) -> Dat
     Rows are numbered per (group, hash slice), and a table of slice totals carries the numbers on.
     Rows that agree in everything take their numbers in any order.
     """
-    cell = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
-    running = Window.partitionBy("_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    cell = df.withColumn("__llm_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
+    running = Window.partitionBy("__llm_g").orderBy("__llm_s").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
-        cell.groupBy(F.col(group).alias("_g"), F.col("_slice").alias("_s"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select("_g", "_s", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+        cell.groupBy(F.col(group).alias("__llm_g"), F.col("__llm_slice").alias("__llm_s"))
+        .agg(F.count(F.lit(1)).alias("__llm_n"))
+        .select("__llm_g", "__llm_s", F.coalesce(F.sum("__llm_n").over(running), F.lit(0)).alias("__llm_before"))
     )
-    local = F.row_number().over(Window.partitionBy(group, "_slice").orderBy(*order))
-    numbered = cell.withColumn("_local", local)
-    joined = numbered.join(carry, (F.col(group) == F.col("_g")) & (F.col("_slice") == F.col("_s")))
-    return joined.withColumn(out, F.col("_before") + F.col("_local") - 1).drop("_g", "_s", "_n", "_before", "_local", "_slice")
+    local = F.row_number().over(Window.partitionBy(group, "__llm_slice").orderBy(*order))
+    numbered = cell.withColumn("__llm_local", local)
+    joined = numbered.join(carry, (F.col(group) == F.col("__llm_g")) & (F.col("__llm_slice") == F.col("__llm_s")))
+    return joined.withColumn(out, F.col("__llm_before") + F.col("__llm_local") - 1).drop("__llm_g", "__llm_s", "__llm_n", "__llm_before", "__llm_local", "__llm_slice")
 
 
 def shard_documents(df: DataFrame, tree: Topology, key: str = "doc_id", text: str = "text") -> DataFrame:
