@@ -121,10 +121,20 @@ BLOAT = """bl AS (SELECT sock_cookie, seg, max(ratio) AS worst_ratio, arg_min(th
   (SELECT s.*, floor_us, (CAST(ts_ns AS DOUBLE) - CAST(t0 AS DOUBLE)) / greatest(CAST(t1 AS DOUBLE) - CAST(t0 AS DOUBLE), 1.0) AS rel FROM seg s JOIN st USING (sock_cookie, seg) WHERE floor_us > 0) g) GROUP BY 1, 2)"""
 BUCKETS = """iv AS (SELECT g.sock_cookie, direction, pts AS ta, ts_ns AS tb, CAST(greatest(CASE WHEN direction = 'down' THEN bytes_recv - pr ELSE bytes_sent - ps END, 0) AS DOUBLE) AS bytes,
  pts // 1000000000 AS b0, (ts_ns - 1) // 1000000000 AS b1 FROM seg g JOIN st USING (sock_cookie, seg) WHERE direction IS NOT NULL AND ts_ns > pts),
-xb AS (SELECT *, greatest(ta, bucket * 1000000000) AS lo, least(tb, (bucket + 1) * 1000000000) AS hi FROM (SELECT *, unnest(generate_series(b0, b1)) AS bucket FROM iv WHERE b1 - b0 < 4096)),
-bk AS (SELECT direction, bucket, sum(bytes * (hi - lo) / (tb - ta)) AS bytes, count(DISTINCT sock_cookie) AS sockets, (max(hi) - min(lo)) / 1e9 AS covered_s FROM xb WHERE hi > lo GROUP BY 1, 2),
-bb AS (SELECT *, bytes / covered_s AS rate FROM bk WHERE covered_s >= 0.25)"""
-_AGG = f"ag AS (SELECT direction, max(rate) AS peak, max(sockets) AS max_sockets, {S.mid('rate')} AS typical FROM bb GROUP BY 1 HAVING max(sockets) >= 2)"
+ed AS (SELECT direction, sock_cookie, b0 AS bucket, bytes * (least(tb, (b0 + 1) * 1000000000) - ta) / (tb - ta) AS bytes, ta AS lo, least(tb, (b0 + 1) * 1000000000) AS hi FROM iv
+ UNION ALL SELECT direction, sock_cookie, b1, bytes * (tb - b1 * 1000000000) / (tb - ta), b1 * 1000000000, tb FROM iv WHERE b1 > b0),
+eb AS (SELECT direction, bucket, sum(bytes) AS bytes, count(DISTINCT sock_cookie) AS sockets, min(lo) AS lo, max(hi) AS hi FROM ed GROUP BY 1, 2),
+fr AS (SELECT direction, b0 + 1 AS f, b1 AS t, CAST(bytes * 1000000000 / (tb - ta) AS DECIMAL(38, 6)) AS r FROM iv WHERE b1 > b0 + 1),
+sp AS (SELECT direction, bucket, CAST(sum(n) AS BIGINT) AS n, CAST(sum(r) AS DECIMAL(38, 6)) AS r FROM (SELECT direction, f AS bucket, 1 AS n, r FROM fr UNION ALL SELECT direction, t, -1, -r FROM fr) GROUP BY 1, 2),
+mk AS (SELECT direction, bucket FROM eb UNION SELECT direction, bucket + 1 FROM eb UNION SELECT direction, bucket FROM sp),
+lv AS (SELECT direction, bucket, CAST(sum(coalesce(n, 0)) OVER w AS BIGINT) AS full_, CAST(sum(coalesce(r, 0)) OVER w AS DOUBLE) AS fb, lead(bucket) OVER w AS nx
+ FROM mk LEFT JOIN sp USING (direction, bucket) WINDOW w AS (PARTITION BY direction ORDER BY bucket)),
+bk AS (SELECT direction, bucket, coalesce(nx - bucket, 1) AS buckets, coalesce(bytes, 0) + fb AS bytes, coalesce(sockets, 0) + full_ AS sockets,
+ CASE WHEN full_ > 0 THEN 1.0::DOUBLE ELSE (hi - lo) / 1e9 END AS covered_s FROM lv LEFT JOIN eb USING (direction, bucket)),
+bb AS (SELECT *, bytes / covered_s AS rate FROM bk WHERE sockets > 0 AND covered_s >= 0.25)"""
+_AGG = """cw AS (SELECT direction, rate, sum(buckets) OVER (PARTITION BY direction ORDER BY rate) AS c, sum(buckets) OVER (PARTITION BY direction) AS n FROM bb),
+ag AS (SELECT direction, peak, max_sockets, typical FROM (SELECT direction, max(rate) AS peak, max(sockets) AS max_sockets FROM bb GROUP BY 1 HAVING max(sockets) >= 2)
+ JOIN (SELECT direction, (min(rate) FILTER (WHERE c >= (n + 1) // 2) + min(rate) FILTER (WHERE c >= n // 2 + 1)) / 2 AS typical FROM cw GROUP BY 1) USING (direction))"""
 _FLAT = """'connection' AS sample_kind, NULL::VARCHAR AS s3_op, NULL::VARCHAR AS bucket, NULL::VARCHAR AS prefix_hash, NULL::VARCHAR AS region, NULL::BIGINT AS app_pid,
  (SELECT min(ts_ns) FROM samples) AS ts_start, (SELECT max(ts_ns) FROM samples) AS ts_end, NULL::BIGINT AS baseline_rtt_us, NULL::DOUBLE AS ratio_to_rtt, CAST(0 AS BIGINT) AS excluded,
  'network' AS domain, 'unjudged' AS severity"""

@@ -6,14 +6,12 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog import sql as S
 from tidemark.config import DEFAULT
-from tidemark.plans import findings as FD
 from tidemark.plans import sequence as SQ
 from tidemark.plans import study as ST
-from tidemark.session import materialize
 from tidemark.sources import tables as T
 
 BLOCK = 65_536
-SMALL = replace(DEFAULT, cache_min_gets=20, nogo_min_gets=50, cooccurrence_window=8)
+SMALL = replace(DEFAULT, cooccurrence_window=8)
 
 
 def _pooled(s, d):
@@ -25,17 +23,11 @@ def _blocks(s, d):
 
 
 QUERIES = {
-    "mrc1_lru_curve": lambda s, d: ST.miss_ratio_curve(_pooled(s, d)),
-    "mrc2_byte_curve": lambda s, d: ST.byte_curve(_pooled(s, d)),
+    "mrc_residency_ceiling": lambda s, d: ST.resident_hits(ST.split_and_pooled(T.trace(s, d))),
     "mrc3_byte_sizing": lambda s, d: ST.byte_sizing(_pooled(s, d)),
-    "mrc4_ladder_knee": lambda s, d: ST.knee(materialize(ST.miss_ratio_curve(_pooled(s, d)), "curve")),
     "mrc5_block_expansion": lambda s, d: _blocks(s, d).groupBy("op", "object_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts_ns").alias("last_ts")),
     "mrc6_working_set": lambda s, d: ST.summary(ST.split_and_pooled(T.trace(s, d))),
-    "mrc7_study_verdict": lambda s, d: ST.verdict(_pooled(s, d)),
-    "mrc8_per_application": lambda s, d: ST.miss_ratio_curve(ST.split_and_pooled(T.trace(s, d))),
-    "adv10_adv12_cache_findings": lambda s, d: FD.flatten(ST.cache_findings(T.trace(s, d), cfg=SMALL)),
     "adv13_sequence_structure": lambda s, d: SQ.predictability(_pooled(s, d), k=8).select("share").withColumn("structured", F.col("share") >= DEFAULT.structure_floor),
-    "top3_leading_slice": lambda s, d: ST.leading(_pooled(s, d), 500).select("ts_ns", "op_id", "object_id"),
     "ts15_next_use": lambda s, d: ST.next_use(_pooled(s, d)),
     "seq1_transitions": lambda s, d: SQ.transitions(_pooled(s, d)),
     "seq2_order2_transitions": lambda s, d: SQ.transitions(_pooled(s, d), order=2).withColumn("context", F.translate("context", "\x1f", ">")),
@@ -45,42 +37,11 @@ QUERIES = {
     "seq6_predictability": lambda s, d: SQ.predictability(_pooled(s, d), k=4),
 }
 
-_EV = S.TRACE + """,
-ev AS (SELECT *, row_number() OVER (PARTITION BY app ORDER BY ts_ns, op_id) AS i FROM {src} WHERE op IN ('get', 'put', 'delete')),
-lg AS (SELECT *, lag(op) OVER w AS pop, lag(i) OVER w AS pi, lag(w8) OVER w AS pw FROM ev WINDOW w AS (PARTITION BY app, object_id ORDER BY i)),
-dl AS (SELECT app, i, CASE WHEN pop = 'get' THEN pi END AS q, op, coalesce(pw, 0) AS pw, w8 FROM lg),
-ac AS (SELECT app, i, q, w8, pw FROM dl WHERE op = 'get' AND q IS NOT NULL),
-st AS (SELECT a.app, a.i, a.w8, a.pw, e.i AS j,
-  CASE WHEN e.op = 'get' THEN CASE WHEN e.q IS NULL OR e.q < a.q THEN 1 ELSE 0 END ELSE CASE WHEN e.q > a.q THEN -1 ELSE 0 END END AS dn,
-  CASE WHEN e.op = 'get' THEN CASE WHEN e.q IS NULL OR e.q < a.q THEN e.w8 ELSE e.w8 - e.pw END ELSE CASE WHEN e.q > a.q THEN -e.pw ELSE 0 END END AS db
-  FROM ac a JOIN dl e ON e.app = a.app AND e.i > a.q AND e.i < a.i),
-rs AS (SELECT app, i, sum(dn) OVER w AS rn, sum(db) OVER w AS rb FROM st WINDOW w AS (PARTITION BY app, i ORDER BY j)),
-pk AS (SELECT a.app, a.i, a.w8, 1 + greatest(coalesce(max(rn), 0), 0) AS pn, a.pw + greatest(coalesce(max(rb), 0), 0) AS pb FROM ac a LEFT JOIN rs r ON a.app = r.app AND a.i = r.i GROUP BY a.app, a.i, a.w8, a.pw)"""
 _P = "(SELECT * EXCLUDE (app), '*' AS app, CAST(1 AS BIGINT) AS w8 FROM trace)"
 _SPLIT = "(SELECT * EXCLUDE (app), CAST(app AS VARCHAR) AS app, CAST(1 AS BIGINT) AS w8 FROM trace UNION ALL SELECT * EXCLUDE (app), '*' AS app, CAST(1 AS BIGINT) AS w8 FROM trace)"
-_CURVE = """,
-rd AS (SELECT app, count(*) AS accesses, count(DISTINCT object_id) AS objects FROM ev WHERE op = 'get' GROUP BY 1),
-cp AS (SELECT app, accesses, unnest(list_distinct([CAST(pow(2, x) AS BIGINT) FOR x IN range(1, 40) IF pow(2, x) < {top}] || [CAST({top} AS BIGINT)])) AS cap FROM rd),
-curve AS (SELECT cp.app, cap, accesses, count(pk.i) AS hits, count(pk.i) / accesses AS hit_rate FROM cp LEFT JOIN pk ON cp.app = pk.app AND pk.pn <= cap GROUP BY 1, 2, 3)"""
-_STUDY = "greatest(64, least(objects, 4096))"
-_ADVISE = "greatest(objects, 2)"
-
-
-def _mrc(src: str, top: str = _STUDY) -> str:
-    return f"WITH {_EV.format(src=src)}{_CURVE.format(top=top)}"
-
-
-_KNEE = ", mx AS (SELECT app, greatest(max(hit_rate), 0) AS ceiling FROM curve GROUP BY 1), kn AS (SELECT app, ceiling, min(cap) AS knee_cap, arg_min(hit_rate, cap) AS knee_rate FROM curve JOIN mx USING (app) WHERE hit_rate >= ceiling - abs(ceiling) * 0.05::DOUBLE GROUP BY 1, 2)"
 _SIZES = f"""osz AS (SELECT object_id, arg_max(size, ts_ns) FILTER (WHERE size IS NOT NULL) AS latest FROM trace WHERE op = 'get' AND status <> 206 GROUP BY 1),
 zz AS (SELECT '*' AS app, count(*) AS objects, count(latest) AS sized, greatest({S.upper('latest')}, 1) AS fill, coalesce(sum(latest), 0) AS known FROM osz),
 sz AS (SELECT app, objects, sized, fill, CAST(known + (objects - sized) * fill AS BIGINT) AS total_bytes FROM zz)"""
-_BT = f"""{_SIZES}, bsrc AS (SELECT t.* EXCLUDE (app), '*' AS app, CASE WHEN op = 'get' THEN coalesce(t.size, o.latest, sz.fill) ELSE 0 END AS w8 FROM trace t LEFT JOIN osz o USING (object_id), sz WHERE op IN ('get', 'put', 'delete'))"""
-_BCURVE = """, fl AS (SELECT total_bytes AS total, least(1048576, total_bytes) AS f0 FROM sz), fs AS (SELECT total, unnest([greatest(1, CAST(floor(f0 / pow(4, j)) AS BIGINT)) FOR j IN range(0, 13)]) AS f FROM fl),
-ok AS (SELECT max(total) AS total, max(f) AS f FROM fs WHERE f <= 1 OR len([x FOR x IN range(0, 31) IF f * pow(4, x) < total]) + 1 >= 5),
-bcp AS (SELECT unnest([CAST(f * pow(4, x) AS BIGINT) FOR x IN range(0, 31) IF f * pow(4, x) < total] || [total]) AS cap FROM ok),
-br AS (SELECT count(*) AS accesses, sum(w8) AS bytes FROM ev WHERE op = 'get'),
-bcurve AS (SELECT '*' AS app, cap, count(pk.i) / any_value(accesses) AS hit_rate, coalesce(sum(pk.w8), 0) / any_value(bytes) AS byte_hit_rate, true AS exact FROM bcp CROSS JOIN br LEFT JOIN pk ON pk.pb <= cap GROUP BY 2)"""
-_BYTES = f"WITH {_EV.format(src='bsrc').replace('ev AS (', _BT + ', ev AS (', 1)}{_BCURVE}"
 _G = S.TRACE + """,
 rdx AS (SELECT object_id, ts_ns, op_id, row_number() OVER (ORDER BY ts_ns, op_id) AS i, lag(object_id, 1) OVER w AS p1, lag(object_id, 2) OVER w AS p2 FROM trace WHERE op = 'get' WINDOW w AS (ORDER BY ts_ns, op_id))"""
 
@@ -104,33 +65,16 @@ bev AS (SELECT ts_ns, op_id, op, object_id, CASE WHEN size > 0 THEN (size - 1) /
 own AS (SELECT *, unnest(generate_series(0, b1)) AS block FROM bev),
 blk AS (SELECT ts_ns, op_id, op, object_id AS base, block FROM own WHERE op = 'get' UNION ALL
   (SELECT ts_ns, op_id, op, object_id, block FROM own WHERE op <> 'get' UNION SELECT w.ts_ns, w.op_id, w.op, w.object_id, t.block FROM bev w JOIN own t ON w.object_id = t.object_id AND w.ep = t.ep AND t.op = 'get' WHERE w.op <> 'get'))"""
-_FIND_COLS = """NULL::VARCHAR AS verdict, NULL::VARCHAR AS value_str, NULL::BIGINT AS baseline_rtt_us, NULL::DOUBLE AS ratio_to_rtt, NULL::VARCHAR AS s3_op, NULL::VARCHAR AS bucket,
- NULL::VARCHAR AS prefix_hash, NULL::VARCHAR AS region, NULL::BIGINT AS app_pid, 'client' AS domain, 'operation' AS sample_kind"""
 
 ORACLES = {
-    "mrc1_lru_curve": _mrc(_P) + " SELECT * FROM curve",
-    "mrc2_byte_curve": _BYTES + " SELECT * FROM bcurve",
+    "mrc_residency_ceiling": f"""WITH {S.TRACE}, z AS (SELECT app, op, lag(op) OVER (PARTITION BY app, object_id ORDER BY ts_ns, op_id) AS p FROM {_SPLIT} WHERE op IN ('get', 'put', 'delete'))
+ SELECT app, count(*) FILTER (WHERE op = 'get') AS accesses, count(*) FILTER (WHERE op = 'get' AND p = 'get') AS resident_hits,
+ count(*) FILTER (WHERE op = 'get' AND p = 'get') / nullif(count(*) FILTER (WHERE op = 'get'), 0) AS ceiling FROM z GROUP BY 1""",
     "mrc3_byte_sizing": f"WITH {S.TRACE}, {_SIZES} SELECT * FROM sz",
-    "mrc4_ladder_knee": _mrc(_P) + _KNEE + " SELECT * FROM kn",
     "mrc5_block_expansion": f"WITH {_BLK} SELECT op, base || '#' || block AS object_id, count(*) AS n, max(ts_ns) AS last_ts FROM blk GROUP BY 1, 2",
     "mrc6_working_set": f"""WITH {S.TRACE} SELECT app, count(*) AS events, count(*) FILTER (WHERE op = 'get') AS gets, count(DISTINCT object_id) FILTER (WHERE op = 'get') AS objects,
  CAST(0 AS BIGINT) AS ranged_excluded, CAST(0 AS DOUBLE) AS ranged_frac, count(size) FILTER (WHERE op = 'get') / count(*) FILTER (WHERE op = 'get') AS size_coverage, min(ts_ns) AS ts_start, max(ts_ns) AS ts_end FROM {_SPLIT} GROUP BY 1""",
-    "mrc7_study_verdict": _mrc(_P) + _KNEE + """, sm AS (SELECT '*' AS app, count(*) AS events, count(*) FILTER (WHERE op = 'get') AS gets, count(DISTINCT object_id) FILTER (WHERE op = 'get') AS objects FROM trace)
- SELECT app, CASE WHEN ceiling >= 0.1 THEN 'go' WHEN gets >= 2000 THEN 'no-go' ELSE 'unjudged' END AS verdict, events, gets, objects, CAST(0 AS DOUBLE) AS ranged_frac, ceiling, knee_cap, knee_rate,
- CASE WHEN ceiling >= 0.1 THEN knee_cap END AS recommended_cap, objects > 4096 AS ladder_capped FROM sm JOIN kn USING (app)""",
-    "mrc8_per_application": _mrc(_SPLIT) + " SELECT * FROM curve",
-    "adv10_adv12_cache_findings": _BYTES + f""", bm AS (SELECT max(hit_rate) AS rm, max(byte_hit_rate) AS em FROM bcurve), bk AS (SELECT min(cap) AS bkn FROM bcurve, bm WHERE hit_rate >= rm - abs(rm) * 0.05::DOUBLE),
- sm AS (SELECT count(*) AS events, count(*) FILTER (WHERE op = 'get') AS gets, count(size) FILTER (WHERE op = 'get') / count(*) FILTER (WHERE op = 'get') AS cov, min(ts_ns) AS ts_start, max(ts_ns) AS ts_end FROM trace),
- cv AS (SELECT max(hit_rate) AS ceiling FROM ({_mrc(_P, _ADVISE)} SELECT * FROM curve)),
- al AS (SELECT * FROM sm, cv, bm, bk WHERE gets >= 20),
- rw AS (SELECT 'advisor-cache-go' AS finding_id, 'advisory' AS severity, 'lru_net_savings_max' AS metric, ceiling AS value_num, 'ratio' AS unit, * FROM al WHERE ceiling >= 0.1
-  UNION ALL SELECT 'advisor-cache-size', 'advisory', 'knee_cap_bytes', CAST(bkn AS DOUBLE), 'none', * FROM al WHERE ceiling >= 0.1 AND cov >= 0.8
-  UNION ALL SELECT 'advisor-cache-requests-not-dollars', 'advisory', 'egress_byte_savings_max', em, 'ratio', * FROM al WHERE ceiling >= 0.1 AND cov >= 0.8 AND em < 0.1
-  UNION ALL SELECT 'advisor-cache-nogo', 'advisory', 'lru_net_savings_max', ceiling, 'ratio', * FROM al WHERE ceiling < 0.1 AND gets >= 50
-  UNION ALL SELECT 'advisor-cache-unjudged', 'unjudged', 'gets', CAST(gets AS DOUBLE), 'ratio', * FROM al WHERE ceiling < 0.1 AND gets < 50)
- SELECT finding_id, severity, metric, value_num, unit, gets AS judged, events - gets AS excluded, ts_start, ts_end, {_FIND_COLS} FROM rw""",
     "adv13_sequence_structure": f"SELECT share, share >= 0.1 AS structured FROM ({_predict(8)})",
-    "top3_leading_slice": f"WITH {S.TRACE} SELECT ts_ns, op_id, object_id FROM trace ORDER BY ts_ns, op_id LIMIT 500",
     "ts15_next_use": f"""WITH {S.TRACE}, z AS (SELECT op, object_id, op_id, ts_ns, lead(op) OVER w AS no, lead(ts_ns) OVER w AS nt FROM trace WHERE op IN ('get', 'put', 'delete')
  WINDOW w AS (PARTITION BY object_id ORDER BY ts_ns, op_id)) SELECT '*' AS app, object_id, op_id, ts_ns, CASE WHEN no = 'get' THEN nt END AS next_use FROM z WHERE op = 'get'""",
     "seq1_transitions": _trans("p1", "p1 IS NOT NULL"),

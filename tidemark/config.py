@@ -35,7 +35,6 @@ class Config:
     ts_bloat_lo: float = 1.2
     agg_bucket_ns: int = 1_000_000_000
     agg_min_cover: float = 0.25
-    agg_max_span_buckets: int = 4096
     # scorecard
     sc_min_ops: int = 50
     sc_min_errors: int = 5
@@ -75,17 +74,8 @@ class Config:
     path_min_conns: int = 5
     rtt_report_floor_us: int = 50_000
     # cache study
-    cache_min_gets: int = 200
-    nogo_min_gets: int = 2000
-    go_floor: float = 0.10
     structure_floor: float = 0.10
-    knee_eps_frac: float = 0.05
     ranged_frac_max: float = 0.05
-    anchor_cap: int = 64
-    max_cap: int = 4096
-    min_byte_rungs: int = 3
-    target_byte_rungs: int = 5
-    max_blocks_per_read: int = 4096
     cooccurrence_window: int = 32
     # geography
     triage_min_ms: float = 10.0

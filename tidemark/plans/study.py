@@ -1,20 +1,16 @@
-"""The cache study of an access trace: reuse, sizing and its verdict.
+"""The study of an access trace: reuse, working set and sizing.
 
 Traces have app, ts_ns, op_id, op, object_id, size, status; ``app`` is '*' for the pooled
-stream. Capacities are evaluated from one pass over the reuse peaks.
+stream. No cache is replayed: reuse is what a cache that never evicts would hit, an upper bound for any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import DEFAULT, Config
 from tidemark.operators.quantiles import Stat, exact_quantiles
-from tidemark.operators.recency import reuse_peaks
 from tidemark.operators.slices import SLICE, lagged, prefix
-from tidemark.plans import findings as FD
-from tidemark.session import materialize
 
 ALL = "*"
 
@@ -36,7 +32,7 @@ def whole_get() -> Column:
     return (F.col("op") == "get") & ~_ranged()
 
 
-def summary(trace: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def summary(trace: DataFrame) -> DataFrame:
     """Per app: events, reads, distinct objects, ranged share and size coverage."""
     has_range = F.col("range_start").isNotNull() if "range_start" in trace.columns else F.lit(False)
     per_object = trace.groupBy("app", "object_id").agg(
@@ -62,62 +58,16 @@ def summary(trace: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
 
 
-def object_caps(objects: Column, cfg: Config = DEFAULT, study: bool = True) -> Column:
-    """2, 4, 8, ... and the top: the object count, between the anchor and the cap in a study."""
-    top = F.greatest(F.lit(cfg.anchor_cap), F.least(objects, F.lit(cfg.max_cap))) if study else F.greatest(objects, F.lit(2))
-    powers = F.transform(F.sequence(F.lit(1), F.lit(61)), lambda i: F.pow(F.lit(2.0), i).cast("bigint"))
-    return F.concat(F.filter(powers, lambda c: c < top), F.array(top.cast("bigint")))
-
-
-def _by_rung(peaks: DataFrame, caps: DataFrame, peak: str) -> DataFrame:
-    """(app, cap, hits, hit_bytes): accesses counted at their smallest sufficient rung, then
-    accumulated over the few rungs of an app."""
-    reached = (
-        peaks.where((F.col("kind") == "hit") & (F.col("peak_n") < (1 << 61)))
-        .groupBy("app", peak, "weight").agg(F.count(F.lit(1)).alias("n"))
-        .join(caps.select("app", "caps"), "app")
-        .withColumn("cap", F.array_min(F.filter("caps", lambda c: c >= F.col(peak))))
-        .where(F.col("cap").isNotNull())
-        .groupBy("app", "cap")
-        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("weight")).alias("b"))
-    )
-    rungs = caps.select("app", F.explode("caps").alias("cap"))
-    upto = Window.partitionBy("app").orderBy("cap").rowsBetween(Window.unboundedPreceding, 0)
-    return rungs.join(reached, ["app", "cap"], "left").select(
-        "app", "cap",
-        F.sum(F.coalesce("n", F.lit(0))).over(upto).alias("hits"),
-        F.sum(F.coalesce("b", F.lit(0))).over(upto).alias("hit_bytes"),
-    )
-
-
 def resident_hits(trace: DataFrame) -> DataFrame:
-    """Per app the reads whose object was read before and not written since: the hits of a
-    cache that never evicts."""
+    """Per app the reads, and those of an object that was read before and not written since: the hits of a
+    cache that never evicts, so the most that any cache which writes invalidate can reach."""
     ev = trace.where(F.col("op").isin("get", "put", "delete")).select("app", "object_id", "ts_ns", "op_id", "op")
     prev = lagged(ev, ["app", "object_id"], "ts_ns", {"prev_op": ("op", 1)}, ties=("op_id",))
+    reads = F.col("op") == "get"
     return prev.groupBy("app").agg(
-        F.count_if((F.col("op") == "get") & F.coalesce(F.col("prev_op") == "get", F.lit(False))).alias("resident_hits")
-    )
-
-
-def miss_ratio_curve(trace: DataFrame, cfg: Config = DEFAULT, *, study: bool = True, depth: int | None = None) -> DataFrame:
-    """(app, cap, accesses, hits, hit_rate): LRU over object capacities, writes invalidate.
-
-    Rungs up to ``depth`` come from the reuse peaks; a top rung beyond it (all objects fit)
-    is the never-evicting cache; rungs between the two are left out.
-    """
-    depth = depth or cfg.max_cap
-    reads = trace.where(F.col("op") == "get").groupBy("app", "object_id").agg(F.count(F.lit(1)).alias("n")).groupBy("app").agg(
-        F.sum("n").alias("accesses"), F.count(F.lit(1)).alias("objects")
-    )
-    caps = materialize(reads.withColumn("caps", object_caps(F.col("objects"), cfg, study)), "caps")
-    unit = trace.select("app", "ts_ns", F.col("op_id").alias("tie"), "op", "object_id", F.lit(1).cast("bigint").alias("weight"))
-    curve = _by_rung(reuse_peaks(unit, depth), caps, "peak_n").join(caps.select("app", "accesses", "objects"), "app")
-    curve = curve.join(resident_hits(trace), "app", "left")
-    hits = F.when(F.col("cap") > depth, F.col("resident_hits")).otherwise(F.col("hits"))
-    return curve.where((F.col("cap") <= depth) | (F.col("cap") >= F.col("objects"))).select(
-        "app", "cap", "accesses", hits.alias("hits"), (hits / F.col("accesses")).alias("hit_rate")
-    )
+        F.count_if(reads).alias("accesses"),
+        F.count_if(reads & F.coalesce(F.col("prev_op") == "get", F.lit(False))).alias("resident_hits"),
+    ).withColumn("ceiling", F.when(F.col("accesses") > 0, F.col("resident_hits") / F.col("accesses")))
 
 
 def object_sizes(trace: DataFrame) -> DataFrame:
@@ -141,68 +91,10 @@ def byte_sizing(trace: DataFrame) -> DataFrame:
     )
 
 
-def byte_caps(total: Column, cfg: Config = DEFAULT) -> Column:
-    """Powers of four from 1 MiB (lower when that leaves too few rungs) to the working set."""
-    start = F.least(F.lit(1 << 20).cast("bigint"), total)
-    quarter = lambda j: F.floor(start / F.pow(F.lit(4.0), j)).cast("bigint")
-    floors = F.transform(F.sequence(F.lit(0), F.lit(12)), lambda j: F.greatest(quarter(j), F.lit(1).cast("bigint")))
-    steps = lambda f: F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: f.cast("double") * F.pow(F.lit(4.0), i)), lambda c: c < total.cast("double")
-    )
-    enough = F.filter(floors, lambda f: (F.size(steps(f)) + 1 >= cfg.target_byte_rungs) | (f <= 1))
-    return F.concat(F.transform(steps(enough[0]), lambda c: c.cast("bigint")), F.array(total))
-
-
-def byte_trace(trace: DataFrame, sizing: DataFrame) -> DataFrame:
-    """Reads with their own size, else their object's latest, else the median; and writes."""
-    known = object_sizes(trace).withColumnRenamed("size", "latest")
-    w = F.when(whole_get(), F.greatest(F.coalesce("size", "latest", "fill"), F.lit(0))).otherwise(0)
-    return (
-        trace.where(whole_get() | F.col("op").isin("put", "delete"))
-        .join(known, ["app", "object_id"], "left")
-        .join(sizing.select("app", "fill"), "app")
-        .select("app", "ts_ns", F.col("op_id").alias("tie"), "op", "object_id", w.cast("bigint").alias("weight"))
-    )
-
-
-def byte_curve(trace: DataFrame, cfg: Config = DEFAULT, depth: int | None = None) -> DataFrame:
-    """(app, cap, hit_rate, byte_hit_rate, exact) over the byte ladder.
-
-    ``exact`` is false for a rung the tracked depth cannot decide; such rungs name no knee.
-    """
-    depth = depth or cfg.max_cap
-    sizing = materialize(byte_sizing(trace).where(F.col("total_bytes") > 0), "sizing")
-    caps = sizing.withColumn("caps", byte_caps(F.col("total_bytes"), cfg)).where(F.size("caps") >= cfg.min_byte_rungs)
-    bt = materialize(byte_trace(trace, sizing), "byte-trace")
-    reads = bt.where(F.col("op") == "get").groupBy("app").agg(F.count(F.lit(1)).alias("accesses"), F.sum("weight").alias("bytes"))
-    peaks = materialize(reuse_peaks(bt, depth), "byte-peaks")
-    limit = peaks.where(F.col("kind") == "limit").groupBy("app").agg(F.min("peak_b").alias("limit"))
-    return (
-        _by_rung(peaks, caps, "peak_b")
-        .join(reads, "app")
-        .join(limit, "app", "left")
-        .select(
-            "app", "cap",
-            (F.col("hits") / F.col("accesses")).alias("hit_rate"),
-            F.when(F.col("bytes") > 0, F.col("hit_bytes") / F.col("bytes")).otherwise(F.lit(0.0)).alias("byte_hit_rate"),
-            (F.col("limit").isNull() | (F.col("cap") < F.col("limit"))).alias("exact"),
-        )
-    )
-
-
-def knee(curve: DataFrame, rate: str = "hit_rate", cfg: Config = DEFAULT) -> DataFrame:
-    """Per app the smallest capacity within a fraction of the best rate."""
-    top = curve.groupBy("app").agg(F.greatest(F.max(rate), F.lit(0.0)).alias("ceiling"))
-    ok = F.col(rate) >= F.col("ceiling") - F.abs("ceiling") * cfg.knee_eps_frac
-    return curve.join(top, "app").where(ok).groupBy("app", "ceiling").agg(F.min(F.struct("cap", F.col(rate).alias("rate"))).alias("k")).select(
-        "app", "ceiling", F.col("k.cap").alias("knee_cap"), F.col("k.rate").alias("knee_rate")
-    )
-
-
-def to_blocks(trace: DataFrame, block_bytes: int, cfg: Config = DEFAULT) -> DataFrame:
+def to_blocks(trace: DataFrame, block_bytes: int) -> DataFrame:
     """Reads and writes of objects as accesses of fixed-size blocks ``id#n``.
 
-    A read covers the blocks of its extent (capped before the explode). A write covers its
+    A read covers the blocks of its extent. A write covers its
     own and every block read since the previous write of the object: reads are tagged with
     their write epoch, so this is one join of writes to distinct blocks per epoch.
     """
@@ -216,7 +108,7 @@ def to_blocks(trace: DataFrame, block_bytes: int, cfg: Config = DEFAULT) -> Data
     )
     is_write = F.col("op") != "get"
     ev = prefix(ev, ["app", "object_id"], "ts_ns", {"epoch": ("sum", is_write.cast("int"))}, ties=("op_id",), frame="rows_before").drop(SLICE)
-    own = ev.withColumn("block", F.explode(F.sequence("b0", F.least("b1", F.col("b0") + cfg.max_blocks_per_read - 1))))
+    own = ev.withColumn("block", F.explode(F.sequence("b0", "b1")))
     touched = own.where(~is_write).select("app", "object_id", "epoch", "block").distinct()
     swept = ev.where(is_write).join(touched, ["app", "object_id", "epoch"])
     cols = ["app", "ts_ns", "op_id", "op", "object_id", "status", "block"]
@@ -233,69 +125,3 @@ def next_use(trace: DataFrame) -> DataFrame:
     return nxt.where(F.col("op") == "get").select(
         "app", "object_id", "op_id", "ts_ns", F.when(F.col("next_op") == "get", F.col("next_ts")).alias("next_use")
     )
-
-
-def leading(trace: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` events in time order; off by default, a study reads the whole trace."""
-    return trace.orderBy("ts_ns", "op_id").limit(limit)
-
-
-def verdict(trace: DataFrame, cfg: Config = DEFAULT, curve: DataFrame | None = None) -> DataFrame:
-    """Per app: go, no-go or unjudged, with the ceiling and the recommended capacity."""
-    curve = materialize(curve if curve is not None else miss_ratio_curve(trace, cfg), "curve")
-    s = summary(trace, cfg).join(knee(curve, cfg=cfg), "app", "left")
-    go = F.col("ceiling") >= cfg.go_floor
-    v = (
-        F.when(F.col("ranged_frac") > cfg.ranged_frac_max, "unjudged")
-        .when(go, "go")
-        .when(F.col("gets") >= cfg.nogo_min_gets, "no-go")
-        .otherwise("unjudged")
-    )
-    return s.withColumn("verdict", v).select(
-        "app", "verdict", "events", "gets", "objects", "ranged_frac", "ceiling", "knee_cap", "knee_rate",
-        F.when(F.col("verdict") == "go", F.col("knee_cap")).alias("recommended_cap"),
-        (F.col("objects") > cfg.max_cap).alias("ladder_capped"),
-    )
-
-
-def cache_findings(trace: DataFrame, structure: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
-    """Whether to cache, how much, and whether it saves requests or also bytes (pooled stream).
-
-    ``structure``: one row (share) of successor predictability, reported beside the verdict.
-    """
-    t = pooled(trace)
-    curve = materialize(miss_ratio_curve(t, cfg, study=False), "curve")
-    bytes_ = materialize(byte_curve(t, cfg), "byte-curve")
-    s = summary(t, cfg)
-    byte_knee = knee(bytes_.where("exact"), cfg=cfg).select("app", F.col("ceiling").alias("req_max"), F.col("knee_cap").alias("byte_knee"))
-    egress = bytes_.groupBy("app").agg(F.max("byte_hit_rate").alias("egress_max"))
-    f = s.join(knee(curve, cfg=cfg), "app", "left").join(byte_knee, "app", "left").join(egress, "app", "left")
-    f = f.where(F.col("gets") >= cfg.cache_min_gets).withColumn("_all", F.col("events"))
-    ranged = F.col("ranged_frac") > cfg.ranged_frac_max
-    go = ~ranged & (F.col("ceiling") >= cfg.go_floor)
-    by_bytes = go & (F.col("size_coverage") >= cfg.size_coverage_floor) & F.col("byte_knee").isNotNull()
-    low = ~ranged & ~go
-
-    def rec(fid: str, sev: str, metric: str, value: Column, unit: str = "ratio") -> Column:
-        return FD.record(
-            finding_id=fid, domain="client", severity=sev, title="cache study", metric=metric, value_num=value, unit=unit,
-            judged=F.col("gets"), excluded=F.col("events") - F.col("gets"), sample_kind="operation",
-            ts_start=F.col("ts_start"), ts_end=F.col("ts_end"),
-        )
-
-    rows = [
-        (ranged, rec("advisor-cache-unjudged", "unjudged", "ranged_read_frac", F.col("ranged_frac"))),
-        (go, rec("advisor-cache-go", "advisory", "lru_net_savings_max", F.col("ceiling"))),
-        (by_bytes, rec("advisor-cache-size", "advisory", "knee_cap_bytes", F.col("byte_knee"), "none")),
-        (go & ~by_bytes, rec("advisor-cache-size", "advisory", "knee_cap_objects", F.col("knee_cap"))),
-        (by_bytes & (F.col("egress_max") < cfg.go_floor), rec("advisor-cache-requests-not-dollars", "advisory", "egress_byte_savings_max", F.col("egress_max"))),
-        (low & (F.col("gets") >= cfg.nogo_min_gets), rec("advisor-cache-nogo", "advisory", "lru_net_savings_max", F.col("ceiling"))),
-        (low & (F.col("gets") < cfg.nogo_min_gets), rec("advisor-cache-unjudged", "unjudged", "gets", F.col("gets"))),
-    ]
-    if structure is not None:
-        f = f.withColumn("structure", structure.select("share").scalar())
-        rows.append((
-            ~ranged & (F.col("structure") >= cfg.structure_floor),
-            rec("advisor-cache-policy", "advisory", "successor_predictability", F.col("structure")),
-        ))
-    return FD.emit_each(f, rows)

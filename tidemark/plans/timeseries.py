@@ -192,9 +192,13 @@ def queueing(seg: DataFrame, stats: DataFrame, cfg: Config = DEFAULT) -> DataFra
 
 
 def aggregate_buckets(seg: DataFrame, stats: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(direction, bucket): every interval's bytes spread over one-second buckets by overlap.
+    """(direction, bucket, buckets): every interval's bytes spread over one-second buckets by overlap, as stretches
+    of ``buckets`` equal buckets that begin at ``bucket``.
 
-    The span guard bounds the explode before it happens.
+    An interval gives rows for its first and last bucket alone. The buckets between carry its full rate: a
+    +rate where they begin and a -rate where they end, summed up along the bucket axis (as decimals, so nothing is left
+    over when all have ended). So an interval of days costs as much as one of a second, and none is left out. A socket's intervals do not overlap, so one that
+    covers a bucket in full has no edge there, and sockets add up the same way.
     """
     w = cfg.agg_bucket_ns
     s = _with_stats(seg, stats.where(F.col("direction").isNotNull()).select(*SEG, "direction"))
@@ -209,32 +213,80 @@ def aggregate_buckets(seg: DataFrame, stats: DataFrame, cfg: Config = DEFAULT) -
         .select("sock_cookie", "direction", F.col("prev_ts_ns").alias("ta"), F.col("ts_ns").alias("tb"), moved.cast("double").alias("bytes"))
         .withColumn("b0", F.expr(f"ta div {w}L"))
         .withColumn("b1", F.expr(f"(tb - 1) div {w}L"))
-        .where(F.col("b1") - F.col("b0") < cfg.agg_max_span_buckets)
-        .withColumn("bucket", F.explode(F.sequence("b0", "b1")))
-        .withColumn("lo", F.greatest("ta", F.col("bucket") * w))
-        .withColumn("hi", F.least("tb", (F.col("bucket") + 1) * w))
-        .where(F.col("hi") > F.col("lo"))
     )
-    share = F.col("bytes") * (F.col("hi") - F.col("lo")) / (F.col("tb") - F.col("ta"))
+    part = lambda lo, hi: F.col("bytes") * (hi - lo) / (F.col("tb") - F.col("ta"))
+    row = lambda bucket, bytes_, lo, hi: F.struct(bucket.alias("bucket"), bytes_.alias("bytes"), lo.alias("lo"), hi.alias("hi"))
+    first_end = F.least(F.col("tb"), (F.col("b0") + 1) * w)
+    last_start = F.col("b1") * w
+    edges = F.array_compact(
+        F.array(
+            row(F.col("b0"), part(F.col("ta"), first_end), F.col("ta"), first_end),
+            F.when(F.col("b1") > F.col("b0"), row(F.col("b1"), part(last_start, F.col("tb")), last_start, F.col("tb"))),
+        )
+    )
     # sockets first, so that counting them needs no distinct over a hot bucket
-    per_socket = iv.groupBy("direction", "bucket", "sock_cookie").agg(
-        F.sum(share).alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    per_socket = (
+        iv.select("sock_cookie", "direction", F.explode(edges).alias("e"))
+        .select("sock_cookie", "direction", "e.*")
+        .groupBy("direction", "bucket", "sock_cookie")
+        .agg(F.sum("bytes").alias("bytes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    )
+    edge = per_socket.groupBy("direction", "bucket").agg(
+        F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("sockets"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
     )
+    inner = iv.where(F.col("b1") > F.col("b0") + 1).select(
+        "direction", "b0", "b1", (F.col("bytes") * w / (F.col("tb") - F.col("ta"))).cast("decimal(38,6)").alias("rate")
+    )
+    step = lambda bucket, n, r: F.struct(bucket.alias("bucket"), F.lit(n).cast("bigint").alias("n"), r.alias("r"))
+    steps = (
+        inner.select("direction", F.explode(F.array(step(F.col("b0") + 1, 1, F.col("rate")), step(F.col("b1"), -1, -F.col("rate")))).alias("e"))
+        .groupBy("direction", F.col("e.bucket").alias("bucket"))
+        .agg(F.sum("e.n").alias("n"), F.sum("e.r").cast("decimal(38,6)").alias("r"))
+    )
+    # an edge differs from what follows it, so the bucket after it is a mark too
+    marks = edge.select("direction", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket")).unionByName(steps.select("direction", "bucket")).distinct()
+    running = prefix(
+        marks.join(steps, ["direction", "bucket"], "left"),
+        ["direction"],
+        "bucket",
+        {"full": ("sum", F.coalesce("n", F.lit(0))), "full_bytes": ("sum", F.coalesce("r", F.lit(0).cast("decimal(38,6)")))},
+        frame="range_upto",
+    ).select("direction", "bucket", "full", "full_bytes")
+    stretches = lagged(running, ["direction"], "bucket", {"next": ("bucket", -1)}).drop(SLICE)
+    whole = F.col("full") > 0
     return (
-        per_socket.groupBy("direction", "bucket")
-        .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("sockets"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        stretches.join(edge, ["direction", "bucket"], "left")
+        .select(
+            "direction",
+            "bucket",
+            F.coalesce(F.col("next") - F.col("bucket"), F.lit(1).cast("bigint")).alias("buckets"),
+            (F.coalesce("bytes", F.lit(0.0)) + F.col("full_bytes").cast("double")).alias("bytes"),
+            (F.coalesce("sockets", F.lit(0)) + F.col("full")).alias("sockets"),
+            F.when(whole, F.col("bucket") * w).otherwise(F.col("lo")).alias("lo"),
+            F.when(whole, (F.col("bucket") + 1) * w).otherwise(F.col("hi")).alias("hi"),
+        )
+        .where(F.col("sockets") > 0)
         .withColumn("covered_s", (F.col("hi") - F.col("lo")) / 1e9)
         .where(F.col("covered_s") >= cfg.agg_min_cover * w / 1e9)
         .withColumn("rate", F.col("bytes") / F.col("covered_s"))
-        .select("direction", "bucket", "bytes", "sockets", "covered_s", "rate")
+        .select("direction", "bucket", "buckets", "bytes", "sockets", "covered_s", "rate")
     )
 
 
 def aggregate_throughput(buckets: DataFrame) -> DataFrame:
-    """Per direction the peak and median total rate, where at least two sockets overlapped."""
-    top = buckets.groupBy("direction").agg(F.max("rate").alias("peak"), F.max("sockets").alias("max_sockets"))
-    mids = exact_quantiles(buckets, ["direction"], {"r": F.col("rate")}, [Stat("typical", "r", "mid")])
-    return top.join(mids.select("direction", "typical"), "direction").where(F.col("max_sockets") >= 2)
+    """Per direction the peak and median total rate, where at least two sockets overlapped.
+
+    The median is over buckets: a stretch counts as often as it has buckets.
+    """
+    top = buckets.groupBy("direction").agg(F.max("rate").alias("peak"), F.max("sockets").alias("max_sockets"), F.sum("buckets").alias("n"))
+    upto = prefix(buckets.select("direction", "rate", "buckets"), ["direction"], "rate", {"c": ("sum", F.col("buckets"))}, frame="range_upto").select("direction", "rate", "c")
+    low, high = F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")
+    mids = (
+        upto.join(top.select("direction", "n"), "direction")
+        .groupBy("direction")
+        .agg(((F.min(F.when(F.col("c") >= low, F.col("rate"))) + F.min(F.when(F.col("c") >= high, F.col("rate")))) / 2).alias("typical"))
+    )
+    return top.drop("n").join(mids, "direction").where(F.col("max_sockets") >= 2)
 
 
 def ramp_summary(shapes: DataFrame) -> DataFrame:
