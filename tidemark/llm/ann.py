@@ -11,6 +11,8 @@ that radius are, so equal vectors stay together.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,6 +25,8 @@ THRESHOLD = 0.8
 SHARE = 0.15
 WIDEN = 1.15
 SEED = 20240703
+#: Queries whose windows are looked up together.
+TOGETHER = 256
 
 
 class CollisionIndex:
@@ -36,35 +40,51 @@ class CollisionIndex:
         axes = np.random.default_rng(seed).standard_normal((projections, vectors.shape[1] + 1))
         shadows = np.ascontiguousarray((vectors @ axes[:, :-1].T + lift[:, None] * axes[:, -1]).T)
         self.axes = axes
-        self.order = np.argsort(shadows, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(shadows, self.order, axis=1)
+        order = np.argsort(shadows, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(shadows, order, axis=1)
+        # place[j, x]: where vector x stands in array j
+        self.place = np.empty(order.shape, dtype=np.uint16 if len(vectors) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(len(vectors), dtype=self.place.dtype)[None, :], axis=1)
         # the first windows hold about a tenth of a typical array, the last one everything
         spread = float(np.median(self.sorted[:, -1] - self.sorted[:, 0])) if len(vectors) else 0.0
         first = max(spread / 20, 1e-12)
         widest = 2 * float(np.abs(shadows).max(initial=0.0)) + 2 * self.reach * float(np.linalg.norm(axes, axis=1).max()) + first
         self.radii = first * WIDEN ** np.arange(int(np.ceil(np.log(widest / first) / np.log(WIDEN))) + 1)
 
-    def search(self, queries: np.ndarray, k: int, threshold: float = THRESHOLD, share: float = SHARE) -> list[np.ndarray]:
+    def search(self, queries: np.ndarray, k: int, threshold: float = THRESHOLD, share: float = SHARE) -> Iterator[np.ndarray]:
         """For each query the positions of its verified vectors."""
-        n, enough = len(self.vectors), int(np.ceil(threshold * len(self.order)))
-        lengths = np.linalg.norm(queries, axis=1)
-        centres = (queries * (self.reach / np.maximum(lengths, 1e-300))[:, None]) @ self.axes[:, :-1].T
-        low = np.stack([np.searchsorted(a, c[:, None] - self.radii, "left") for a, c in zip(self.sorted, centres.T, strict=True)])
-        high = np.stack([np.searchsorted(a, c[:, None] + self.radii, "right") for a, c in zip(self.sorted, centres.T, strict=True)])
+        for at in range(0, len(queries), TOGETHER):
+            yield from self._search(queries[at : at + TOGETHER], k, threshold, share)
+
+    def _search(self, queries: np.ndarray, k: int, threshold: float, share: float) -> list[np.ndarray]:
+        """The windows of a query open at the radius at which the one before it stopped, and are widened or narrowed
+        radius by radius to the first at which enough vectors are verified."""
+        n, enough = len(self.vectors), int(np.ceil(threshold * len(self.place)))
         wanted = min(n, k + int(np.ceil(share * n)))
-        out = []
+        lengths = np.linalg.norm(queries, axis=1)
+        centres = ((queries * (self.reach / np.maximum(lengths, 1e-300))[:, None]) @ self.axes[:, :-1].T).T
+        windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def colliding(i: int, t: int) -> np.ndarray:
+            """Vectors that lie in enough of the query's windows at one radius."""
+            if t not in windows:  # for all queries at once
+                low = np.stack([np.searchsorted(a, c, "left") for a, c in zip(self.sorted, centres - self.radii[t], strict=True)])
+                high = np.stack([np.searchsorted(a, c, "right") for a, c in zip(self.sorted, centres + self.radii[t], strict=True)])
+                windows[t] = low.astype(self.place.dtype), (high - low).astype(self.place.dtype)
+            low, width = windows[t]
+            # unsigned: places before the window wrap around to large numbers
+            inside = (self.place - low[:, i, None]) < width[:, i, None]
+            return np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint16) >= enough)
+
+        out, t, last = [], 0, len(self.radii) - 1
         for i in range(len(queries)):
-            hits = np.zeros(n, dtype=np.int64)
-            left = right = low[:, i, 0].tolist()
-            for t in range(len(self.radii)):
-                l, r = low[:, i, t].tolist(), high[:, i, t].tolist()
-                rings = [o[a:b] for o, a, b in zip(self.order, l, left, strict=True)] + [o[a:b] for o, a, b in zip(self.order, right, r, strict=True)]
-                hits += np.bincount(np.concatenate(rings), minlength=n)
-                left, right = l, r
-                verified = np.flatnonzero(hits >= enough)
-                if len(verified) >= wanted:
-                    break
-            out.append(verified)
+            found = colliding(i, t)
+            while len(found) < wanted and t < last:
+                t += 1
+                found = colliding(i, t)
+            while t > 0 and len(smaller := colliding(i, t - 1)) >= wanted:
+                t, found = t - 1, smaller
+            out.append(found)
         return out
 
 
@@ -87,7 +107,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", v
             # one more than k: the query itself may be among them
             for a, v, at in zip(asks, q, CollisionIndex(x).search(q, k + 1, threshold, share), strict=True):
                 at = at[ids[at] != a]
-                scores = np.einsum("ij,j->i", x[at], v)
+                scores = x[at] @ v
                 keep = top(scores, ids[at], k)
                 found.append((np.full(len(keep), a), ids[at][keep], scores[keep]))
         parts = [np.concatenate(c) if found else np.empty(0) for c in zip(*found, strict=True)] if found else [np.empty(0)] * 3

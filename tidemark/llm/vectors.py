@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DATA_BLOCK = 8192
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 4096
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
