@@ -14,8 +14,11 @@ from tidemark.sources import access as AC
 from tidemark.sources import capture as CA
 from tidemark.sources import sinks as SK
 from tidemark.sources import tables as T
+from tidemark.streaming import windows as W
 
 NS = "capture"
+# Fixed value: the capture format's line limit.
+LINE_LIMIT = 1 << 20
 
 
 def _op_json(numeric_ts=False):
@@ -25,12 +28,12 @@ def _op_json(numeric_ts=False):
             F.lit(f"{NS}.operation/1").alias("schema"), "op_id", ts.alias("ts_ns"), "sock_cookie", F.lit(0).alias("req_seq"),
             F.struct("pid").alias("app"), "verb", "s3_op", "bucket", "key_hash", "ttfb_ns", "download_ns", "total_ns", "content_length",
             F.lit(0).alias("bytes_sent"), F.lit(0).alias("bytes_recv"), F.lit(0).alias("retransmits"), "connection_reused", "http_status",
-            "partial", "delimitation", F.lit("ignored").alias("a_future_field"),
+            "partial", "delimitation", F.lit("ignored").alias("a_future_field"), F.struct(F.lit(7).alias("ts_ns"), F.array(F.lit(1)).alias("x")).alias("future"),
         )
     )
 
 
-def _lines(s, d):
+def _capture(s, d):
     """The tables as a capture: requests and connections as lines, some of them damaged."""
     o = T.ops(s, d).withColumn("i", F.col("op_id").cast("bigint"))
     good = _op_json()
@@ -55,13 +58,27 @@ def _lines(s, d):
             )
         ).alias("value")
     )
+    x = T.samples(s, d).select(
+        F.to_json(
+            F.struct(
+                F.lit(f"{NS}.sample/1").alias("schema"), F.col("ts_ns").cast("string").alias("ts_ns"), "sock_cookie", "bytes_sent", "bytes_recv",
+                F.lit(10).alias("snd_cwnd"), F.lit(0).alias("rcv_wnd"), "total_retrans", "rcv_ooopack", "rate_app_limited",
+            )
+        ).alias("value")
+    )
     path = scratch_path(s, "capture")
-    ops.unionByName(c).write.text(path)
-    return CA.read_lines(s, path)
+    ops.unionByName(c).unionByName(x).write.text(path)
+    return path
+
+
+def _live_operations(s, d):
+    """The same capture as a stream of lines, landed and read as a table."""
+    lines = CA.read_line_stream(s, _capture(s, d), max_files=2)
+    return W.run_once(CA.operations(CA.classify(lines, NS, LINE_LIMIT)), "live-capture").drop("batch")
 
 
 def _classified(s, d):
-    return CA.classify(_lines(s, d), NS)
+    return CA.classify(CA.read_lines(s, _capture(s, d)), NS, LINE_LIMIT)
 
 
 def _access_lines(s, d):
@@ -105,6 +122,8 @@ def _bucket_ms(s, d):
 
 QUERIES = {
     "src1_capture_scan": lambda s, d: CA.operations(_classified(s, d)).select("op_id", "ts_ns", "sock_cookie", "pid", "s3_op", "bucket", "http_status", "ttfb_ns", "partial"),
+    "src10_live_capture": lambda s, d: _live_operations(s, d).select("op_id", "ts_ns", "sock_cookie", "pid", "s3_op", "bucket", "http_status", "ttfb_ns", "partial"),
+    "src1_samples": lambda s, d: CA.samples(_classified(s, d)).select("sock_cookie", "ts_ns", "bytes_sent", "bytes_recv", "total_retrans"),
     "src1_connections": lambda s, d: CA.connections(_classified(s, d)).select("sock_cookie", "ts_ns", "pid", "region", "srtt_us", "min_rtt_us", "sni"),
     "src2_src3_parse_accounting": lambda s, d: CA.accounting(_classified(s, d)),
     "src4_empty_capture_guard": lambda s, d: CA.require_records(_classified(s, d), ("operation",)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
@@ -138,10 +157,12 @@ mm AS (SELECT region, region AS city, conns, floor_ms, jitter_ms, CAST(row_numbe
 
 ORACLES = {
     "src1_capture_scan": f"WITH {S.OPS}, {_OUT} SELECT op_id, ts_ns, sock_cookie, pid, s3_op, bucket, http_status, ttfb_ns, partial FROM oc WHERE outcome = 'operation'",
+    "src10_live_capture": f"WITH {S.OPS}, {_OUT} SELECT op_id, ts_ns, sock_cookie, pid, s3_op, bucket, http_status, ttfb_ns, partial FROM oc WHERE outcome = 'operation'",
+    "src1_samples": f"WITH {S.SAMPLES} SELECT sock_cookie, ts_ns, bytes_sent, bytes_recv, total_retrans FROM samples",
     "src1_connections": f"WITH {S.CONNS} SELECT sock_cookie, ts_ns, pid, region, srtt_us, min_rtt_us, sni FROM conns",
-    "src2_src3_parse_accounting": f"""WITH {S.OPS}, {S.CONNS}, {_OUT} SELECT count(*) FILTER (WHERE outcome = 'operation') AS operations, (SELECT count(*) FROM conns) AS connections, CAST(0 AS BIGINT) AS samples,
+    "src2_src3_parse_accounting": f"""WITH {S.OPS}, {S.CONNS}, {_OUT} SELECT count(*) FILTER (WHERE outcome = 'operation') AS operations, (SELECT count(*) FROM conns) AS connections, (SELECT count(*) FROM lineitem) AS samples,
  count(*) FILTER (WHERE outcome = 'bad') AS bad_lines, count(*) FILTER (WHERE outcome = 'unknown') AS unknown_schema FROM oc""",
-    "src4_empty_capture_guard": f"WITH {S.OPS}, {S.CONNS}, {_OUT} SELECT outcome, count(*) AS n FROM oc GROUP BY 1 UNION ALL SELECT 'connection', count(*) FROM conns",
+    "src4_empty_capture_guard": f"WITH {S.OPS}, {S.CONNS}, {_OUT} SELECT outcome, count(*) AS n FROM oc GROUP BY 1 UNION ALL SELECT 'connection', count(*) FROM conns UNION ALL SELECT 'sample', count(*) FROM lineitem",
     "src5_src6_access_trace": f"WITH {S.OPS}, {_ACC} SELECT ts_ns, op, object_id, range_start, range_end, size, CAST(status AS INTEGER) AS status FROM ax WHERE outcome = 'event'",
     "src7_load_accounting": f"""WITH {S.OPS}, {_ACC} SELECT count(*) FILTER (WHERE outcome = 'event') AS events, count(*) FILTER (WHERE outcome <> 'event') AS skipped,
  count(*) FILTER (WHERE outcome = 'operation_dropped') AS operations_dropped, count(*) FILTER (WHERE outcome = 'other_record') AS other_records FROM ax""",

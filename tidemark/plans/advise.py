@@ -308,24 +308,22 @@ def throttle_recovery(ops: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     answered = ops.where(F.col("ts_ns").isNotNull() & F.col("http_status").isNotNull())
     end = answered.agg(F.max("ts_ns").alias("e"))
     ok = C.status_class(F.col("http_status")) == "success"
-    key = C.fill_key(F.col("key_hash"))
-    # a success serves waiters on its key and waiters on its whole bucket
-    link = F.when(F.col("http_status") == 503, F.array(F.when(F.col("key_hash").isNull(), "*").otherwise(key))).otherwise(F.array(key, F.lit("*")))
-    ev = (
-        answered.where(ok | (F.col("http_status") == 503))
-        .select("pid", C.fill_key(F.col("bucket")).alias("b"), "ts_ns", "op_id", (F.col("http_status") == 503).alias("throttled"), F.explode(link).alias("link"))
-    )
-    w = Window.partitionBy("pid", "b", "link", CELL).orderBy("ts_ns").rangeBetween(1, cfg.recovery_window_ns)
-    return (
-        range_halo(ev, "ts_ns", ahead=cfg.recovery_window_ns)
-        .withColumn("later", F.count_if(~F.col("throttled")).over(w))
-        .where(F.col(HOME) & F.col("throttled"))
-        .withColumn("_end", end.scalar())
-        .select(
-            "op_id", "pid", "ts_ns",
-            F.when(F.col("ts_ns") + cfg.recovery_window_ns <= F.col("_end"), F.col("later") > 0).alias("recovered"),
-        )
-    )
+    throttled = F.col("http_status") == 503
+    ev = answered.where(ok | throttled).select(
+        F.coalesce(F.col("pid").cast("bigint"), F.lit(-1)).alias("p"), C.fill_key(F.col("bucket")).alias("b"), "ts_ns", "op_id", "pid", throttled.alias("throttled"),
+        F.when(F.col("key_hash").isNotNull(), C.fill_key(F.col("key_hash"))).otherwise("*").alias("link"), (-F.col("ts_ns")).alias("back"),
+    )
+    # a success serves waiters on its key; on its whole bucket only where some 503 has no key
+    waiting = ev.where(F.col("throttled") & (F.col("link") == "*")).select("p", "b").distinct()
+    whole = ev.where(~F.col("throttled") & (F.col("link") != "*")).join(waiting, ["p", "b"], "left_semi").withColumn("link", F.lit("*"))
+    # in reversed time the next success is a running maximum, however busy the process
+    nxt = prefix(
+        ev.unionByName(whole), ["p", "b", "link"], "back", {"next": ("max", F.when(~F.col("throttled"), F.col("back")))}, frame="range_before"
+    ).where("throttled")
+    return nxt.withColumn("_end", end.scalar()).select(
+        "op_id", "pid", "ts_ns",
+        F.when(F.col("ts_ns") + cfg.recovery_window_ns <= F.col("_end"), F.coalesce(-F.col("next") - F.col("ts_ns") <= cfg.recovery_window_ns, F.lit(False))).alias("recovered"),
+    )
 
 
 def throttling(ops: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

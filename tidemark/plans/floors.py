@@ -11,13 +11,13 @@ from tidemark.operators.quantiles import Stat, exact_quantiles
 from tidemark.session import materialize
 
 
-def unambiguous(conns: DataFrame) -> DataFrame:
+def unambiguous(conns: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row per cookie carried by exactly one connection; reused cookies identify nothing."""
     return (
         conns.groupBy("sock_cookie")
         .agg(
             F.count(F.lit(1)).alias("_n"),
-            F.first(C.conn_floor_us()).alias("own_floor_us"),
+            F.first(C.conn_floor_us(cfg)).alias("own_floor_us"),
             F.first("region").alias("conn_region"),
         )
         .where(F.col("_n") == 1)
@@ -109,7 +109,7 @@ def with_floors(ops: DataFrame, conns: DataFrame, pooled: DataFrame, cfg: Config
     connection side first. The pooled floor and the path flag arrive as scalar subqueries.
     """
     known = (
-        unambiguous(conns).alias("u")
+        unambiguous(conns, cfg).alias("u")
         .join(region_floors(conns, cfg).alias("r"), F.col("u.conn_region") == F.col("r.region"), "left")
         .select("u.sock_cookie", F.coalesce("u.own_floor_us", "r.region_floor_us").alias("conn_floor_us"))
     )

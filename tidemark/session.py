@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,10 +32,13 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's checkpoint folder.
 
-    Only where the session names none (tests, a laptop) is a temporary one set.
+    Only a local session (tests, a laptop), whose tasks share the driver's disks, gets a temporary one if it names none.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.sources import schemas as S
 
-MAX_LINE_BYTES = 1 << 20
 MAX_U64 = 18_446_744_073_709_551_615
 
 
@@ -44,22 +43,28 @@ def parse_once(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.select("*", one.alias("_once")).select(*df.columns, "_once.*")
 
 
-def classify(lines: DataFrame, namespace: str | None = None) -> DataFrame:
+def classify(lines: DataFrame, namespace: str | None = None, max_line_bytes: int | None = None) -> DataFrame:
     """Add ``outcome`` (a record kind, bad, unknown or blank) and one parsed struct per kind.
 
     One scan: the tag is sniffed from the text and only the matching struct is decoded.
-    Numbers where a decimal string is required are bad, as are lines over 1 MiB or not UTF-8.
+    Numbers where a record's own field must be a decimal string are bad, as are lines that are not UTF-8 or longer
+    than ``max_line_bytes``, if given. Fields of unknown objects inside a record are not looked at.
     """
     value = F.trim("value")
-    usable = (F.octet_length("value") <= MAX_LINE_BYTES) & F.is_valid_utf8("value")
+    usable = F.is_valid_utf8("value")
+    if max_line_bytes is not None:
+        usable = usable & (F.octet_length("value") <= max_line_bytes)
     kind = F.when(usable, record_kind(F.get_json_object("value", "$.schema"), namespace))
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     df = parse_once(lines, {"_usable": usable, "_kind": kind})
     parsed = {
         name: F.when(F.col("_kind") == name, F.from_json("value", f"{ddl}, _corrupt STRING", opts)) for name, ddl in S.SCHEMAS.items()
     }
-    # a quoted key followed by anything but a string or null
-    wrong_type = F.col("value").rlike('"(' + "|".join(S.DECIMAL_STRINGS) + r')"\s*:\s*[^"n\s]')
+    tree = F.try_parse_json("value")
+    wrong_type = F.lit(False)
+    for f in S.DECIMAL_STRINGS:
+        kind_of = F.schema_of_variant(F.try_variant_get(tree, f"$.{f}", "variant"))
+        wrong_type = wrong_type | F.coalesce(~kind_of.isin("STRING", "VOID"), F.lit(False))
     is_object = F.try_parse_json("value").isNotNull() & value.startswith("{")
     df = parse_once(
         df,
