@@ -1,3 +1,5 @@
+import os
+
 import pandas as pd
 import pytest
 
@@ -18,8 +20,6 @@ def in_files(spark, sf_dir, tmp_path):
         part = e.iloc[i * step : (i + 1) * step]
         part.to_parquet(tmp_path / f"{i}.parquet", coerce_timestamps="us", allow_truncated_timestamps=True)
         stamp = 1_700_000_000 + i
-        import os
-
         os.utime(tmp_path / f"{i}.parquet", (stamp, stamp))
     schema = spark.read.parquet(str(tmp_path / "0.parquet")).schema
     return T.event_columns(spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path)))
@@ -30,9 +30,10 @@ def norm(rows):
 
 
 def test_stream_equals_batch(spark, sf_dir, in_files):
-    batch = CR.correlate_requests(T.wire_events(T.base_events(spark, sf_dir))).where("NOT open").collect()
-    live = W.run_once(SR.correlate_stream(T.wire_events(in_files), timeout_ms=10**13), "t-requests").collect()
+    batch = CR.correlate_requests(T.wire_events(T.base_events(spark, sf_dir))).collect()
+    live = W.run_once(SR.correlate_stream(T.wire_events(in_files), timeout_ms=10**13), "t-requests", end=SR.end_of_requests).collect()
     assert norm(live) == norm(batch)
+    assert sum(r.flushed for r in live) == sum(r.open for r in batch) > 0
 
 
 def test_open_requests_are_flushed_by_time(spark, sf_dir, in_files):
@@ -41,14 +42,44 @@ def test_open_requests_are_flushed_by_time(spark, sf_dir, in_files):
     assert 0 < live.where("flushed").count() <= everything
 
 
+EVENT = "conn string, ts_ns long, seq long, kind string, verb string, http_status int, content_length long, bytes long, head_bytes long, head_complete boolean"
+
+
+def wire(ms, seq, kind, **more):
+    return ("c", 1_700_000_000_000_000_000 + ms * 1_000_000, seq, kind, more.get("verb"), more.get("status"), None, 100, 100, True)
+
+
+def test_a_response_may_arrive_before_its_request(spark, tmp_path):
+    """The response is in the first micro-batch, its request in the second, inside the watermark."""
+    parts = [[wire(50, 2, "response", status=200), wire(300, 3, "request", verb="GET")], [wire(10, 1, "request", verb="GET"), wire(400, 4, "response", status=404)], [wire(900_000, 9, "link")]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(str(tmp_path / f"p{i}"))
+        file = next((tmp_path / f"p{i}").glob("*.parquet"))
+        file.rename(tmp_path / f"{i}.parquet")
+        os.utime(tmp_path / f"{i}.parquet", (1_700_000_000 + i,) * 2)
+    stream = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "?.parquet").parquet(str(tmp_path))
+    live = W.run_once(SR.correlate_stream(stream, timeout_ms=10**9), "t-swap", end=SR.end_of_requests).collect()
+    want = CR.correlate_requests(spark.createDataFrame([r for p in parts for r in p], EVENT)).collect()
+    assert norm(live) == norm(want)
+    assert sorted((r.seq, r.http_status) for r in live) == [(1, 200), (3, 404)]
+
+
 def test_live_connections_equal_batch(spark, sf_dir, in_files):
     sock = lambda e: T.socket_events(e).where("kind IN ('connect', 'close')")
     cols = ["seq", "sock_cookie", "connect_ts", "close_ts", "lifetime_ns", "pid", "partial"]
     want = CR.connect_close(sock(T.base_events(spark, sf_dir))).select(cols).collect()
-    got = W.run_once(SR.connection_stream(sock(in_files)), "t-conns").select(cols).collect()
+    got = W.run_once(SR.connection_stream(sock(in_files)), "t-conns", end=SR.end_of_connections).select(cols).collect()
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_a_table_that_is_a_folder_streams(spark, sf_dir, tmp_path):
+    T.read(spark, sf_dir, "events").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = W.run_once(W.table_stream(spark, str(tmp_path), "events", files_per_batch=1), "t-folder")
+    assert got.count() == T.read(spark, sf_dir, "events").count() and got.select("batch").distinct().count() == 3
+    nothing = W.run_once(W.table_stream(spark, str(tmp_path), "events").where("false"), "t-nothing")
+    assert nothing.count() == 0
+
+
 def test_windows_settle_to_the_batch_counts(spark, sf_dir, in_files):
     got = W.latest(W.run_once(W.scorecard_windows(T.ops_from(in_files)), "t-win", "update"), ["start_us", "bucket", "s3_op"])
     want = T.ops(spark, sf_dir).selectExpr("count(http_status) AS n").first().n

@@ -51,9 +51,9 @@ QUERIES = {
     ),
     "ts14_request_sequence": lambda s, d: CR.request_sequence(T.wire_events(_e(s, d)).where("kind = 'request'")),
     "str1_correlated_requests": lambda s, d: CR.correlate_requests(T.wire_events(_e(s, d))),
-    "str1_str5_live_correlation": lambda s, d: W.run_once(SR.correlate_stream(T.wire_events(_live(s, d)), timeout_ms=10**13), "live-requests").drop("batch", "flushed"),
+    "str1_str5_live_correlation": lambda s, d: W.run_once(SR.correlate_stream(T.wire_events(_live(s, d)), timeout_ms=10**13), "live-requests", end=SR.end_of_requests).drop("batch"),
     "str2_str3_live_connections": lambda s, d: W.run_once(
-        SR.connection_stream(T.socket_events(_live(s, d)).where("kind IN ('connect', 'close')")), "live-conns"
+        SR.connection_stream(T.socket_events(_live(s, d)).where("kind IN ('connect', 'close')")), "live-conns", end=SR.end_of_connections
     ).drop("batch"),
     "str6_sample_windows": lambda s, d: W.latest(W.run_once(W.sample_windows(_live_samples(s, d)), "sample-windows", "update"), ["start_us"]).drop("sockets_approx"),
     "str7_windowed_scorecard": lambda s, d: W.latest(
@@ -109,7 +109,7 @@ ORACLES = {
  SELECT seq, pid, fd, (SELECT arg_max(l.sock_cookie, l.ts_ns) FROM l WHERE l.pid = u.pid AND l.fd = u.fd AND l.ts_ns <= u.ts_ns) AS sock_cookie FROM u""",
     "ts14_request_sequence": f"WITH {_WIRE} SELECT conn, seq, row_number() OVER (PARTITION BY conn ORDER BY ts_ns, seq) - 1 AS req_seq, row_number() OVER (PARTITION BY conn ORDER BY ts_ns, seq) > 1 AS connection_reused FROM wi WHERE kind = 'request'",
     "str1_correlated_requests": f"WITH {_WIRE} SELECT * FROM cr",
-    "str1_str5_live_correlation": f"WITH {_WIRE} SELECT * EXCLUDE (open) FROM cr WHERE NOT open",
+    "str1_str5_live_correlation": f"WITH {_WIRE} SELECT * EXCLUDE (open), open AS flushed FROM cr",
     "str2_str3_live_connections": _CC,
     "str6_sample_windows": """WITH z AS (SELECT (epoch_us(l_shipdate) // 86400000000) * 100000000 + (l_orderkey * 7919 + l_linenumber * 104729) % 100000000 AS ts_ns, CAST(round(l_tax * 100000) + 1000 AS BIGINT) AS srtt FROM lineitem)
  SELECT (ts_ns // 1000000000) * 1000000 AS start_us, count(*) AS samples, min(srtt) AS min_srtt_us, max(srtt) AS max_srtt_us FROM z GROUP BY 1""",

@@ -1,16 +1,21 @@
 """The request correlation as a stateful stream.
 
-State is one open request per (host, pid, fd). It is bounded by time: a request nothing
-closes is flushed, unanswered or half-read, once the watermark passes its timeout (the
-batch plan and a count-limited agent would keep or evict it by count instead).
+Events wait in the state of their key until the watermark has passed them, and are then applied in event order: so
+a response that arrives a micro-batch before its request finds it. State beyond that is one open request per
+connection. It is bounded by time: a request nothing closes is flushed, unanswered or half-read, once the
+watermark passes its timeout (the batch plan and a count-limited agent would keep or evict it by count instead).
+When a drained stream is known to have ended, ``end_of_requests`` applies what still waits and flushes what is open.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,9 +26,10 @@ OUT = (
 # open request: seq, ts, verb, req_seq, ambiguous, interim, head ts, status, length, still needed, head whole
 STATE = (
     "next_seq bigint, open boolean, seq bigint, ts_ns bigint, verb string, req_seq bigint, ambiguous boolean, interim bigint, "
-    "head_ts bigint, status bigint, length bigint, need bigint, whole boolean"
+    "head_ts bigint, status bigint, length bigint, need bigint, whole boolean, last_ms bigint, waiting string"
 )
-_NEW = (0, False, 0, 0, "", 0, False, None, None, None, None, None, True)
+_NEW = (0, False, 0, 0, "", 0, False, None, None, None, None, None, True, 0, "[]")
+_EVENT = ["ts_ns", "seq", "kind", "verb", "http_status", "content_length", "bytes", "head_bytes", "head_complete"]
 _COLS = [c.split(" ")[0] for c in OUT.split(", ")]
 
 
@@ -57,13 +63,13 @@ def _step(conn: str, s: dict, e, out: list) -> None:
         return
     if s["head_ts"] is not None:
         s["need"] -= int(e.bytes)
-    elif e.kind == "body" or pd.isna(e.http_status):
+    elif e.kind == "body" or e.http_status is None:
         return
     elif e.http_status < 200:
         s["interim"] = int(e.ts_ns) if s["interim"] is None else s["interim"]
         return
     else:
-        length = None if pd.isna(e.content_length) else int(e.content_length)
+        length = None if e.content_length is None else int(e.content_length)
         s.update(head_ts=int(e.ts_ns), status=int(e.http_status), length=length, whole=bool(e.head_complete))
         if not length or s["verb"] == "HEAD" or s["status"] in (204, 304) or not s["whole"]:
             out.append(_emit(conn, s, None, False))
@@ -75,31 +81,96 @@ def _step(conn: str, s: dict, e, out: list) -> None:
         s["open"] = False
 
 
-def _advance(timeout_ms: int):
-    names = [c.split(" ")[0] for c in STATE.split(", ")]
+def _taken(frames: Iterator[pd.DataFrame], columns: list[str]) -> list[list]:
+    """Rows of the key's frames as plain lists, missing values as None."""
+    rows: list[list] = []
+    for frame in frames:
+        part = frame[columns].astype(object)
+        rows += part.where(part.notna(), None).values.tolist()
+    return rows
+
+
+def _due(waiting: list[list], watermark_ms: int) -> tuple[list[list], list[list]]:
+    """The events that the watermark has passed, in event order, and those that still wait."""
+    due = sorted((e for e in waiting if e[0] // 1_000_000 < watermark_ms), key=lambda e: (e[0], e[1]))
+    return due, [e for e in waiting if e[0] // 1_000_000 >= watermark_ms]
+
+
+def _json(rows: list[list]) -> str:
+    return json.dumps(rows, default=lambda x: x.item())
+
+
+_NAMES = [c.split(" ")[0] for c in STATE.split(", ")]
+
+
+def _apply(conn: str, s: dict, events: list[list], out: list) -> None:
+    for e in events:
+        _step(conn, s, SimpleNamespace(**dict(zip(_EVENT, e, strict=True))), out)
+        s["last_ms"] = e[0] // 1_000_000
+
 
+def _frame(out: list[tuple]) -> pd.DataFrame:
+    whole = ("http_status", "content_length", "ttfb_ns", "download_ns", "total_ns")
+    return pd.DataFrame(out, columns=_COLS, dtype=object).astype({c: "Int64" for c in whole})
+
+
+def _advance(timeout_ms: int):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = dict(zip(names, state.get if state.exists else _NEW))
+        s = dict(zip(_NAMES, state.get if state.exists else _NEW, strict=True))
         out: list[tuple] = []
-        if state.hasTimedOut:
+        waiting = json.loads(s["waiting"])
+        if not state.hasTimedOut:
+            waiting += _taken(frames, _EVENT)
+        now = state.getCurrentWatermarkMs()
+        due, waiting = _due(waiting, now)
+        _apply(key[0], s, due, out)
+        expires = s["last_ms"] + timeout_ms
+        if not waiting and expires < now:
             if s["open"]:
                 out.append(_emit(key[0], s, None, True))
             state.remove()
         else:
-            batch = pd.concat(list(frames), ignore_index=True).sort_values(["ts_ns", "seq"], kind="mergesort")
-            for e in batch.itertuples(index=False):
-                _step(key[0], s, e, out)
-            state.update(tuple(s[n] for n in names))
-            last = int(batch["ts_ns"].iloc[-1]) // 1_000_000 + timeout_ms
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+            s["waiting"] = _json(waiting)
+            state.update(tuple(s[n] for n in _NAMES))
+            nxt = min(e[0] for e in waiting) // 1_000_000 + 1 if waiting else expires
+            state.setTimeoutTimestamp(max(nxt, now + 1))
         if out:
-            yield pd.DataFrame(out, columns=_COLS, dtype=object).astype(
-                {c: "Int64" for c in ("http_status", "content_length", "ttfb_ns", "download_ns", "total_ns")}
-            )
+            yield _frame(out)
 
     return run
 
 
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+
+
+def _batch(out: list[tuple], ddl: str) -> pa.RecordBatch:
+    """Rows as an Arrow batch, so that large numbers beside nulls stay whole."""
+    fields = [f.split(" ") for f in ddl.split(", ")]
+    columns = list(zip(*out, strict=True)) if out else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), _ARROW[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _left(checkpoint: str, spark: SparkSession) -> DataFrame:
+    """What the states of a stopped stream hold: its key and state fields."""
+    return spark.read.format("statestore").load(checkpoint).select("key.*", "value.groupState.*")
+
+
+def end_of_requests(checkpoint: str, spark: SparkSession) -> DataFrame:
+    """After the end of the stream: the requests that its remaining events close, and the open ones, flushed."""
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                s = {n: row[n] for n in _NAMES}
+                _apply(row["conn"], s, _due(json.loads(s["waiting"]), 1 << 62)[0], out)
+                if s["open"]:
+                    out.append(_emit(row["conn"], s, None, True))
+            yield _batch(out, OUT)
+
+    return _left(checkpoint, spark).mapInArrow(finish, OUT)
+
+
 def correlate_stream(events: DataFrame, *, late_by: str = "10 seconds", timeout_ms: int = 600_000) -> DataFrame:
     """Streaming twin of ``plans.correlate.correlate_requests`` over the same columns."""
     cols = ["conn", "ts_ns", "seq", "kind", "verb", "http_status", "content_length", "bytes", "head_bytes", "head_complete"]
@@ -112,38 +183,67 @@ def correlate_stream(events: DataFrame, *, late_by: str = "10 seconds", timeout_
 _CONN_OUT = "sock_cookie string, seq bigint, connect_ts bigint, close_ts bigint, lifetime_ns bigint, pid bigint, partial boolean"
 
 
+_CONN_STATE = "connect_ts bigint, pid bigint, last_ms bigint, waiting string"
+_CONN_EVENT = ["ts_ns", "seq", "kind", "pid"]
+_CONN_COLS = [c.split(" ")[0] for c in _CONN_OUT.split(", ")]
+
+
+def _lives(cookie: str, at: int | None, pid: int | None, events: list[list], out: list) -> tuple[int | None, int | None]:
+    for ts, seq, kind, own in events:
+        if kind == "connect":
+            at, pid = int(ts), int(own)
+        else:
+            alive = None if at is None else max(int(ts) - at, 0)
+            out.append((cookie, int(seq), at, int(ts), alive, pid or 0, at is None))
+            at = pid = None
+    return at, pid
+
+
+def _conn_frame(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=_CONN_COLS, dtype=object).astype({c: "Int64" for c in ("connect_ts", "lifetime_ns")})
+
+
 def _lifecycle(timeout_ms: int):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        at, pid = state.get if state.exists else (None, None)
-        out = []
-        batch = pd.concat(list(frames), ignore_index=True).sort_values(["ts_ns", "seq"], kind="mergesort")
-        for e in batch.itertuples(index=False):
-            if e.kind == "connect":
-                at, pid = int(e.ts_ns), int(e.pid)
-            else:
-                alive = None if at is None else max(int(e.ts_ns) - at, 0)
-                out.append((key[0], int(e.seq), at, int(e.ts_ns), alive, pid or 0, at is None))
-                at = pid = None
-        if at is None:
+        at, pid, last, waiting = state.get if state.exists else (None, None, 0, "[]")
+        waiting = json.loads(waiting)
+        if not state.hasTimedOut:
+            waiting += _taken(frames, _CONN_EVENT)
+        now = state.getCurrentWatermarkMs()
+        due, waiting = _due(waiting, now)
+        out: list[tuple] = []
+        at, pid = _lives(key[0], at, pid, due, out)
+        last = due[-1][0] // 1_000_000 if due else last
+        if not waiting and (at is None or (state.hasTimedOut and last + timeout_ms < now)):
             state.remove()
         else:
-            state.update((at, pid))
-            state.setTimeoutTimestamp(max(at // 1_000_000 + timeout_ms, state.getCurrentWatermarkMs() + 1))
+            state.update((at, pid, last, _json(waiting)))
+            nxt = min(e[0] for e in waiting) // 1_000_000 + 1 if waiting else last + timeout_ms
+            state.setTimeoutTimestamp(max(nxt, now + 1))
         if out:
-            names = [c.split(" ")[0] for c in _CONN_OUT.split(", ")]
-            yield pd.DataFrame(out, columns=names, dtype=object).astype({c: "Int64" for c in ("connect_ts", "lifetime_ns")})
+            yield _conn_frame(out)
 
     return run
 
 
+def end_of_connections(checkpoint: str, spark: SparkSession) -> DataFrame:
+    """After the end of the stream: the connections that its remaining events close."""
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                _lives(row["sock_cookie"], row["connect_ts"], row["pid"], _due(json.loads(row["waiting"]), 1 << 62)[0], out)
+            yield _batch(out, _CONN_OUT)
+
+    return _left(checkpoint, spark).mapInArrow(finish, _CONN_OUT)
+
+
 def connection_stream(events: DataFrame, *, late_by: str = "10 seconds", timeout_ms: int = 7 * 86_400_000) -> DataFrame:
     """Connect opens the state of a socket, close emits it; a close without one is partial."""
     timed = events.select(
         "sock_cookie", "ts_ns", "seq", "kind", "pid", F.timestamp_micros(F.expr("ts_ns div 1000")).alias("at")
     ).withWatermark("at", late_by)
     return timed.groupBy("sock_cookie").applyInPandasWithState(
-        _lifecycle(timeout_ms), _CONN_OUT, "connect_ts bigint, pid bigint", "append", GroupStateTimeout.EventTimeTimeout
+        _lifecycle(timeout_ms), _CONN_OUT, _CONN_STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
