@@ -82,3 +82,41 @@ def test_quantiles_match_definition(spark, zoom):
     xs = sorted(d[1] for d in data)
     assert one[0].m == (xs[(len(xs) - 1) // 2] + xs[len(xs) // 2]) / 2
     assert exact_quantiles(df.where("false"), [], {"x": F.col("x")}, [Stat("m", "x", "mid")]).count() == 0
+
+
+def largest_slice(df, order):
+    from tidemark.operators.slices import SLICE, with_slices
+
+    got = with_slices(df, order, 32).groupBy(SLICE).count().toPandas()
+    assert len(got) <= 32
+    return got["count"].max() / (got["count"].sum() / 32)
+
+
+def test_slices_hold_equal_rows_in_a_burst_and_with_stray_clocks(spark):
+    ids = spark.range(20000)
+    burst = ids.select(F.when(F.col("id") % 2 == 0, 5_000_000 + F.col("id") % 997).otherwise(F.col("id") * 1000).alias("t"))
+    assert largest_slice(burst, "t") < 2
+    stray = ids.select(F.when(F.col("id") % 100 == 0, F.col("id") * 10**14).otherwise(F.col("id")).alias("t"))
+    assert largest_slice(stray, "t") < 2
+    assert largest_slice(ids.select(F.lit(None).cast("bigint").alias("t")), "t") == 32
+
+
+def rows_in_a_cell(df, values):
+    from tidemark.operators import quantiles as Q
+
+    c = Q._cell(F.col("v"))
+    lo_hi = df.groupBy(c.alias("c")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return lo_hi.orderBy(F.desc("n")).first().n
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6])
+def test_quantiles_of_continuous_values(spark, scale):
+    """All values in one octave, or far below 1: cells stay small and the result exact."""
+    r = random.Random(4)
+    values = sorted((1 + r.random()) * scale for _ in range(5001))
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert rows_in_a_cell(df, values) < 60
+    got = exact_quantiles(df, [], {"x": F.col("v")}, [Stat("m", "x", "mid"), Stat("p", "x", 0.9)]).first()
+    assert got.m == values[2500] and got.p == values[math.ceil(0.9 * 5001) - 1]
+    mixed = spark.createDataFrame([(v,) for v in (-2.5, -1e-9, 0.0, 0.0, 1e-9, 3.0, 7.0)], "v double")
+    assert exact_quantiles(mixed, [], {"x": F.col("v")}, [Stat("m", "x", "mid")]).first().m == 0.0

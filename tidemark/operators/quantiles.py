@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 _PER_OCTAVE = 256
 _ZOOM = 4096
+_OCTAVES_BELOW_1 = 1100  # more than a double has
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,9 @@ def _ranks(kind: str | float, n: Column) -> list[Column]:
 
 
 def _cell(v: Column) -> Column:
-    return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1.0) * _PER_OCTAVE)).cast("int")
+    """A 256th of an octave, of values far below 1 as well; 0 is a cell of its own."""
+    octaves = F.log2(F.abs(v)) + _OCTAVES_BELOW_1
+    return F.when(v == 0, 0).otherwise((F.signum(v) * F.floor(octaves * _PER_OCTAVE)).cast("int"))
 
 
 def exact_quantiles(
@@ -50,14 +53,20 @@ def exact_quantiles(
     values: dict[str, Column],
     stats: list[Stat],
     *,
-    zoom: bool = False,
+    zoom: bool | None = None,
 ) -> DataFrame:
     """One row per key with every stat and ``n_<value>``, the count of non-null values.
 
+    ``zoom`` cuts the picked cells once more; by default where a value is a fraction, as then nearly all
+    rows of a cell differ.
+
     Groups in which every value is null do not appear. With no keys the result is one
     row, or none if there is no value at all. Keys may be null.
     """
     names = list(values)
+    if zoom is None:
+        kinds = df.select(*[values[v].alias(v) for v in names]).dtypes
+        zoom = any(kind in ("double", "float") or kind.startswith("decimal") for _, kind in kinds)
     long = (
         df.select(
             *keys,

@@ -148,8 +148,8 @@ def correlate_requests(events: DataFrame) -> DataFrame:
     full = waiting.where(F.col("need") <= 0).select("conn", "epoch", F.col("head_at.ts_ns").alias("body_ts"))
     ep = per.join(done.unionByName(full), ["conn", "epoch"], "left").join(waiting.select("conn", "epoch", F.lit(True).alias("expects")), ["conn", "epoch"], "left")
     ep = ep.select("*", F.col("o.kind").alias("o_kind"), F.col("h").isNull().alias("unanswered"))
-    around = lagged(ep, ["conn"], "epoch", {"p_kind": ("o_kind", 1), "p_un": ("unanswered", 1), "n_kind": ("o_kind", -1)}, n=16)
-    links = prefix(around.drop(SLICE), ["conn"], "epoch", {"last_link": ("max", F.when(F.col("o_kind") == "link", F.col("epoch")))}, n=16)
+    around = lagged(ep, ["conn"], "epoch", {"p_kind": ("o_kind", 1), "p_un": ("unanswered", 1), "n_kind": ("o_kind", -1)})
+    links = prefix(around.drop(SLICE), ["conn"], "epoch", {"last_link": ("max", F.when(F.col("o_kind") == "link", F.col("epoch")))})
     is_req = lambda c: F.coalesce(F.col(c) == "request", F.lit(False))
     first = F.coalesce(F.when(F.col("i") < F.struct("h.ts_ns", "h.seq"), F.col("i.ts_ns")), F.when(F.col("h").isNull(), F.col("i.ts_ns")), F.col("h.ts_ns"))
     expects = F.coalesce("expects", F.lit(False))
