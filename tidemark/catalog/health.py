@@ -50,6 +50,10 @@ def _report(conns=T.conns):
     return lambda s, d: H.report(T.ops(s, d), conns(s, d), T.sample_clock(s, d))
 
 
+def _full(conns=T.conns):
+    return lambda s, d: H.full_report(T.ops(s, d), conns(s, d), T.sample_clock(s, d))
+
+
 _GLOBAL = [H.floor_row, H.span_rows, H.retransmit_row, H.http_error_row]
 
 
@@ -140,8 +144,8 @@ QUERIES = {
     ),
     "agg27_row_verdict": lambda s, d: H.row_verdict(H.rows(_cap(s, d, _GLOBAL), _GLOBAL)),
     "agg28_overall_verdict": _verdict(T.conns),
-    "agg29_health_report": lambda s, d: FD.flatten(_report()(s, d)),
-    "agg29_health_report_one_path": lambda s, d: FD.flatten(_report(_single)(s, d)),
+    "agg29_health_report": lambda s, d: FD.flatten(_full()(s, d), with_evidence=True),
+    "agg29_health_report_one_path": lambda s, d: FD.flatten(_full(_single)(s, d), with_evidence=True),
     "agg30_evidence": lambda s, d: H.op_evidence(T.ops(s, d)).select(
         "finding_id", "row_op", *[F.array_join(F.col("evidence")[p], ",").alias(p) for p in ("op_ids", "sock_cookies", "aws_request_ids")]
     ),
@@ -402,8 +406,6 @@ ORACLES = {
     "agg28_overall_verdict": f"""{floors_sql()}, {facts_sql()}, {CLASSES}, {PATH}, {ENV}, rep AS ({' UNION ALL '.join(R_OPS + R_CLASS + R_PATH + R_ENV)}), {_VERDICT}
  SELECT verdict, 'warn' AS severity, NULL::BOOLEAN AS reuse_working, (SELECT count(*) FROM ops) AS operations, (SELECT count(http_status) FROM ops) AS answered,
  CASE WHEN verdict = 'ATTENTION' THEN 1 ELSE 2 END AS exit_code, CASE WHEN verdict = 'ATTENTION' THEN 1 ELSE 2 END AS exit_code_strict FROM v""",
-    "agg29_health_report": report_sql(),
-    "agg29_health_report_one_path": report_sql(ONE_PATH),
     "agg30_evidence": f"""WITH {S.OPS}, t AS (SELECT *, 'http_errors' AS finding_id, NULL::VARCHAR AS row_op FROM opf WHERE http_status >= 400
  UNION ALL SELECT *, 's3_throttle', NULL FROM opf WHERE cls = 'throttle' UNION ALL SELECT *, 's3_server_errors', NULL FROM opf WHERE cls = 'server'
  UNION ALL SELECT *, 's3_client_errors', NULL FROM opf WHERE cls IN ('forbidden', 'not_found', 'bad_request', 'client')
@@ -444,3 +446,18 @@ ORACLES = {
 }
 ORACLES["jn13_provider_pivot"] = f"""WITH t AS ({ORACLES['jn13_provider_tiers']}) SELECT tier, max(think_ms) FILTER (WHERE provider = 'p0') AS p0_think_ms,
  max(mb_per_s) FILTER (WHERE provider = 'p0') AS p0_mb_per_s, max(think_ms) FILTER (WHERE provider = 'p1') AS p1_think_ms, max(mb_per_s) FILTER (WHERE provider = 'p1') AS p1_mb_per_s FROM t GROUP BY 1"""
+
+
+def full_report_sql(conns: str = S.CONNS) -> str:
+    rep = " UNION ALL ".join(R_OPS + R_CLASS + R_PATH + R_ENV)
+    base = f"{floors_sql(conns)}, {facts_sql()}, {CLASSES}, {PATH}, {ENV}, rep AS ({rep})"
+    run = f"""{base}, {_VERDICT} SELECT verdict, CASE WHEN verdict = 'ATTENTION' THEN 'warn' WHEN verdict IN ('HEALTHY', 'CHECKS PASSED') THEN 'healthy' ELSE 'unjudged' END AS severity,
+ (SELECT count(http_status) FROM ops) + (SELECT count(*) FROM conns) AS judged, (SELECT count(*) - count(http_status) FROM ops) AS excluded,
+ (SELECT CAST(max(round(value_num * 1000)) AS BIGINT) FROM rep WHERE finding_id = 'baseline_rtt') AS baseline_rtt_us, (SELECT max(ts_start) FROM rep) AS ts_start, (SELECT max(ts_end) FROM rep) AS ts_end FROM v"""
+    return f"""SELECT r.*, op_ids, sock_cookies, aws_request_ids FROM ({base} SELECT * FROM rep) r LEFT JOIN ({ORACLES['agg30_evidence']}) e
+ ON r.finding_id = e.finding_id AND r.s3_op IS NOT DISTINCT FROM e.row_op
+UNION ALL BY NAME SELECT 'run' AS finding_id, 'run' AS domain, 'verdict' AS metric, 'none' AS unit, 'mixed' AS sample_kind, * FROM ({run})"""
+
+
+ORACLES["agg29_health_report"] = full_report_sql()
+ORACLES["agg29_health_report_one_path"] = full_report_sql(ONE_PATH)

@@ -16,6 +16,7 @@ from tidemark.operators.quantiles import Stat, exact_quantiles
 from tidemark.plans import findings as FD
 from tidemark.plans import floors as FL
 from tidemark.plans.scorecard import capture_window
+from tidemark.session import materialize
 
 # Titles of the report rows.
 TITLES = {
@@ -456,7 +457,7 @@ def report(
     series: DataFrame | None = None,
     sampled_send: DataFrame | None = None,
 ) -> DataFrame:
-    """Every judged and reported row of a capture; evidence comes from ``op_evidence``."""
+    """Every judged and reported row of a capture; ``full_report`` adds evidence and the roll-up."""
     pooled = FL.pooled_floor(conns, samples, cfg)
     floored = FL.judged_requests(ops, conns, pooled, cfg)
     cap = with_capture(op_facts(floored, cfg), ops, conns, samples, cfg, sampled_send)
@@ -472,6 +473,44 @@ def report(
     return FD.union_all(parts)
 
 
+def with_evidence(rows: DataFrame, ops: DataFrame, limit: int = 5) -> DataFrame:
+    """The rows with the requests that they rest on, where they name any."""
+    found = op_evidence(ops, limit).select(F.col("finding_id").alias("_f"), F.col("row_op").alias("_o"), F.col("evidence").alias("_e"))
+    same = (F.col("finding_id") == F.col("_f")) & F.col("s3_op").eqNullSafe(F.col("_o"))
+    return rows.join(found, same, "left").withColumn("evidence", F.coalesce("evidence", "_e")).drop("_f", "_o", "_e")
+
+
+def run_row(rows: DataFrame, ops: DataFrame, conns: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The roll-up of a report: its overall verdict as one more row."""
+    overall = run_verdict(rows, ops, conns, cfg).withColumn(
+        "r",
+        rows.agg(
+            F.struct(
+                F.max(F.when(F.col("finding_id") == "baseline_rtt", F.round(F.col("value_num") * 1e3))).cast("bigint").alias("floor"),
+                F.max("ts_start").alias("ts_start"), F.max("ts_end").alias("ts_end"),
+            )
+        ).scalar(),
+    ).withColumn("n", conns.agg(F.count(F.lit(1))).scalar())
+    return FD.emit(
+        overall, finding_id="run", domain="run", title="run health", severity=F.col("severity"), verdict=F.col("verdict"), metric="verdict", unit="none",
+        baseline_rtt_us=F.col("r.floor"), judged=F.col("answered") + F.col("n"), excluded=F.col("operations") - F.col("answered"), sample_kind="mixed",
+        ts_start=F.col("r.ts_start"), ts_end=F.col("r.ts_end"),
+    )
+
+
+def full_report(
+    ops: DataFrame,
+    conns: DataFrame,
+    samples: DataFrame,
+    cfg: Config = DEFAULT,
+    series: DataFrame | None = None,
+    sampled_send: DataFrame | None = None,
+) -> DataFrame:
+    """The report with its evidence and its roll-up."""
+    out = materialize(report(ops, conns, samples, cfg, series, sampled_send), "report")
+    return with_evidence(out, ops, cfg.max_evidence).unionByName(run_row(out, ops, conns, cfg))
+
+
 GLOBAL_ROWS = ["baseline_rtt", "dns_cold", "tcp_connect", "ttfb_new", "ttfb_reused", "retransmit_rate", "http_errors"]
 
 

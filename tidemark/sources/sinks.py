@@ -9,10 +9,17 @@ from tidemark.sources import schemas as S
 
 
 def finding_records(findings: DataFrame, namespace: str = "tidemark") -> DataFrame:
-    """The nested wire record: decimal-string window, sample, scope and evidence structs."""
+    """The nested wire record: decimal-string window, sample, scope and evidence structs.
+
+    ``emitted_at`` stays null: findings are a function of their records, so writing them twice gives the same bytes.
+    """
     return findings.select(
         F.lit(f"{namespace}.{S.FINDING_TAG}").alias("schema"),
-        "finding_id", "domain", "title", "severity", "verdict", "metric",
+        F.lit(None).cast("string").alias("emitted_at"),
+        F.array(*[F.lit(f"{namespace}.{tag}") for tag, kind in S.KIND_TAGS.items() if kind != "sample"]).alias("source_schema"),
+        "finding_id", "domain", "title", "severity", "verdict",
+        F.concat(F.coalesce("title", "finding_id"), F.lit(": "), F.coalesce("verdict", "severity")).alias("summary"),
+        F.lit(None).cast("string").alias("recommendation_ref"), "metric",
         "value_num", "value_str", "unit", "baseline_rtt_us", "ratio_to_rtt", "threshold",
         F.struct("judged", "excluded", F.col("sample_kind").alias("kind")).alias("sample"),
         F.struct("s3_op", "bucket", "prefix_hash", "region", "app_pid").alias("scope"),
