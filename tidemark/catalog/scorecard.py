@@ -20,6 +20,7 @@ def _scorecard(s, d):
 
 QUERIES = {
     "sco1_scorecard": _scorecard,
+    "top5_ordered_scorecard": lambda s, d: SC.ordered(_scorecard(s, d)),
     "sco2_reliability_findings": lambda s, d: FD.flatten(SC.reliability_findings(T.ops(s, d), TAIL), with_evidence=True),
     "sco3_heavy_tail": lambda s, d: FD.flatten(SC.tail_findings(T.ops(s, d), TAIL), with_evidence=True),
     "sco4_unjudged_run": lambda s, d: FD.flatten(
@@ -86,3 +87,5 @@ SELECT 'scorecard-run' AS finding_id, 'run' AS domain, 'unjudged' AS severity, '
     "agg17_capture_window": f"""WITH {S.OPS}, {S.CONNS}, {S.SAMPLES}, w AS (SELECT ts_ns FROM ops UNION ALL SELECT ts_ns FROM conns UNION ALL SELECT ts_ns FROM samples)
 SELECT min(ts_ns) AS ts_start, max(ts_ns) AS ts_end FROM w""",
 }
+
+ORACLES["top5_ordered_scorecard"] = f"SELECT * FROM ({ORACLES['sco1_scorecard']}) ORDER BY bucket NULLS LAST, s3_op NULLS LAST"

@@ -95,6 +95,11 @@ def scorecard(ops: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
 
 
+def ordered(rows: DataFrame) -> DataFrame:
+    """Scorecard or class rows by key, null keys last: a range sort, no single task."""
+    return rows.orderBy(*[F.col(k).asc_nulls_last() for k in KEYS])
+
+
 def status_text(c: Column) -> Column:
     """The status map as ``code:count`` pairs."""
     return F.array_join(
