@@ -177,9 +177,14 @@ def test_diff_kinds(spark):
 def test_capture_lines(spark):
     ok = '{"schema":"x.sample/1","ts_ns":"5","sock_cookie":"18446744073709551615","bytes_sent":1,"bytes_recv":1,"snd_cwnd":1,"rcv_wnd":1,"total_retrans":0,"rcv_ooopack":0,"rate_app_limited":false,"new":1}'
     lines = [ok, ok.replace('"ts_ns":"5"', '"ts_ns":5'), ok.replace("18446744073709551615", "18446744073709551616"), ok[:-1], "7", '"s"', '{"schema":"x.sample/2"}', "{}", " ", ok + " " * (1 << 20)]
-    c = CA.classify(spark.createDataFrame([(x,) for x in lines], "value string"), "x")
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    c = CA.classify(df, "x", max_line_bytes=1 << 20)
     n = CA.accounting(c).first()
     assert (n.samples, n.bad_lines, n.unknown_schema) == (1, 6, 2)
+    anything = CA.accounting(CA.classify(df, "x")).first()  # without a limit the long line is a record
+    assert (anything.samples, anything.bad_lines, anything.unknown_schema) == (2, 5, 2)
+    nested = ok[:-1] + ',"future":{"ts_ns":7,"sock_cookie":[1]}}'
+    assert CA.accounting(CA.classify(spark.createDataFrame([(nested,)], "value string"), "x")).first().samples == 1
     assert CA.samples(c).first().ts_ns == 5
     with pytest.raises(CA.NoRecords, match="unknown tag"):
         CA.require_records(c.where("outcome <> 'sample'"))
