@@ -299,3 +299,12 @@ def test_language_rejects_and_survives(odd, spark, sf_dir):
         assert r.p.accepted <= lettered
     nothing = langid.fit(empty(docs))
     assert {r.p.lang for r in odd.select(langid.predict("text", nothing).alias("p")).collect()} == {"und"}
+
+
+def test_sorted_tokens_survive_packing():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 5, 1000):
+        tokens = np.sort(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+        assert (jaccard.unpack_sorted(jaccard.pack_sorted(tokens)) == tokens).all()
+    edge = np.array([0, 0, 1, (1 << 64) - 1], dtype=np.uint64)
+    assert (jaccard.unpack_sorted(jaccard.pack_sorted(edge)) == edge).all()
