@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, jaccard, langid, lines, mixing
 from tidemark.llm.learn import fold
+from tidemark.llm.text import small_batches
 from tidemark.session import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,6 +28,7 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; a null ``lang`` is filled in. Without a letter, or below the calibrated score, they go."""
+    small_batches(spark)
     model = langid.fit(docs.filter(fold(F.col("doc_id"), 3) != 1))
     found = docs.withColumn("_p", langid.predict("text", model)).filter("_p.accepted")
     return found.withColumn("lang", F.coalesce("lang", F.col("_p.lang"))).select(*COLUMNS)
@@ -40,6 +42,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.75 or more: the one with the smallest id."""
+    small_batches(spark)
     return jaccard.deduplicate(docs.select(*COLUMNS))
 
 
@@ -51,6 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and what they decode to, as a digest."""
+    small_batches(spark)
     path = public_tokenizers.path("word_bpe_49k.json")
     ids = docs.select("doc_id", "lang", "source", bpe.encode("text", path, docs).alias("ids"))
     return ids.select(

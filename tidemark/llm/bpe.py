@@ -211,7 +211,7 @@ def _tokens(path: str) -> list[str]:
 
 
 def _parts(column: pa.Array) -> Iterator[pa.Array]:
-    """A batch in parts of about a megabyte, so that a worker holds no more results than that."""
+    """A batch in parts of about half a megabyte, so that a worker holds no more results than that."""
     arr = column.cast(pa.large_binary())
     sizes = pc.fill_null(pc.binary_length(arr), 0).to_numpy()
     for i, j in pieces(np.concatenate([[0], np.cumsum(sizes)])):

@@ -9,6 +9,7 @@ Because average and linear layer commute, scoring needs only one row of logits p
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -129,7 +130,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     target = np.array([index[x] for x in got["label"].to_pylist()])
     docs = [(np.asarray(b.values), np.asarray(w.values)) for b, w in zip(got["buckets"], got["weights"], strict=True)]
     # The order in which partitions answer must not change the model.
-    order = sorted(range(len(docs)), key=lambda i: (target[i], docs[i][0].tobytes(), docs[i][1].tobytes()))
+    order = sorted(range(len(docs)), key=lambda i: (target[i], hashlib.blake2b(docs[i][0].tobytes() + docs[i][1].tobytes(), digest_size=8).digest()))
     random = np.random.default_rng(7)
     order = np.array(order)[random.permutation(len(order))]
     held, train = order[: len(order) // 5], order[len(order) // 5 :]

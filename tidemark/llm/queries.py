@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import ann, bpe, jaccard, langid, lines, mixing, mtree, quality, sharding, toxicity
 from tidemark.llm.learn import fold
+from tidemark.llm.text import small_batches
 from tidemark.session import materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

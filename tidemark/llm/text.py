@@ -10,8 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -23,6 +24,13 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _powers = [np.ones(1, dtype=_U), np.ones(1, dtype=_U)]
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers get at most ``rows`` texts at a time: texts are large rows, and a batch is held several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish a 64-bit hash: every input bit reaches every output bit."""
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
