@@ -264,6 +264,27 @@ def test_join_matches_all_pairs(spark, seed):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == components_of(rows)
 
 
+def growing_versions(seed, chains=40):
+    """Chains of versions of a text, each with four fifths of the shingles of the next: sizes differ by far inside a component."""
+    rng = random.Random(seed)
+    docs = []
+    for _ in range(chains):
+        words = [str(rng.random()) for _ in range(rng.randint(30, 60))]
+        for _ in range(rng.randint(3, 6)):
+            docs.append(" ".join(words))
+            more = [str(rng.random()) for _ in range((len(words) - 4) // 4)]
+            words = more + words if rng.random() < 0.5 else words + more
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_join_matches_all_pairs_of_growing_versions(spark, seed):
+    rows = growing_versions(seed)
+    out = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == components_of(rows)
+
+
 def test_join_on_odd_texts_and_keeping_one(odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     out = jaccard.similar_documents(odd).collect()

@@ -287,12 +287,15 @@ def _across(apart: DataFrame, members: DataFrame, sets: DataFrame, t: float) ->
     The sets of the smaller component are compared with the larger one's in blocks, each of at most some hundred sets,
     so a component of any size is dealt out, and a pair of sets is no row.
     """
+    hundred = round(100 * t)
     whole = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("n"), F.max("n").alias("most"), F.max("r").alias("r"))
     one, two = (whole.select(*[F.col(c).alias(f"{c}{k}") for c in ("component", "m", "n", "most", "r")]) for k in (1, 2))
     turned = F.col("m1") > F.col("m2")
     sides = apart.join(one, "component1").join(two, "component2").filter(_may_link(t))
-    sides = sides.select(*[F.when(turned, F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(f"large_{c}") for c in ("component", "m", "n", "r")], F.when(turned, F.col("component2")).otherwise(F.col("component1")).alias("component"))
-    asked = sides.join(members, "component").filter(_can_link(F.col("n"), F.col("r"), F.col("large_n"), F.col("large_r"), t)).select(F.col("large_component").alias("into"), "large_m", "set")
+    sides = sides.select(*[F.when(turned, F.col(f"{c}1")).otherwise(F.col(f"{c}2")).alias(f"large_{c}") for c in ("component", "m", "n", "most", "r")], F.when(turned, F.col("component2")).otherwise(F.col("component1")).alias("component"))
+    # a set goes on if it can link with some member: as small as the smallest, sharing as much as the largest
+    able = (100 + hundred) * F.least("n", "r", "large_most", "large_r") >= hundred * (F.col("n") + F.col("large_n"))
+    asked = sides.join(members, "component").filter(able).select(F.col("large_component").alias("into"), "large_m", "set")
     asked = materialize(asked, "asked")
     counts = asked.groupBy("into").agg(F.ceil(F.count(F.lit(1)) / ASKED_BLOCK).cast("int").alias("down"), F.ceil(F.first("large_m") / MEMBER_BLOCK).cast("int").alias("wide"))
     n = asked.count()
