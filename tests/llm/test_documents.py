@@ -285,6 +285,27 @@ def test_join_matches_all_pairs_of_growing_versions(spark, seed):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == components_of(rows)
 
 
+def test_tasks_of_equal_sets_stay_apart(spark):
+    """Exact copies alone in several partitions, and the same two texts in either order, beside texts that share 40 % with them."""
+    text = lambda name, k: [f"{name}{i}" for i in range(k)]
+    shared, other = text("s", 60), text("p", 50)
+    a, b = " ".join(shared + text("a", 44)), " ".join(shared + text("b", 44))
+    c, d = " ".join(other + text("c", 30)), " ".join(text("d", 20) + other)
+    parts = [[a], [a], [b], [b], [a], [c, d], [d, c], [c, d]]
+    rows, by_part = [], []
+    for part in parts:
+        by_part.append([(len(rows) + k, x) for k, x in enumerate(part)])
+        rows += by_part[-1]
+    spread = spark.sparkContext.parallelize(range(len(parts)), len(parts)).flatMap(lambda k: by_part[k])
+    df = spark.createDataFrame(spread, "doc_id long, text string")
+    assert df.rdd.getNumPartitions() == len(parts)
+    want = components_of(rows)
+    assert len({i for _, _, i in want}) == 4
+    out = jaccard.similar_documents(df).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == want
+    assert sorted(r.doc_id for r in jaccard.deduplicate(df).collect()) == sorted({i for _, _, i in want})
+
+
 def test_join_on_odd_texts_and_keeping_one(odd):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     out = jaccard.similar_documents(odd).collect()

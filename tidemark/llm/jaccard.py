@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,10 +79,14 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
 
 
 def _spread(ranges: int, width: int):
-    """Tokens of groups of documents, dealt into ranges; each set once a group."""
+    """Tokens of groups of documents, dealt into ranges; each set once a group.
 
-    def sent(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple]:
-        group = set_id(np.array(sorted(ids), dtype=np.int64).astype(_U))
+    A group's number tells its task, its place there and its sets in their order: a retry repeats it, and
+    groups of other tasks that hold the same sets have numbers of their own.
+    """
+
+    def sent(task: int, place: int, ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple]:
+        group = set_id(np.array([task, place, *ids], dtype=np.int64).astype(_U))
         tokens, docs = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
         order = np.argsort(tokens, kind="stable")
         tokens, docs = tokens[order], docs[order]
@@ -108,7 +113,8 @@ def _spread(ranges: int, width: int):
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: dict[int, None] = {}
         sets: list[np.ndarray] = []
-        held = 0
+        held = place = 0
+        task = TaskContext.get().partitionId()
         for batch in batches:
             for s in shingle_sets(batch.column(0), width):
                 if not len(s) or (i := set_id(s)) in ids:
@@ -117,10 +123,10 @@ def _spread(ranges: int, width: int):
                 sets.append(s)
                 held += len(s)
                 if held >= GROUP_TOKENS or len(sets) == _SHARED:
-                    yield as_batch(list(sent(list(ids), sets)))
-                    ids, sets, held = {}, [], 0
+                    yield as_batch(list(sent(task, place, list(ids), sets)))
+                    ids, sets, held, place = {}, [], 0, place + 1
         if sets:
-            yield as_batch(list(sent(list(ids), sets)))
+            yield as_batch(list(sent(task, place, list(ids), sets)))
 
     return spread
 
