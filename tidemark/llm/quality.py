@@ -3,9 +3,10 @@
 An indicator says that an n-gram occurs in a text. N-grams are taken over four readings of the text: the
 shapes of its bytes (runs of capitals, small letters, digits and spaces, and each other mark by itself),
 which words equal the word before, the lengths of its words, and its lower-cased words. Junk shows in the first
-three whatever its words are. Every indicator is scaled by its class log-count ratio, counted over all
-training rows; a linear hinge-loss model over the scaled indicators is then fitted by dual coordinate descent
-on a bounded sample, and mixed with its mean weight as usual for this model.
+three whatever its words are. Every indicator is scaled by its class log-count ratio; a linear
+hinge-loss model over the scaled indicators is then fitted by dual coordinate descent, and mixed with its mean
+weight as usual for this model. Both use one bounded sample, even over the classes: n-grams that fewer than two
+of its rows hold weigh 0, however many other labelled rows hold them.
 """
 
 from __future__ import annotations
