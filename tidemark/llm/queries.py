@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, jaccard, langid, lines, mixing, mtree, quality, sharding, toxicity
+from tidemark.llm import ann, bpe, divergence, infill, jaccard, langid, lines, mixing, mtree, quality, sharding, toxicity, urls
+from tidemark.llm.labelled_urls import LABELLED, SCHEMA
 from tidemark.llm.learn import fold
 from tidemark.llm.text import small_batches
 from tidemark.session import materialize
@@ -87,6 +88,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(F.encode(text, "UTF-8"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(infill.restore("output", "form")).alias("restored_sha256"))
+
+
+URL_RULES = (
+    urls.Rule("org", "/", urls.ALLOW),
+    urls.Rule("example.org", "/es/", urls.BLOCK),
+    urls.Rule("example.org", "/en/1", urls.BLOCK),
+    urls.Rule("com", "/fr/", urls.ALLOW),
+    urls.Rule("com", "/de/", urls.BLOCK),
+)
+
+
+def op12_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.fit(spark.createDataFrame(LABELLED, SCHEMA))
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), model, URL_RULES).drop("url")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_ann": op2_ann,
@@ -98,6 +123,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_jaccard": op9_jaccard,
     "op10_sharding": op10_sharding,
+    "op11_infill": op11_infill,
+    "op12_urls": op12_urls,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES = {
@@ -151,5 +179,34 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM f a JOIN f b ON a.
 l AS (SELECT x, y FROM p JOIN k a ON a.doc_id = x JOIN k b ON b.doc_id = y WHERE 100 * i >= 75 * (a.n_shingles + b.n_shingles - i)),
 c AS (SELECT x, y FROM l UNION SELECT c.x, l.y FROM c JOIN l ON c.y = l.x)
 SELECT k.doc_id, n_shingles, least(k.doc_id, coalesce(min(y), k.doc_id)) AS component_id FROM k LEFT JOIN c ON c.x = k.doc_id GROUP BY k.doc_id, n_shingles
+""",
+    "op11_infill": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+  CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+""",
+    "op13_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+u AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM u GROUP BY ALL),
+k AS (SELECT lang, term, count(*) AS lang_n FROM u GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(lang_n) AS lang_total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, k.term, lang_n, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+t AS (SELECT lang, source, sum(n) AS total FROM x GROUP BY ALL),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS p, 1 + (1000000000::HUGEINT * (lang_n + 5)) // (lang_total + 5 * v) AS q
+  FROM x JOIN t USING (lang, source) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 50
 """,
 }
