@@ -6,6 +6,7 @@ import pytest
 from tidemark.plans import correlate as CR
 from tidemark.sources import tables as T
 from tidemark.streaming import correlation as SR
+from tidemark.streaming import enrich as EN
 from tidemark.streaming import windows as W
 
 COLS = ["conn", "seq", "ts_ns", "verb", "req_seq", "http_status", "content_length", "ttfb_ns", "download_ns", "total_ns", "partial", "delimitation"]
@@ -84,3 +85,70 @@ def test_windows_settle_to_the_batch_counts(spark, sf_dir, in_files):
     got = W.latest(W.run_once(W.scorecard_windows(T.ops_from(in_files)), "t-win", "update"), ["start_us", "bucket", "s3_op"])
     want = T.ops(spark, sf_dir).selectExpr("count(http_status) AS n").first().n
     assert got.selectExpr("sum(ops) AS n").first().n == want
+
+
+def in_batches(spark, folder, parts, schema):
+    """A stream that sees each part in a micro-batch of its own."""
+    folder.mkdir()
+    for i, rows in enumerate(parts):
+        part = folder.parent / f"{folder.name}-part{i}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(part))
+        next(part.glob("*.parquet")).rename(folder / f"{i}.parquet")
+        os.utime(folder / f"{i}.parquet", (1_700_000_000 + i,) * 2)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+S0 = 1_700_000_000_000_000_000
+SEC = 10**9
+
+
+def test_connections_are_enriched_live_as_in_batch(spark, tmp_path):
+    """A connect and its name that come a micro-batch after the close, partners that never come, and one that is too old."""
+    sock = "sock_cookie string, ts_ns long, seq long, kind string, pid long, ip string, sni string, tls_version string, cipher int"
+    at = lambda s: S0 + int(s * SEC)
+    s1 = [
+        ("a", at(5), 1, "close", 1, None, None, None, None),
+        ("b", at(1), 2, "connect", 2, "ip2", None, None, None),
+        ("b", at(2), 3, "client_hello", 2, None, "name-b", None, None),
+        ("c", at(3), 4, "close", 3, None, None, None, None),
+        (None, at(3), 5, "close", 3, None, None, None, None),
+    ]
+    s2 = [
+        ("a", at(2), 6, "connect", 7, "ip1", None, None, None),  # late, before its close
+        ("a", at(4), 7, "server_hello", 7, None, None, "TLSv1.3", 4866),
+        ("a", at(1), 8, "client_hello", 7, None, "too-early", None, None),
+        ("b", at(9), 9, "close", 2, None, None, None, None),
+        ("b", at(9), 10, "close", 2, None, None, None, None),  # nothing was opened since
+        ("d", at(10), 11, "connect", 4, "ip3", None, None, None),
+        ("e", at(11), 12, "connect", 5, "ip1", None, None, None),
+    ]
+    s3 = [("d", at(200), 13, "close", 4, None, None, None, None), ("e", at(30), 14, "close", 5, None, None, None, None), ("e", at(31), 15, "connect", 6, "ip9", None, None, None)]
+    names = "ip string, ts_ns long, seq long, host string"
+    a1 = [("ip2", at(1), 1, "host-two"), ("ip2", at(1.5), 2, "after-the-connect"), (None, at(1), 3, "x")]
+    a2 = [("ip1", at(0.5), 4, "older"), ("ip1", at(1.5), 5, "host-one"), ("ip3", at(9), 6, None)]
+    a3 = [("ip3", at(150), 7, "later")]
+    regions = spark.createDataFrame([("ip1", "north"), ("ip3", "south")], "ip string, region string")
+    sockets, answers = in_batches(spark, tmp_path / "s", [s1, s2, s3], sock), in_batches(spark, tmp_path / "a", [a1, a2, a3], names)
+    bounds = {"max_life_ns": 100 * SEC, "resolved_within_ns": 5 * SEC}
+    live = W.run_to_end(lambda ticks: EN.enriched_stream(sockets, answers, regions, ticks, late_by="10 seconds", **bounds), spark, "t-enriched")
+    want = CR.enriched_connections(spark.createDataFrame(s1 + s2 + s3, sock), spark.createDataFrame(a1 + a2 + a3, names), regions, **bounds)
+    named = lambda df: {(r.sock_cookie, r.seq): tuple(r)[2:] for r in df.drop("batch").collect()}
+    got, expected = named(live), named(want)
+    assert {k: v for k, v in got.items() if k[0]} == {k: v for k, v in expected.items() if k[0]}
+    rows = {(r.sock_cookie, r.seq): r for r in live.collect()}
+    assert (rows["a", 1].pid, rows["a", 1].host, rows["a", 1].region, rows["a", 1].tls_version, rows["a", 1].sni) == (7, "host-one", "north", "TLSv1.3", None)
+    assert (rows["b", 9].host, rows["b", 9].sni, rows["b", 9].region, rows["b", 10].partial) == ("host-two", "name-b", None, True)
+    assert rows["c", 4].partial and rows["d", 13].partial and rows["d", 13].ip is None
+    assert (rows["e", 14].lifetime_ns, rows["e", 14].host) == (19 * SEC, None)
+
+
+def test_state_is_gone_when_its_time_is_over(spark, tmp_path):
+    schema = "sock_cookie string, ts_ns long, seq long, kind string, pid long"
+    ms = lambda t: S0 + t * 1_000_000
+    parts = [[("a", ms(0), 1, "connect", 1), ("b", ms(10), 2, "connect", 2)], [("b", ms(30_000), 3, "connect", 3), ("c", ms(40_000), 4, "connect", 4)], [("d", ms(70_000), 5, "connect", 5)]]
+    stream = in_batches(spark, tmp_path / "e", parts, schema)
+    log = str(tmp_path / "log")
+    W.drain(SR.connection_stream(stream, late_by="1 second", timeout_ms=35_000), str(tmp_path / "out"), log)
+    # the watermark stands at 69 s: a (0 s) and b's first connect are long over, c's 40 s are within 35 s of it
+    assert {r.sock_cookie for r in SR.state_table(log, spark, "open").collect()} == {"c", "b"} - ({"b"} if 30_000 + 35_000 < 69_000 else set())
+    assert [(r.sock_cookie, r.seq) for r in SR.state_table(log, spark, "waiting").collect()] == [("d", 5)]

@@ -6,8 +6,10 @@ from tidemark.catalog import sql as S
 from tidemark.catalog.scorecard import ORACLES as _SC
 from tidemark.plans import correlate as CR
 from tidemark.plans import scorecard as SC
+from tidemark.session import scratch_path
 from tidemark.sources import tables as T
 from tidemark.streaming import correlation as SR
+from tidemark.streaming import enrich as EN
 from tidemark.streaming import windows as W
 
 
@@ -31,6 +33,13 @@ def _wire(s, d):
     return _pairs(s, d).select(F.col("qname").alias("host"), "query_ts", "resolved_ts").distinct()
 
 
+def _left_waiting(s, d):
+    """What the correlation's state holds when the stream stops: events that the watermark has not passed."""
+    log = scratch_path(s, "waiting-log")
+    W.drain(SR.correlate_stream(T.wire_events(_live(s, d)), timeout_ms=10**13, late_by="10 hours"), scratch_path(s, "waiting"), log)
+    return SR.state_table(log, s, "waiting")
+
+
 def _live_samples(s, d):
     li = W.table_stream(s, d, "lineitem")
     return li.selectExpr(
@@ -55,6 +64,11 @@ QUERIES = {
     "str2_str3_live_connections": lambda s, d: W.run_once(
         SR.connection_stream(T.socket_events(_live(s, d)).where("kind IN ('connect', 'close')")), "live-conns", end=SR.end_of_connections
     ).drop("batch"),
+    "str2_enriched_connections": lambda s, d: CR.enriched_connections(T.peer_sockets(_e(s, d)), T.address_answers(_e(s, d)), T.address_regions(s, d)),
+    "str2_live_enriched_connections": lambda s, d: W.run_to_end(
+        lambda ticks: EN.enriched_stream(T.peer_sockets(_live(s, d)), T.address_answers(_live(s, d)), T.address_regions(s, d), ticks), s, "enriched"
+    ).drop("batch"),
+    "str4_waiting_events": lambda s, d: _left_waiting(s, d),
     "str6_sample_windows": lambda s, d: W.latest(W.run_once(W.sample_windows(_live_samples(s, d)), "sample-windows", "update"), ["start_us"]).drop("sockets_approx"),
     "str7_windowed_scorecard": lambda s, d: W.latest(
         W.run_once(W.scorecard_windows(T.ops_from(_live(s, d))), "scorecard-windows", "update"), ["start_us", "bucket", "s3_op"]
@@ -91,10 +105,28 @@ _SOCK = _E + """,
 so AS (SELECT CAST(user_id AS VARCHAR) AS sock_cookie, ts_ns, event_id AS seq, user_id % 8 AS pid, CASE event_type WHEN 'purchase' THEN 'connect' WHEN 'signup' THEN 'close' ELSE event_type END AS kind,
  CASE WHEN event_type = 'click' THEN 'b' || (k % 5) || '.s3.eu-west-1.amazonaws.com' END AS sni, CASE WHEN event_type = 'view' AND k % 3 <> 0 THEN 'TLSv1.' || (2 + k % 2) END AS tls_version,
  CASE WHEN event_type = 'view' AND k % 5 <> 0 THEN 4865 + k % 3 END AS cipher FROM e)"""
+_E_SOCK = _SOCK + """,
+pe AS (SELECT *, CASE WHEN kind = 'connect' THEN '10.9.0.' || (seq % 30) END AS ip FROM so WHERE kind <> 'error'),
+an AS (SELECT '10.9.0.' || (k % 30) AS ip, ts_ns, event_id AS seq, 'n' || (k % 2) AS host FROM e WHERE event_type = 'view')"""
 _CC = f"""WITH {_SOCK}, z AS (SELECT *, lag(kind) OVER w AS pk, lag(ts_ns) OVER w AS pt, lag(pid) OVER w AS pp FROM so WHERE kind IN ('connect', 'close') WINDOW w AS (PARTITION BY sock_cookie ORDER BY ts_ns, seq))
  SELECT seq, sock_cookie, CASE WHEN pk = 'connect' THEN pt END AS connect_ts, ts_ns AS close_ts, CASE WHEN pk = 'connect' THEN ts_ns - pt END AS lifetime_ns, CASE WHEN pk = 'connect' THEN pp ELSE 0 END AS pid, NOT coalesce(pk = 'connect', false) AS partial FROM z WHERE kind = 'close'"""
 
+_ENRICHED = f"""WITH {_E_SOCK}, w AS (SELECT *, max(CASE WHEN kind = 'connect' THEN {{'t': ts_ns, 's': seq, 'p': pid, 'ip': ip}} END) OVER b AS o, max(CASE WHEN kind = 'close' THEN {{'t': ts_ns, 's': seq}} END) OVER b AS c,
+  max(CASE WHEN sni IS NOT NULL THEN {{'t': ts_ns, 's': seq, 'v': sni}} END) OVER b AS f1, max(CASE WHEN tls_version IS NOT NULL THEN {{'t': ts_ns, 's': seq, 'v': tls_version}} END) OVER b AS f2,
+  max(CASE WHEN cipher IS NOT NULL THEN {{'t': ts_ns, 's': seq, 'v': cipher}} END) OVER b AS f3 FROM pe WINDOW b AS (PARTITION BY sock_cookie ORDER BY ts_ns, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k AS (SELECT *, o IS NOT NULL AND ts_ns - (o).t <= {CR.MAX_LIFE_NS} AND (c IS NULL OR ((o).t, (o).s) > ((c).t, (c).s)) AS known FROM w WHERE kind = 'close'),
+n AS (SELECT *, CASE WHEN known THEN (o).ip END AS cip, CASE WHEN known THEN (o).t END AS ct,
+  (SELECT max({{'t': a.ts_ns, 's': a.seq, 'h': a.host}}) FROM an a WHERE known AND a.ip = (k.o).ip AND a.ts_ns <= (k.o).t AND (k.o).t - a.ts_ns <= {CR.RESOLVED_WITHIN_NS}) AS r FROM k)
+SELECT sock_cookie, seq, ct AS connect_ts, ts_ns AS close_ts, ts_ns - ct AS lifetime_ns, CASE WHEN known THEN (o).p ELSE 0 END AS pid, NOT known AS partial, cip AS ip, region,
+  CASE WHEN known AND ((f1).t, (f1).s) > ((o).t, (o).s) THEN (f1).v END AS sni, CASE WHEN known AND ((f2).t, (f2).s) > ((o).t, (o).s) THEN (f2).v END AS tls_version,
+  CASE WHEN known AND ((f3).t, (f3).s) > ((o).t, (o).s) THEN (f3).v END AS cipher, (r).h AS host, ct - (r).t AS resolved_ago_ns
+FROM n LEFT JOIN (SELECT '10.9.0.' || n_nationkey AS ip, lower(r_name) AS region FROM nation JOIN region ON n_regionkey = r_regionkey) g ON g.ip = cip"""
+
 ORACLES = {
+    "str2_enriched_connections": _ENRICHED,
+    "str2_live_enriched_connections": _ENRICHED,
+    "str4_waiting_events": f"""WITH {_WIRE} SELECT conn, ts_ns, seq, kind, verb, CAST(st AS INT) AS http_status, cl AS content_length, CAST(bytes AS BIGINT) AS bytes, CAST(200 AS BIGINT) AS head_bytes, hc AS head_complete FROM wi
+ WHERE ts_ns // 1000000 >= (SELECT max(ts_ns) // 1000000 - 36000000 FROM wi)""",
     "jn6_dns_query_response": f"WITH {_DNS} SELECT * EXCLUDE (seq) FROM pr",
     "jn7_dns_asof_connect": f"""WITH {_DNS}, co AS (SELECT '10.9.0.' || (k % 30) AS ip, ts_ns, event_id AS seq FROM e WHERE event_type = 'purchase'),
  a AS (SELECT co.*, (SELECT max({{'t': resolved_ts, 's': pr.seq, 'h': qname, 'l': latency_ns}}) FROM pr WHERE pr.ip = co.ip AND resolved_ts <= co.ts_ns) AS r FROM co),

@@ -103,6 +103,57 @@ def tls_facts(events: DataFrame) -> DataFrame:
     return ep.groupBy("sock_cookie", "epoch").agg(latest("sni").alias("sni"), latest("tls_version").alias("tls_version"), latest("cipher").alias("cipher"))
 
 
+#: How long a connection may have lived, and how old the resolution of its peer may be, to be joined to its close.
+MAX_LIFE_NS = 2 * 86_400 * 10**9
+RESOLVED_WITHIN_NS = 6 * 3_600 * 10**9
+
+
+def enriched_columns() -> list[Column]:
+    """What a record says, from a close with ``known`` (its connect was found) and its partners."""
+    known = F.col("known")
+    lifetime = F.when(known, F.greatest(F.col("close_ts") - F.col("connect_ts"), F.lit(0)))
+    return [
+        *map(F.col, ("sock_cookie", "seq", "connect_ts", "close_ts")), lifetime.alias("lifetime_ns"), F.coalesce("pid", F.lit(0)).alias("pid"),
+        (~known).alias("partial"), *map(F.col, ("ip", "region", "sni", "tls_version", "cipher", "host")),
+        (F.col("connect_ts") - F.col("resolved_ts")).alias("resolved_ago_ns"),
+    ]
+
+
+def enriched_connections(sockets: DataFrame, answers: DataFrame, regions: DataFrame, max_life_ns: int = MAX_LIFE_NS, resolved_within_ns: int = RESOLVED_WITHIN_NS) -> DataFrame:
+    """One record for each close: its connect, the handshake since, the name its peer was resolved from, and the peer's region.
+
+    ``sockets``: sock_cookie, ts_ns, seq, kind, pid, ip (of a connect), sni, tls_version, cipher. ``answers``: ip, ts_ns, seq, host.
+    ``regions``: ip, region. The connect is the latest one before the close, unless the socket closed in between or it is more than
+    ``max_life_ns`` old: then the record is partial, its process 0 and the rest unknown. The name is the latest one that an
+    answer gave for the peer by the time of the connect, at most ``resolved_within_ns`` before.
+    """
+    last = lambda condition, *values: ("last", F.when(condition, F.struct(F.col("ts_ns").alias("ts"), "seq", *values)))
+    is_ = lambda kind: F.col("kind") == kind
+    seen = prefix(
+        sockets, ["sock_cookie"], "ts_ns",
+        {
+            "opened": last(is_("connect"), "pid", "ip"), "closed": last(is_("close")),
+            **{f"_{c}": last(F.col(c).isNotNull(), F.col(c).alias("v")) for c in ("sni", "tls_version", "cipher")},
+        },
+        ties=("seq",), frame="rows_before",
+    ).where(is_("close"))
+    at = F.struct("opened.ts", "opened.seq")
+    known = F.col("opened").isNotNull() & (F.col("ts_ns") - F.col("opened.ts") <= max_life_ns) & F.coalesce(at > F.struct("closed.ts", "closed.seq"), F.lit(True))
+    conns = materialize(
+        seen.select("*", known.alias("known")).select(
+            "sock_cookie", "seq", F.col("ts_ns").alias("close_ts"), "known",
+            *[F.when(F.col("known"), F.col(f"opened.{c}")).alias(n) for c, n in (("ts", "connect_ts"), ("pid", "pid"), ("ip", "ip"))],
+            *[F.when(F.col("known") & (F.struct(f"_{c}.ts", f"_{c}.seq") > at), F.col(f"_{c}.v")).alias(c) for c in ("sni", "tls_version", "cipher")],
+        ),
+        "closed-connections",
+    )
+    named = asof(conns.where("known").withColumn("ts_ns", F.col("connect_ts")), answers, ["ip"], ["host"], out="r")
+    fresh = F.col("ts_ns") - F.col("r.at") <= resolved_within_ns
+    named = named.select(*conns.columns, F.when(fresh, F.col("r.host")).alias("host"), F.when(fresh, F.col("r.at")).alias("resolved_ts"))
+    whole = named.unionByName(conns.where("NOT known"), allowMissingColumns=True)
+    return whole.join(regions, "ip", "left").select(*enriched_columns())
+
+
 def fd_links(uses: DataFrame, links: DataFrame) -> DataFrame:
     """The socket behind (pid, fd) at each use: the most recent link wins."""
     return asof(uses, links, ["pid", "fd"], ["sock_cookie"], out="l").select("seq", "pid", "fd", F.col("l.sock_cookie").alias("sock_cookie"))

@@ -262,3 +262,20 @@ def lookups(events: DataFrame) -> DataFrame:
 
 def connects(events: DataFrame) -> DataFrame:
     return events.where("event_type = 'purchase'").selectExpr("concat('10.9.0.', CAST(k % 30 AS STRING)) AS ip", "ts_ns", "event_id AS seq")
+
+
+def peer_sockets(events: DataFrame) -> DataFrame:
+    """``socket_events`` with the peer address of each connect."""
+    own = socket_events(events.where("event_type <> 'error'"))
+    return own.withColumn("ip", F.when(F.col("kind") == "connect", F.concat(F.lit("10.9.0."), (F.col("seq") % 30).cast("string"))))
+
+
+def address_answers(events: DataFrame) -> DataFrame:
+    """The addresses that names resolved to."""
+    return events.where("event_type = 'view'").selectExpr("concat('10.9.0.', CAST(k % 30 AS STRING)) AS ip", "ts_ns", "event_id AS seq", "concat('n', CAST(k % 2 AS STRING)) AS host")
+
+
+def address_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region of each known address; some addresses of ``peer_sockets`` have none."""
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    return n.join(r, n.n_regionkey == r.r_regionkey).selectExpr("concat('10.9.0.', CAST(n_nationkey AS STRING)) AS ip", "lower(r_name) AS region")

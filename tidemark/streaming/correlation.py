@@ -9,28 +9,19 @@ When a drained stream is known to have ended, ``end_of_requests`` applies what s
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from types import SimpleNamespace
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = (
     "conn string, seq bigint, ts_ns bigint, verb string, req_seq bigint, http_status int, content_length bigint, ttfb_ns bigint, "
     "download_ns bigint, total_ns bigint, partial boolean, delimitation string, flushed boolean"
 )
-# open request: seq, ts, verb, req_seq, ambiguous, interim, head ts, status, length, still needed, head whole
-STATE = (
-    "next_seq bigint, open boolean, seq bigint, ts_ns bigint, verb string, req_seq bigint, ambiguous boolean, interim bigint, "
-    "head_ts bigint, status bigint, length bigint, need bigint, whole boolean, last_ms bigint, waiting string"
-)
-_NEW = (0, False, 0, 0, "", 0, False, None, None, None, None, None, True, 0, "[]")
-_EVENT = ["ts_ns", "seq", "kind", "verb", "http_status", "content_length", "bytes", "head_bytes", "head_complete"]
-_COLS = [c.split(" ")[0] for c in OUT.split(", ")]
+_NEW = (0, False, 0, 0, "", 0, False, None, None, None, None, None, True, 0)
 
 
 def _emit(conn: str, s: dict, done: int | None, flushed: bool) -> tuple:
@@ -81,169 +72,190 @@ def _step(conn: str, s: dict, e, out: list) -> None:
         s["open"] = False
 
 
-def _taken(frames: Iterator[pd.DataFrame], columns: list[str]) -> list[list]:
-    """Rows of the key's frames as plain lists, missing values as None."""
-    rows: list[list] = []
-    for frame in frames:
-        part = frame[columns].astype(object)
-        rows += part.where(part.notna(), None).values.tolist()
-    return rows
-
-
-def _due(waiting: list[list], watermark_ms: int) -> tuple[list[list], list[list]]:
+def _due(waiting: list[tuple], watermark_ms: int) -> tuple[list[tuple], list[tuple]]:
     """The events that the watermark has passed, in event order, and those that still wait."""
     due = sorted((e for e in waiting if e[0] // 1_000_000 < watermark_ms), key=lambda e: (e[0], e[1]))
     return due, [e for e in waiting if e[0] // 1_000_000 >= watermark_ms]
 
 
-def _json(rows: list[list]) -> str:
-    return json.dumps(rows, default=lambda x: x.item())
+class InEventOrder(StatefulProcessor):
+    """Holds the events of a key until the watermark has passed them, then advances the key's state by them in event order.
 
+    The state is typed: a list of waiting events, to which a micro-batch only appends, and one value for what is open.
+    Event-time timers bound both. One wakes the key when its first waiting event is due, one when what is open has
+    been silent for ``timeout_ms``; then the value is flushed or dropped. A key without either has no state at all.
+    Each subclass says what it does with an event (``advance``) and with a state that has timed out (``expire``).
+    """
 
-_NAMES = [c.split(" ")[0] for c in STATE.split(", ")]
+    event: str
+    value: str
+    out: str
 
+    def __init__(self, timeout_ms: int):
+        self.timeout_ms = timeout_ms
 
-def _apply(conn: str, s: dict, events: list[list], out: list) -> None:
-    for e in events:
-        _step(conn, s, SimpleNamespace(**dict(zip(_EVENT, e, strict=True))), out)
-        s["last_ms"] = e[0] // 1_000_000
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.event)
+        self.open = handle.getValueState("open", self.value)
 
+    def close(self) -> None:
+        pass
 
-def _frame(out: list[tuple]) -> pd.DataFrame:
-    whole = ("http_status", "content_length", "ttfb_ns", "download_ns", "total_ns")
-    return pd.DataFrame(out, columns=_COLS, dtype=object).astype({c: "Int64" for c in whole})
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [tuple(r[c] for c in _names(self.event)) for r in rows]
+        self.waiting.appendList(new)
+        self._wake(min(e[0] for e in new) // 1_000_000 + 1, timerValues)
+        return iter(())
 
-
-def _advance(timeout_ms: int):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = dict(zip(_NAMES, state.get if state.exists else _NEW, strict=True))
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs()
+        known = list(self.waiting.get()) if self.waiting.exists() else []
+        due, rest = _due(known, now)
         out: list[tuple] = []
-        waiting = json.loads(s["waiting"])
-        if not state.hasTimedOut:
-            waiting += _taken(frames, _EVENT)
-        now = state.getCurrentWatermarkMs()
-        due, waiting = _due(waiting, now)
-        _apply(key[0], s, due, out)
-        expires = s["last_ms"] + timeout_ms
-        if not waiting and expires < now:
-            if s["open"]:
-                out.append(_emit(key[0], s, None, True))
-            state.remove()
+        state = self.open.get() if self.open.exists() else None
+        if due:
+            state = self.advance(key[0], state, due, out)
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        if rest:
+            self._wake(min(e[0] for e in rest) // 1_000_000 + 1, timerValues)
+        if state is not None and not rest and self.last_ms(state) + self.timeout_ms < now:
+            self.expire(key[0], state, out)
+            state = None
+        if state is None:
+            self.open.clear()
         else:
-            s["waiting"] = _json(waiting)
-            state.update(tuple(s[n] for n in _NAMES))
-            nxt = min(e[0] for e in waiting) // 1_000_000 + 1 if waiting else expires
-            state.setTimeoutTimestamp(max(nxt, now + 1))
-        if out:
-            yield _frame(out)
+            self.open.update(state)
+            if not rest:
+                self._wake(self.last_ms(state) + self.timeout_ms + 1, timerValues)
+        row = Row(*_names(self.out))
+        return iter([row(*r) for r in out])
+
+    def _wake(self, at_ms: int, timerValues) -> None:
+        self.handle.registerTimer(max(at_ms, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def advance(self, key: str, state: tuple | None, events: list[tuple], out: list[tuple]) -> tuple | None:
+        """The state after the events; None if nothing is worth keeping."""
+        raise NotImplementedError
+
+    def expire(self, key: str, state: tuple, out: list[tuple]) -> None:
+        """What a state that has timed out leaves behind."""
+
+    @staticmethod
+    def last_ms(state: tuple) -> int:
+        return state[-1]
+
 
-    return run
+def _names(ddl: str) -> list[str]:
+    return [f.split(" ")[0] for f in ddl.split(", ")]
 
 
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
 
-def _batch(out: list[tuple], ddl: str) -> pa.RecordBatch:
-    """Rows as an Arrow batch, so that large numbers beside nulls stay whole."""
+def _table(out: list[tuple], ddl: str) -> pa.Table:
+    """Rows as an Arrow table, so that large numbers beside nulls stay whole."""
     fields = [f.split(" ") for f in ddl.split(", ")]
     columns = list(zip(*out, strict=True)) if out else [[] for _ in fields]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), _ARROW[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+    return pa.table({n: pa.array(list(c), _ARROW[kind]) for c, (n, kind) in zip(columns, fields, strict=True)})
 
 
-def _left(checkpoint: str, spark: SparkSession) -> DataFrame:
-    """What the states of a stopped stream hold: its key and state fields."""
-    return spark.read.format("statestore").load(checkpoint).select("key.*", "value.groupState.*")
+def state_table(checkpoint: str, spark: SparkSession, name: str) -> DataFrame:
+    """A state variable of a stopped stream as a table: the key, and the value or an element of the list a row."""
+    rows = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    return rows.select("key.*", "list_element.*" if "list_element" in rows.columns else "value.*")
 
 
-def end_of_requests(checkpoint: str, spark: SparkSession) -> DataFrame:
-    """After the end of the stream: the requests that its remaining events close, and the open ones, flushed."""
+def _finish(checkpoint: str, spark: SparkSession, key: str, of: InEventOrder, ddl: str) -> DataFrame:
+    """After the end of the stream: what the waiting events and the end itself make of the states it left."""
+    names, events = _names(of.value), _names(of.event)
+    open_ = state_table(checkpoint, spark, "open").select(key, F.struct(*names).alias("open"), F.lit(None).alias("event"))
+    waits = state_table(checkpoint, spark, "waiting").select(key, F.lit(None).alias("open"), F.struct(*events).alias("event"))
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                s = {n: row[n] for n in _NAMES}
-                _apply(row["conn"], s, _due(json.loads(s["waiting"]), 1 << 62)[0], out)
-                if s["open"]:
-                    out.append(_emit(row["conn"], s, None, True))
-            yield _batch(out, OUT)
+    def last(rows: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        states = [tuple(x[n] for n in names) for x in rows["open"].to_pylist() if x]
+        due = _due([tuple(x[n] for n in events) for x in rows["event"].to_pylist() if x], 1 << 62)[0]
+        k = rows[key][0].as_py()
+        state = of.advance(k, states[0] if states else None, due, out)
+        if state is not None:
+            of.expire(k, state, out)
+        return _table(out, ddl)
 
-    return _left(checkpoint, spark).mapInArrow(finish, OUT)
+    return open_.unionByName(waits).groupBy(key).applyInArrow(last, ddl)
 
 
-def correlate_stream(events: DataFrame, *, late_by: str = "10 seconds", timeout_ms: int = 600_000) -> DataFrame:
-    """Streaming twin of ``plans.correlate.correlate_requests`` over the same columns."""
-    cols = ["conn", "ts_ns", "seq", "kind", "verb", "http_status", "content_length", "bytes", "head_bytes", "head_complete"]
-    timed = events.select(*cols, F.timestamp_micros(F.expr("ts_ns div 1000")).alias("at")).withWatermark("at", late_by)
-    return timed.groupBy("conn").applyInPandasWithState(
-        _advance(timeout_ms), OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+def _timed(events: DataFrame, key: str, columns: list[str], late_by: str) -> DataFrame:
+    return events.select(key, *columns, F.timestamp_micros(F.expr("ts_ns div 1000")).alias("at")).withWatermark("at", late_by)
 
 
-_CONN_OUT = "sock_cookie string, seq bigint, connect_ts bigint, close_ts bigint, lifetime_ns bigint, pid bigint, partial boolean"
+class Requests(InEventOrder):
+    """One open request per connection; see ``plans.correlate.correlate_requests`` for what closes it."""
 
+    event = "ts_ns bigint, seq bigint, kind string, verb string, http_status int, content_length bigint, bytes bigint, head_bytes bigint, head_complete boolean"
+    # next_seq and last_ms outlive a request; the others are its own
+    value = (
+        "next_seq bigint, open boolean, seq bigint, ts_ns bigint, verb string, req_seq bigint, ambiguous boolean, interim bigint, "
+        "head_ts bigint, status bigint, length bigint, need bigint, whole boolean, last_ms bigint"
+    )
 
-_CONN_STATE = "connect_ts bigint, pid bigint, last_ms bigint, waiting string"
-_CONN_EVENT = ["ts_ns", "seq", "kind", "pid"]
-_CONN_COLS = [c.split(" ")[0] for c in _CONN_OUT.split(", ")]
+    out = OUT
 
+    def advance(self, key: str, state: tuple | None, events: list[tuple], out: list[tuple]) -> tuple | None:
+        fields, columns = _names(self.value), _names(self.event)
+        s = dict(zip(fields, state or _NEW, strict=True))
+        for e in events:
+            _step(key, s, SimpleNamespace(**dict(zip(columns, e, strict=True))), out)
+            s["last_ms"] = e[0] // 1_000_000
+        return tuple(s[n] for n in fields)
 
-def _lives(cookie: str, at: int | None, pid: int | None, events: list[list], out: list) -> tuple[int | None, int | None]:
-    for ts, seq, kind, own in events:
-        if kind == "connect":
-            at, pid = int(ts), int(own)
-        else:
-            alive = None if at is None else max(int(ts) - at, 0)
-            out.append((cookie, int(seq), at, int(ts), alive, pid or 0, at is None))
-            at = pid = None
-    return at, pid
+    def expire(self, key: str, state: tuple, out: list[tuple]) -> None:
+        s = dict(zip(_names(self.value), state, strict=True))
+        if s["open"]:
+            out.append(_emit(key, s, None, True))
 
 
-def _conn_frame(out: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(out, columns=_CONN_COLS, dtype=object).astype({c: "Int64" for c in ("connect_ts", "lifetime_ns")})
+def correlate_stream(events: DataFrame, *, late_by: str = "10 seconds", timeout_ms: int = 600_000) -> DataFrame:
+    """Streaming twin of ``plans.correlate.correlate_requests`` over the same columns."""
+    timed = _timed(events, "conn", _names(Requests.event), late_by)
+    return timed.groupBy("conn").transformWithState(Requests(timeout_ms), OUT, "append", "EventTime")
 
 
-def _lifecycle(timeout_ms: int):
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, pid, last, waiting = state.get if state.exists else (None, None, 0, "[]")
-        waiting = json.loads(waiting)
-        if not state.hasTimedOut:
-            waiting += _taken(frames, _CONN_EVENT)
-        now = state.getCurrentWatermarkMs()
-        due, waiting = _due(waiting, now)
-        out: list[tuple] = []
-        at, pid = _lives(key[0], at, pid, due, out)
-        last = due[-1][0] // 1_000_000 if due else last
-        if not waiting and (at is None or (state.hasTimedOut and last + timeout_ms < now)):
-            state.remove()
-        else:
-            state.update((at, pid, last, _json(waiting)))
-            nxt = min(e[0] for e in waiting) // 1_000_000 + 1 if waiting else last + timeout_ms
-            state.setTimeoutTimestamp(max(nxt, now + 1))
-        if out:
-            yield _conn_frame(out)
+def end_of_requests(checkpoint: str, spark: SparkSession) -> DataFrame:
+    """After the end of the stream: the requests that its remaining events close, and the open ones, flushed."""
+    return _finish(checkpoint, spark, "conn", Requests(0), OUT)
 
-    return run
 
+CONN_OUT = "sock_cookie string, seq bigint, connect_ts bigint, close_ts bigint, lifetime_ns bigint, pid bigint, partial boolean"
 
-def end_of_connections(checkpoint: str, spark: SparkSession) -> DataFrame:
-    """After the end of the stream: the connections that its remaining events close."""
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                _lives(row["sock_cookie"], row["connect_ts"], row["pid"], _due(json.loads(row["waiting"]), 1 << 62)[0], out)
-            yield _batch(out, _CONN_OUT)
+class Connections(InEventOrder):
+    """Connect opens the state of a socket, close emits it; a close without one is partial."""
+
+    event = "ts_ns bigint, seq bigint, kind string, pid bigint"
+    value = "connect_ts bigint, pid bigint, last_ms bigint"
+    out = CONN_OUT
 
-    return _left(checkpoint, spark).mapInArrow(finish, _CONN_OUT)
+    def advance(self, key: str, state: tuple | None, events: list[tuple], out: list[tuple]) -> tuple | None:
+        for ts, seq, kind, pid in events:
+            if kind == "connect":
+                state = (ts, pid, ts // 1_000_000)
+            else:
+                at, own, _ = state or (None, None, 0)
+                out.append((key, seq, at, ts, None if at is None else max(ts - at, 0), own or 0, at is None))
+                state = None
+        return state
 
 
 def connection_stream(events: DataFrame, *, late_by: str = "10 seconds", timeout_ms: int = 7 * 86_400_000) -> DataFrame:
-    """Connect opens the state of a socket, close emits it; a close without one is partial."""
-    timed = events.select(
-        "sock_cookie", "ts_ns", "seq", "kind", "pid", F.timestamp_micros(F.expr("ts_ns div 1000")).alias("at")
-    ).withWatermark("at", late_by)
-    return timed.groupBy("sock_cookie").applyInPandasWithState(
-        _lifecycle(timeout_ms), _CONN_OUT, _CONN_STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    """Streaming twin of ``plans.correlate.connect_close``: one row for each close."""
+    timed = _timed(events, "sock_cookie", _names(Connections.event), late_by)
+    return timed.groupBy("sock_cookie").transformWithState(Connections(timeout_ms), CONN_OUT, "append", "EventTime")
+
+
+def end_of_connections(checkpoint: str, spark: SparkSession) -> DataFrame:
+    """After the end of the stream: the connections that its remaining events close."""
+    return _finish(checkpoint, spark, "sock_cookie", Connections(0), CONN_OUT)
