@@ -100,46 +100,51 @@ class LanguageModel:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, buckets, weights): a text's distinct n-gram buckets and their shares of all."""
+    """(label, buckets, counts): a text's distinct n-gram buckets in 16 bits each, and how often each occurs in 32."""
     for batch in batches:
-        buckets, weights = [], []
+        buckets, counts = [], []
         for data, starts, ends in _rows(batch.column("text")):
             orders = list(_subwords(data))
             for a, b in zip(starts, ends, strict=True):
                 found = np.bincount(np.concatenate([o[a:b] for o in orders]), minlength=BUCKETS + 1)[:BUCKETS]
                 own = np.flatnonzero(found)
-                buckets.append(own.astype(np.int32))
-                weights.append((found[own] / max(1, found.sum())).astype(np.float32))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("label"), pa.array(buckets, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], ["label", "buckets", "weights"]
-        )
+                buckets.append(own.astype(np.uint16).tobytes())
+                counts.append(found[own].astype(np.uint32).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], ["label", "buckets", "counts"])
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", rows: int = 4000, epochs: int = 6, rate: float = 0.5, min_score: float = 0.4) -> LanguageModel:
     """Train on a sample of about ``rows`` labelled rows, as even over the languages as they allow.
 
-    Rows with a null text or label teach nothing. Without any, the model knows no language.
+    Rows with a null text or label teach nothing, and repeated rows count once. Without any, the model knows no language.
     """
     usable = labelled.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label")).dropna(subset=["text", "label"])
-    sample = stratified(usable, "label", "key", rows).select("text", "label").mapInArrow(_counted, "label string, buckets array<int>, weights array<float>")
-    got = sample.toArrow().sort_by("label")
-    languages = sorted(set(got["label"].to_pylist()))
+    sample = stratified(usable, "label", rows, "key", "text").select("text", "label").mapInArrow(_counted, "label string, buckets binary, counts binary")
+    got = sample.toArrow()
+    labels = got["label"].to_pylist()
+    languages = sorted(set(labels))
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS + 1, 0)), min_score)
     index = {x: i for i, x in enumerate(languages)}
-    target = np.array([index[x] for x in got["label"].to_pylist()])
-    docs = [(np.asarray(b.values), np.asarray(w.values)) for b, w in zip(got["buckets"], got["weights"], strict=True)]
+    target = np.array([index[x] for x in labels])
+    # Views of what Arrow holds: the features are in memory once.
+    packed = [(b.as_buffer(), c.as_buffer()) for b, c in zip(got["buckets"], got["counts"], strict=True)]
     # The order in which partitions answer must not change the model.
-    order = sorted(range(len(docs)), key=lambda i: (target[i], hashlib.blake2b(docs[i][0].tobytes() + docs[i][1].tobytes(), digest_size=8).digest()))
+    order = sorted(range(len(packed)), key=lambda i: (target[i], hashlib.blake2b(b"".join(packed[i]), digest_size=8).digest()))
     random = np.random.default_rng(7)
     order = np.array(order)[random.permutation(len(order))]
+
+    def features(i: int) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.frombuffer(packed[i][1], np.uint32)
+        return np.frombuffer(packed[i][0], np.uint16), (counts / max(1, counts.sum())).astype(np.float32)
+
     held, train = order[: len(order) // 5], order[len(order) // 5 :]
     inputs = random.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     output = np.zeros((DIM, len(languages)))
     steps, done = max(1, epochs * len(train)), 0
     for _ in range(epochs):
         for i in random.permutation(train):
-            bucket, weight = docs[i]
+            bucket, weight = features(i)
             pace = rate * (1 - done / steps)
             done += 1
             hidden = weight @ inputs[bucket]
@@ -152,7 +157,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
             # every n-gram of the text moves the same way, in proportion to its share
             inputs[bucket] -= (pace * len(bucket)) * np.outer(weight, back)
     logits = inputs @ output
-    sharp = _temperature([weights @ logits[b] for b, weights in (docs[i] for i in held)], target[held])
+    sharp = _temperature([weights @ logits[b] for b, weights in map(features, held)], target[held])
+    del got, packed
+    pa.default_memory_pool().release_unused()
     return LanguageModel(languages, np.vstack([logits * sharp, np.zeros(len(languages))]).astype(np.float32), min_score)
 
 

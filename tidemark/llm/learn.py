@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.session import materialize
 
-_GRID = 1_000_000
+#: Labels that a sample is drawn from. With more, those of fewest rows teach nothing: a sample would hold hardly a row of each.
+MOST_LABELS = 1000
 
 
 def fold(key: Column, folds: int) -> Column:
@@ -16,32 +17,70 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds
 
 
-def label_counts(df: DataFrame, label: str) -> dict:
-    """Rows by label. Labels are classes, so they are few."""
-    return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+def _hash(of: tuple[str, ...], salt: str) -> Column:
+    return F.xxhash64(F.lit(salt), *[F.col(c).cast("string") for c in of])
 
 
-def stratified(df: DataFrame, label: str, key: str, rows: int, counts: dict | None = None) -> DataFrame:
-    """About ``rows`` rows, as even over the labels as they allow, chosen by a hash of the key."""
-    counts = label_counts(df, label) if counts is None else counts
-    each = rows / max(1, len(counts))
-    keep = F.lit(0)
-    for value, n in counts.items():
-        keep = F.when(F.col(label) == F.lit(value), F.lit(int(_GRID * min(1.0, each / n)))).otherwise(keep)
-    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), F.lit(_GRID)) < keep)
+def _bound(share: float) -> int:
+    """The largest 64-bit hash of the lowest ``share`` of all hashes, however small the share."""
+    return min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63) - 1) if share * 2.0**64 >= 1 else -(1 << 63)
+
+
+def drawn(share: float, *of: str, salt: str = "sample") -> Column:
+    """Whether the columns' hash is among the lowest ``share`` of all hashes."""
+    return _hash(of, salt) <= F.lit(_bound(share))
+
+
+def label_counts(df: DataFrame, label: str, *row: str) -> dict:
+    """Rows by label, of the ``MOST_LABELS`` most frequent labels; with ``row``, about how many differ in these columns."""
+    n = F.approx_count_distinct(F.xxhash64(*[F.col(c).cast("string") for c in row]), 0.02) if row else F.count(F.lit(1))
+    found = df.groupBy(label).agg(n.alias("n")).filter(F.col(label).isNotNull() & (F.col("n") > 0))
+    return {r[0]: r[1] for r in found.orderBy(F.desc("n"), label).limit(MOST_LABELS).collect()}
+
+
+def _even(label: str, counts: dict, rows: int, *of: str, salt: str = "sample") -> Column:
+    """Whether a row is drawn, if about ``rows`` are wanted, as many of each label as there are or its equal part."""
+    if not counts:
+        return F.lit(False)
+    each = rows / len(counts)
+    bounds = F.create_map(*[x for value, n in counts.items() for x in (F.lit(value), F.lit(_bound(each / n)).cast("long"))])
+    return F.coalesce(_hash(of, salt) <= bounds[F.col(label)], F.lit(False))
+
+
+def bounded(df: DataFrame, rows: int, *of: str) -> DataFrame:
+    """``df`` stored. If it has more than 1.5 * ``rows`` + 100 rows, about ``rows`` are drawn from it by the hash of the
+    columns, until the bound holds: so what is collected or broadcast next is known to be small."""
+    kept, turn = materialize(df, "sample"), 0
+    while (n := kept.count()) > 1.5 * rows + 100:
+        turn += 1
+        kept = materialize(kept.filter(drawn(rows / n, *of, salt=f"again {turn}")), "sample")
+    return kept
+
+
+def stratified(df: DataFrame, label: str, rows: int, *row: str) -> DataFrame:
+    """About ``rows`` rows, as even over the labels as they allow, stored; never more than ``bounded`` says.
+
+    Rows are drawn by the hash of the columns ``row`` (a key and a text, say), so that many rows of one key, or of
+    none, are drawn like any others. Rows that agree in them and in the label count once.
+    """
+    chosen = df.filter(_even(label, label_counts(df, label, *row), rows, *row))
+    return bounded(chosen.dropDuplicates([label, *row]), rows, *row)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, text: str, label: str, key: str, rows: int) -> tuple[DataFrame, dict]:
-    """(text, label) of about ``rows`` labelled rows, even over the labels, and the counts of all labelled rows.
+    """(text, label) of about ``rows`` labelled rows, even over the labels, and the counts of all labelled keys.
 
-    The sample is drawn from the labels alone; as its size is bounded by ``rows`` it is broadcast to the texts, which are
-    not shuffled, and stored once for the passes of a fit. Null labels teach nothing; a null text is an empty one.
+    The sample is drawn from the labels alone; its size is checked, and it is broadcast to the texts, which are
+    not shuffled. If a drawn key has many texts, about as many of these are drawn as of the label are wanted. The result is stored for
+    the passes of a fit. Repeated labels and texts count once. Null labels teach nothing; a null text is an empty one.
     """
-    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).dropna()
+    known = labels.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label")).dropna().distinct()
     counts = label_counts(known, "label")
-    chosen = stratified(known, "label", "key", rows, counts)
-    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("text", "label")
-    return materialize(sample, "training"), counts
+    chosen = bounded(known.filter(_even("label", counts, rows, "key", "label")), rows, "key", "label")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    met = label_counts(texts.select("key").join(F.broadcast(chosen), "key"), "label")
+    found = texts.join(F.broadcast(chosen), "key").filter(_even("label", met, int(1.2 * rows) + 1, "key", "text", salt="texts"))
+    return bounded(found.dropDuplicates(["key", "label", "text"]), rows, "key", "text").select("text", "label"), counts
 
 
 def platt(margin: np.ndarray, positive: np.ndarray, steps: int = 200) -> tuple[float, float]:
