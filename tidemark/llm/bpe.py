@@ -32,7 +32,7 @@ from tidemark.llm.text import pieces
 
 #: The code points with the Unicode property White_Space.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
-#: Distinct words a worker remembers between pieces; the memory is emptied when full, results never change.
+#: Distinct words and pairs a task remembers between pieces; the memory is emptied when full, results never change.
 REMEMBERED_WORDS = 250_000
 REMEMBERED_PAIRS = 400_000
 LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
@@ -106,6 +106,10 @@ class Vocabulary:
             self._stable[key] = known
         return known
 
+    def forget(self) -> None:
+        """Drop the remembered pairs."""
+        self._stable = {}
+
     def segments(self, text: str) -> Iterator[str | int]:
         """The text's words after normalization, and the ids of special tokens written in it."""
         for k, part in enumerate(self.marks.split(text) if self.marks else [text]):
@@ -183,7 +187,7 @@ class Vocabulary:
             self.final_at = self.token_at
 
 
-_loaded: dict[str, tuple[Vocabulary, dict[str, bytes]]] = {}
+_loaded: dict[str, Vocabulary] = {}
 _token_lists: dict[str, list[str]] = {}
 
 
@@ -191,9 +195,9 @@ def _local(path: str) -> str:
     return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
 
 
-def _vocabulary(path: str) -> tuple[Vocabulary, dict[str, bytes]]:
+def _vocabulary(path: str) -> Vocabulary:
     if path not in _loaded:
-        _loaded[path] = (Vocabulary(_local(path)), {})
+        _loaded[path] = Vocabulary(_local(path))
     return _loaded[path]
 
 
@@ -240,10 +244,13 @@ def encode(text: Column | str, path: str, df: DataFrame) -> Column:
 
     @F.arrow_udf("binary")
     def packed_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocabulary, memory = _vocabulary(path)
-        for column in batches:
-            for part in _parts(column):
-                yield pa.array(encode_text(vocabulary, memory, [t or "" for t in part.to_pylist()]), pa.binary())
+        vocabulary, memory = _vocabulary(path), {}
+        try:
+            for column in batches:
+                for part in _parts(column):
+                    yield pa.array(encode_text(vocabulary, memory, [t or "" for t in part.to_pylist()]), pa.binary())
+        finally:  # a worker outlives its task, what the task remembered does not
+            vocabulary.forget()
 
     return packed_ids(F.col(text) if isinstance(text, str) else text)
 
