@@ -276,7 +276,7 @@ def linked_sets(texts: DataFrame, ranges: int, width: int, t: float) -> DataFram
     links = materialize(_verified(stars, sets, t), "links")
     labels = components(links)
 
-    marked = sets.join(labels, F.col("set") == F.col("node"), "left").select("set", "n", "r", F.coalesce("component", "set").alias("component"), "a")
+    marked = sets.join(labels, F.col("set") == F.col("node"), "left").select("set", "n", "r", F.coalesce("component", "set").alias("component"), F.col("node").isNotNull().alias("linked"), "a")
     postings = materialize(marked.select("set", "n", "r", "component", F.explode("a").alias("token")), "postings")
     mixed = postings.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
     left = materialize(postings.join(mixed, "token", "left_semi"), "mixed")
@@ -284,7 +284,13 @@ def linked_sets(texts: DataFrame, ranges: int, width: int, t: float) -> DataFram
     one, two = (cells.select("token", *[F.col(c).alias(f"{c}{k}") for c in ("component", "n", "most", "r")]) for k in (1, 2))
     apart = one.join(two, "token").filter((F.col("component1") < F.col("component2")) & _may_link(t)).select("component1", "component2").distinct()
     members = materialize(marked.drop("a"), "members")
-    return components(links.unionByName(_across(apart, members, sets, t)))
+    # Links between components join these, not sets: a small graph, whose nodes are the components' smallest sets.
+    across = _across(apart, members, sets, t)
+    for side in ("u", "v"):
+        across = across.join(members.select(F.col("set").alias(side), F.col("component").alias(f"c{side}")), side)
+    merged = components(across.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    joined = members.join(merged, members["component"] == merged["node"], "left").filter(F.col("linked") | F.col("node").isNotNull())
+    return joined.select(F.col("set").alias("node"), F.coalesce(merged["component"], members["component"]).alias("component"))
 
 
 def _across(apart: DataFrame, members: DataFrame, sets: DataFrame, t: float) -> DataFrame:
@@ -412,14 +418,17 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", width: i
     """
     described = materialize(describe_sets(df, key, text, width), "described")
     whole = _components_of_sets(df, described, text, width, t)
-    kept = whole.filter(F.col("s") == F.col("kept")).select(F.col("s").alias("__llm_kept"), F.col("first").alias("__llm_first"))
 
     @F.arrow_udf("bigint")
     def set_of(column: pa.Array) -> pa.Array:
         return pa.array([set_id(s) if len(s) else None for s in shingle_sets(column, width)], pa.int64())
 
-    # rows without a set meet no other row; dealing them out by their key keeps them from one task
-    rows = df.withColumn("__llm_set", set_of(F.col(text))).withColumn("__llm_at", F.coalesce("__llm_set", F.xxhash64(F.lit("empty"), F.col(key))))
-    met = rows.join(kept, F.col("__llm_at") == F.col("__llm_kept"), "left").filter(F.col("__llm_set").isNull() | (F.col("__llm_kept").isNotNull() & F.col(key).eqNullSafe(F.col("__llm_first"))))
-    again = F.row_number().over(Window.partitionBy("__llm_at").orderBy(F.col(key)))
+    # Copies go by their keys, so a set of many copies is dealt out; rows without a set meet no other row and go by key as well.
+    name = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("n"))
+    rows = df.withColumn("__llm_set", set_of(F.col(text))).withColumn("__llm_name", name).withColumn("__llm_at", F.coalesce("__llm_set", F.xxhash64(F.lit("empty"), F.col(key))))
+    first = F.coalesce(F.concat(F.lit("k"), F.col("first").cast("string")), F.lit("n"))
+    kept = whole.filter(F.col("s") == F.col("kept")).select(F.col("s").alias("__llm_kept"), first.alias("__llm_first"))
+    met = rows.join(kept, (F.col("__llm_name") == F.col("__llm_first")) & (F.col("__llm_at") == F.col("__llm_kept")), "left")
+    met = met.filter(F.col("__llm_set").isNull() | F.col("__llm_kept").isNotNull())
+    again = F.row_number().over(Window.partitionBy("__llm_name", "__llm_at").orderBy(F.col(key)))
     return met.withColumn("__llm_again", again).filter(F.col("__llm_set").isNull() | (F.col("__llm_again") == 1)).select(*[F.col(c) for c in df.columns])
