@@ -123,12 +123,12 @@ def _compare(block: int, strip_terms: int = STRIP) -> Callable[[pa.Table], pa.Ta
     return compare
 
 
-def _pairs(shares: DataFrame, groups: DataFrame, block: int, slice_rows: int) -> DataFrame:
+def _pairs(shares: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     """(lang, source, item, value) of every two sources of a language."""
-    size = shares.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / slice_rows).alias("slices"))
-    many = groups.groupBy("lang").agg(F.floor(F.max("idx") / block).alias("last_block")).join(size, "lang", "left").select("lang", "last_block", F.coalesce("slices", F.lit(1)).alias("slices"))
-    entries = shares.join(many, "lang").select("lang", F.pmod(F.xxhash64("term"), "slices").alias("slice"), "last_block", "idx", "term", "p", "base", "v")
-    named = groups.join(many, "lang").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), "last_block", "idx", F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("p"), "base", "v")
+    cols = ("lang", "slice", "last_block", "idx", "term", "p", "base", "v")
+    entries = shares.withColumn("slice", F.pmod(F.xxhash64("term"), "slices")).select(*cols)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))
+    named = groups.select("*", every.alias("slice"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("p")).select(*cols)
     own = F.floor(F.col("idx") / block)
     sent = entries.unionByName(named).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last_block")))
     sent = sent.select("lang", F.least(own, "other").alias("x"), F.greatest(own, "other").alias("y"), "slice", "idx", "term", "p", "base", "v")
@@ -154,19 +154,20 @@ def audit(df: DataFrame, lang: str = "lang", source: str = "source", text: str =
     rows = df.select(*[F.coalesce(F.col(c), F.lit("")).alias(name) for c, name in ((lang, "lang"), (source, "source"), (text, "text"))])
     found = rows.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
     counts = materialize(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term_counts")
-    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).filter(F.col("docs") >= least_docs).drop("docs")
-    sparse = materialize(counts.drop("docs").join(kept, ["lang", "term"]), "kept_terms")
-    once = sparse.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n"))
-    of_lang = once.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
-    of_group = sparse.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = rows.select("lang", "source").distinct().join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left")
-    groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"), "lang_total")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
-    groups = materialize(groups.select("*", place.cast("long").alias("idx"), _share(F.lit(0), F.col("total"), F.col("v")).alias("base")), "groups")
+    kept = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.min("source").alias("least")).filter(F.col("docs") >= least_docs).drop("docs")
+    sparse = materialize(counts.drop("docs").join(kept, ["lang", "term"]).withColumn("least", F.col("source") == F.col("least")), "kept_terms")
+    # Small tables: a row a group, a row a language. A term is counted where its first source is.
+    of_group = sparse.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("entries"), F.count_if("least").alias("terms"))
+    groups = rows.select("lang", "source").distinct().join(of_group, ["lang", "source"], "left").fillna(0, ["total", "entries", "terms"])
+    whole = Window.partitionBy("lang")
+    place = F.row_number().over(whole.orderBy("source")) - 1
+    groups = groups.select("lang", "source", "total", F.sum("terms").over(whole).alias("v"), F.sum("total").over(whole).alias("lang_total"), F.sum("entries").over(whole).alias("entries"), place.cast("long").alias("idx"))
+    slices, last_block = F.greatest(F.lit(1), F.ceil(F.col("entries") / slice_rows)), F.floor(F.max("idx").over(whole) / block)
+    groups = materialize(groups.select("*", slices.alias("slices"), last_block.alias("last_block"), _share(F.lit(0), F.col("total"), F.col("v")).alias("base")), "groups")
     p, q = _share(F.col("n"), F.col("total"), F.col("v")), _share(F.col("lang_n"), F.col("lang_total"), F.col("v"))
-    shares = sparse.join(groups, ["lang", "source"]).select("lang", "source", "term", "idx", "base", "v", p.alias("p"), q.alias("q"))
+    shares = sparse.join(groups, ["lang", "source"]).select("lang", "source", "term", "idx", "base", "v", "slices", "last_block", p.alias("p"), q.alias("q"))
     place = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     terms = shares.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
     terms = terms.select("*", place.alias("rank")).filter(F.col("rank") <= top)
-    pairs = _pairs(shares, groups, block, slice_rows).select("lang", "source", F.lit("pair").alias("part"), "item", "value").select("*", place.alias("rank"))
+    pairs = _pairs(shares, groups, block).select("lang", "source", F.lit("pair").alias("part"), "item", "value").select("*", place.alias("rank"))
     return pairs.unionByName(terms)
