@@ -130,19 +130,25 @@ QUERIES = {
 
 ORACLES = {
     "op3_line_chunks": """
-WITH d AS (SELECT doc_id, text, coalesce(md5(text), '') AS digest, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, digest, lines, len(lines) AS n, unnest(range(len(lines))) AS i FROM d),
-h AS (SELECT *, CAST('0x' || md5(lines[i + 1])[1:6] AS BIGINT) AS h FROM l),
-r AS (SELECT *, h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id, digest ORDER BY i), 0) AS roll FROM h),
-e AS (SELECT *, i = n - 1 OR roll % 3 = 0 AS cut FROM r),
-c AS (SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id, digest ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM e),
-k AS (SELECT doc_id, digest, pos, count(*) AS size, string_agg(lines[i + 1], chr(10) ORDER BY i) AS chunk FROM c GROUP BY ALL),
-f AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS LAST, digest, pos) > 1 AND size >= 2 AS gone FROM k),
-t AS (SELECT doc_id, digest, sum(size) AS n_lines, sum(CAST(gone AS INT)) AS removed_chunks, sum(CASE WHEN gone THEN size ELSE 0 END) AS removed_lines,
-  coalesce(string_agg(CASE WHEN NOT gone THEN chunk END, chr(10) ORDER BY pos), '') AS kept FROM f GROUP BY ALL)
-SELECT d.doc_id, CASE WHEN removed_chunks > 0 THEN kept ELSE d.text END AS text, CAST(coalesce(n_lines, 0) AS INT) AS n_lines,
+WITH d AS (SELECT DISTINCT doc_id, text, coalesce(md5(text), '') AS digest, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, digest, lines, unnest(range(len(lines))) AS i FROM d),
+h AS (SELECT *, CAST('0x' || md5(lines[i + 1])[1:6] AS BIGINT) AS h, length(lines[i + 1]) AS size FROM l),
+b AS (SELECT *, lag(h) OVER w AS before, lag(size) OVER w AS size_before FROM h WINDOW w AS (PARTITION BY doc_id, digest ORDER BY i)),
+c AS (SELECT *, i > 0 AND ((h + 31 * before) % 8 <> 0 OR h = before) AS cut FROM b),
+k AS (SELECT *, sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id, digest ORDER BY i) AS chunk FROM c),
+s AS (SELECT doc_id, digest, i AS start, i AS stop FROM c WHERE size >= 120
+  UNION ALL SELECT doc_id, digest, i - 1, i FROM c WHERE cut AND size_before + 1 + size >= 20
+  UNION ALL SELECT doc_id, digest, min(i), max(i) FROM k GROUP BY doc_id, digest, chunk HAVING count(*) > 1 AND sum(size) + count(*) - 1 >= 20),
+u AS (SELECT s.*, array_to_string(lines[start + 1:stop + 1], chr(10)) AS unit FROM s JOIN d ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND s.digest = d.digest),
+f AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id NULLS LAST, digest, start) > 1 AS later FROM u),
+g AS (SELECT doc_id, digest, count(*) AS removed_chunks FROM f WHERE later GROUP BY ALL),
+x AS (SELECT DISTINCT doc_id, digest, unnest(range(start, stop + 1)) AS i FROM f WHERE later),
+t AS (SELECT l.doc_id, l.digest, count(x.i) AS removed_lines, coalesce(string_agg(CASE WHEN x.i IS NULL THEN lines[l.i + 1] END, chr(10) ORDER BY l.i), '') AS kept
+  FROM l LEFT JOIN x ON l.doc_id IS NOT DISTINCT FROM x.doc_id AND l.digest = x.digest AND l.i = x.i GROUP BY ALL)
+SELECT o.doc_id, CASE WHEN removed_chunks IS NOT NULL THEN kept ELSE o.text END AS text, CAST(coalesce(len(string_split(o.text, chr(10))), 0) AS INT) AS n_lines,
   CAST(coalesce(removed_chunks, 0) AS INT) AS removed_chunks, CAST(coalesce(removed_lines, 0) AS INT) AS removed_lines
-FROM d LEFT JOIN t ON d.doc_id IS NOT DISTINCT FROM t.doc_id AND d.digest = t.digest
+FROM documents o LEFT JOIN t ON o.doc_id IS NOT DISTINCT FROM t.doc_id AND coalesce(md5(o.text), '') = t.digest
+LEFT JOIN g ON o.doc_id IS NOT DISTINCT FROM g.doc_id AND coalesce(md5(o.text), '') = g.digest
 """,
     "op4_mtree": """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
