@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import Stat, exact_quantiles
-from tidemark.operators.slices import CELL, HOME, lagged, prefix, range_halo
+from tidemark.operators.slices import CELL, HOME, SKETCH_GROUPS, lagged, prefix, range_halo, sketches, with_slices
 
 
 def rows(seed, n=400, keys=3):
@@ -120,3 +120,24 @@ def test_quantiles_of_continuous_values(spark, scale):
     assert got.m == values[2500] and got.p == values[math.ceil(0.9 * 5001) - 1]
     mixed = spark.createDataFrame([(v,) for v in (-2.5, -1e-9, 0.0, 0.0, 1e-9, 3.0, 7.0)], "v double")
     assert exact_quantiles(mixed, [], {"x": F.col("v")}, [Stat("m", "x", "mid")]).first().m == 0.0
+
+
+def test_slices_are_even_ordered_and_keep_ties_together(spark):
+    """A burst, a stray clock, ties, nulls; whole numbers beyond a double's reach and fractions."""
+    big = 1_700_000_000_000_000_000
+    t = F.when(F.col("id") % 10 < 7, big + F.col("id") % 5000).when(F.col("id") % 10 == 7, big + 10**13 * F.col("id")).when(F.col("id") % 10 == 8, F.lit(big - 5)).otherwise(None)
+    for order in (t.cast("bigint"), (F.col("id") % 3001) / 7.0):
+        df = with_slices(spark.range(100_000, numPartitions=7).select(order.alias("t")), "t", 64)
+        found = df.where("t IS NOT NULL").groupBy("_slice").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).orderBy("_slice").collect()
+        assert all(a.hi < b.lo for a, b in zip(found, found[1:], strict=False))
+        largest_tie = df.where("t IS NOT NULL").groupBy("t").count().agg(F.max("count")).first()[0]
+        assert len(found) > 40 and max(r.n for r in found) <= 2 * 100_000 / 64 + largest_tie
+    assert with_slices(spark.createDataFrame([(None,)] * 3, "t bigint"), "t").select("_slice").distinct().collect()[0][0] == 0
+    assert with_slices(spark.range(0).withColumnRenamed("id", "t"), "t").count() == 0
+
+
+def test_the_last_task_of_the_cuts_reads_no_summary_of_each_map_task(spark):
+    """A thousand map tasks: what the last merge reads is bounded by the groups, and a sketch by its size, not its rows."""
+    few, many = (sketches(spark.range(rows, numPartitions=1000), "id", 16).agg(F.count("*").alias("n"), F.sum(F.length("sketch")).alias("b")).first() for rows in (100_000, 4_000_000))
+    assert few.n == many.n == SKETCH_GROUPS
+    assert many.b < 8_000_000 and many.b < SKETCH_GROUPS * 3.5 * 8 * 512

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.slices import SLICE, lagged, prefix
+from tidemark.operators.slices import SLICE, lagged, prefix, with_slices
 from tidemark.session import materialize
 
 
@@ -180,7 +180,7 @@ def correlate_requests(events: DataFrame) -> DataFrame:
     and the next opener decide the rest. ``open`` marks a request nothing has closed yet.
     """
     opener = F.col("kind").isin("request", "link")
-    ev = materialize(prefix(events, ["conn"], "ts_ns", {"epoch": ("sum", opener.cast("int"))}, ties=("seq",)).drop(SLICE), "epochs")
+    ev = materialize(prefix(events, ["conn"], "ts_ns", {"epoch": ("sum", opener.cast("int"))}, ties=("seq",)), "epochs")
     ev = ev.where(F.col("epoch") > 0)
     final = (F.col("kind") == "response") & (F.col("http_status") >= 200)
     per = ev.groupBy("conn", "epoch").agg(
@@ -188,19 +188,19 @@ def correlate_requests(events: DataFrame) -> DataFrame:
         F.min(F.when(final, F.struct("ts_ns", "seq", "http_status", "content_length", "bytes", "head_bytes", "head_complete"))).alias("h"),
         F.min(F.when((F.col("kind") == "response") & F.col("http_status").between(100, 199), _at())).alias("i"),
     )
-    per = materialize(per, "requests")
+    per = with_slices(materialize(per, "requests"), "epoch")
     waiting = per.where(F.col("h").isNotNull() & (F.col("o.kind") == "request") & _expects_body(F.col("o.verb"), "h")).select(
         "conn", "epoch", F.struct(F.col("h.ts_ns").alias("ts_ns"), F.col("h.seq").alias("seq")).alias("head_at"),
         (F.col("h.content_length") - F.greatest(F.col("h.bytes") - F.col("h.head_bytes"), F.lit(0))).alias("need"),
     )
     later = ev.join(waiting, ["conn", "epoch"]).where(F.col("kind").isin("response", "body") & (_at() > F.col("head_at")) & (F.col("need") > 0))
-    tally = prefix(later.select("conn", "epoch", "ts_ns", "seq", "bytes", "need"), ["conn", "epoch"], "ts_ns", {"got": ("sum", F.col("bytes"))}, ties=("seq",))
+    tally = prefix(later.select("conn", "epoch", "ts_ns", "seq", "bytes", "need", SLICE), ["conn", "epoch"], "ts_ns", {"got": ("sum", F.col("bytes"))}, ties=("seq",))
     done = tally.where(F.col("got") >= F.col("need")).groupBy("conn", "epoch").agg(F.min("ts_ns").alias("body_ts"))
     full = waiting.where(F.col("need") <= 0).select("conn", "epoch", F.col("head_at.ts_ns").alias("body_ts"))
     ep = per.join(done.unionByName(full), ["conn", "epoch"], "left").join(waiting.select("conn", "epoch", F.lit(True).alias("expects")), ["conn", "epoch"], "left")
     ep = ep.select("*", F.col("o.kind").alias("o_kind"), F.col("h").isNull().alias("unanswered"))
     around = lagged(ep, ["conn"], "epoch", {"p_kind": ("o_kind", 1), "p_un": ("unanswered", 1), "n_kind": ("o_kind", -1)})
-    links = prefix(around.drop(SLICE), ["conn"], "epoch", {"last_link": ("max", F.when(F.col("o_kind") == "link", F.col("epoch")))})
+    links = prefix(around, ["conn"], "epoch", {"last_link": ("max", F.when(F.col("o_kind") == "link", F.col("epoch")))})
     is_req = lambda c: F.coalesce(F.col(c) == "request", F.lit(False))
     first = F.coalesce(F.when(F.col("i") < F.struct("h.ts_ns", "h.seq"), F.col("i.ts_ns")), F.when(F.col("h").isNull(), F.col("i.ts_ns")), F.col("h.ts_ns"))
     expects = F.coalesce("expects", F.lit(False))

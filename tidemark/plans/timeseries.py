@@ -246,12 +246,12 @@ def aggregate_buckets(seg: DataFrame, stats: DataFrame, cfg: Config = DEFAULT) -
     # an edge differs from what follows it, so the bucket after it is a mark too
     marks = edge.select("direction", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket")).unionByName(steps.select("direction", "bucket")).distinct()
     running = prefix(
-        marks.join(steps, ["direction", "bucket"], "left"),
+        materialize(marks.join(steps, ["direction", "bucket"], "left"), "marks"),
         ["direction"],
         "bucket",
         {"full": ("sum", F.coalesce("n", F.lit(0))), "full_bytes": ("sum", F.coalesce("r", F.lit(0).cast("decimal(38,6)")))},
         frame="range_upto",
-    ).select("direction", "bucket", "full", "full_bytes")
+    ).select("direction", "bucket", "full", "full_bytes", SLICE)
     stretches = lagged(running, ["direction"], "bucket", {"next": ("bucket", -1)}).drop(SLICE)
     whole = F.col("full") > 0
     return (
@@ -278,8 +278,9 @@ def aggregate_throughput(buckets: DataFrame) -> DataFrame:
 
     The median is over buckets: a stretch counts as often as it has buckets.
     """
+    buckets = materialize(buckets.select("direction", "rate", "buckets", "sockets"), "buckets")
     top = buckets.groupBy("direction").agg(F.max("rate").alias("peak"), F.max("sockets").alias("max_sockets"), F.sum("buckets").alias("n"))
-    upto = prefix(buckets.select("direction", "rate", "buckets"), ["direction"], "rate", {"c": ("sum", F.col("buckets"))}, frame="range_upto").select("direction", "rate", "c")
+    upto = prefix(buckets.drop("sockets"), ["direction"], "rate", {"c": ("sum", F.col("buckets"))}, frame="range_upto").select("direction", "rate", "c")
     low, high = F.expr("(n + 1) div 2"), F.expr("n div 2 + 1")
     mids = (
         upto.join(top.select("direction", "n"), "direction")
