@@ -1,7 +1,10 @@
 """Inputs past what used to be size limits."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from tidemark.plans import sequence as SQ
 from tidemark.plans import study as ST
 from tidemark.plans import timeseries as TS
 
@@ -37,3 +40,32 @@ def test_a_read_of_many_blocks_is_expanded_whole(spark):
     trace = spark.createDataFrame(rows, "app string, ts_ns long, op_id string, op string, object_id string, size long, status int")
     got = ST.to_blocks(trace, 10).groupBy("op").count().collect()
     assert {r["op"]: r["count"] for r in got} == {"get": 5000, "put": 5000}
+
+
+TRACE = "app string, ts_ns long, op_id string, op string, object_id string, size long, status int, range_start long, range_end long"
+
+
+def test_five_terabytes_in_blocks_of_a_kilobyte_are_one_range(spark):
+    rows = [("*", 1, "1", "get", "o", 5 * 10**12, 200, None, None), ("*", 2, "2", "get", "o", None, 206, 5 * 10**12 + 800, 5 * 10**12 + 3000), ("*", 3, "3", "put", "o", 10, 200, None, None)]
+    ranges = ST.block_ranges(spark.createDataFrame(rows, TRACE), 1024)
+    last = (5 * 10**12 - 1) // 1024
+    more = (5 * 10**12 + 3000) // 1024
+    assert sorted((r.op, r.b0, r.b1) for r in ranges.collect()) == [("get", 0, last), ("get", last + 1, more), ("put", 0, more)]
+    run = SQ.sequential_runs(ranges).collect()
+    assert [(r.length, r.first_block) for r in run] == [(more + 1, 0)]
+
+
+def test_ranges_hold_the_blocks_of_a_plain_walk(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        lo = rng.randrange(0, 400)
+        rows.append(("*", rng.randrange(60), f"{i:03}", rng.choice(["get"] * 4 + ["put", "delete"]), rng.choice("ab"), 40, 206, lo, lo + rng.randrange(0, 90)))
+    got = [(r.op, r.op_id, r.object_id) for r in ST.to_blocks(spark.createDataFrame(rows, TRACE), 10).collect()]
+    want, seen = [], {"a": set(), "b": set()}
+    for _, _, i, op, obj, _, _, lo, hi in sorted(rows, key=lambda r: (r[1], r[2])):
+        own = set(range(lo // 10, hi // 10 + 1))
+        blocks = own if op == "get" else own | seen[obj]
+        seen[obj] = seen[obj] | own if op == "get" else set()
+        want += [(op, i, f"{obj}#{b}") for b in blocks]
+    assert sorted(got) == sorted(want)

@@ -8,6 +8,7 @@ from tidemark.catalog import sql as S
 from tidemark.config import DEFAULT
 from tidemark.plans import sequence as SQ
 from tidemark.plans import study as ST
+from tidemark.session import materialize
 from tidemark.sources import tables as T
 
 BLOCK = 65_536
@@ -32,7 +33,7 @@ QUERIES = {
     "seq1_transitions": lambda s, d: SQ.transitions(_pooled(s, d)),
     "seq2_order2_transitions": lambda s, d: SQ.transitions(_pooled(s, d), order=2).withColumn("context", F.translate("context", "\x1f", ">")),
     "seq3_cooccurrence": lambda s, d: SQ.cooccurrence(_pooled(s, d), SMALL),
-    "seq4_sequential_runs": lambda s, d: SQ.sequential_runs(_blocks(s, d)),
+    "seq4_sequential_runs": lambda s, d: SQ.sequential_runs(materialize(ST.block_ranges(_pooled(s, d), BLOCK), "ranges")),
     "seq5_hot_objects": lambda s, d: SQ.hot_objects(ST.split_and_pooled(T.trace(s, d)), 5),
     "seq6_predictability": lambda s, d: SQ.predictability(_pooled(s, d), k=4),
 }

@@ -56,16 +56,13 @@ def cooccurrence(trace: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
 
 
-def sequential_runs(blocks: DataFrame) -> DataFrame:
-    """Lengths of runs reading block n, then n + 1, of one object."""
-    base = F.regexp_extract("object_id", "^(.*)#([0-9]+)$", 1)
-    b = reads(blocks).select(
-        "app", "ts_ns", "op_id", base.alias("base"), F.regexp_extract("object_id", "^(.*)#([0-9]+)$", 2).cast("bigint").alias("block")
-    )
-    prev = lagged(b, ["app", "base"], "ts_ns", {"prev": ("block", 1)}, ties=("op_id", "block"))
-    broken = F.coalesce(F.col("block") != F.col("prev") + 1, F.lit(True)).cast("int")
-    runs = prefix(prev, ["app", "base"], "ts_ns", {"run": ("sum", broken)}, ties=("op_id", "block"))
-    return runs.groupBy("app", "base", "run").agg(F.count(F.lit(1)).alias("length"), F.min("block").alias("first_block"))
+def sequential_runs(ranges: DataFrame) -> DataFrame:
+    """Lengths of runs reading block n, then n + 1, of one object, from its reads as ranges of blocks (``study.block_ranges``)."""
+    b = ranges.where(F.col("op") == "get").select("app", "ts_ns", "op_id", F.col("object_id").alias("base"), "b0", "b1")
+    prev = lagged(b, ["app", "base"], "ts_ns", {"prev": ("b1", 1)}, ties=("op_id", "b0"))
+    broken = F.coalesce(F.col("b0") != F.col("prev") + 1, F.lit(True)).cast("int")
+    runs = prefix(prev, ["app", "base"], "ts_ns", {"run": ("sum", broken)}, ties=("op_id", "b0"))
+    return runs.groupBy("app", "base", "run").agg(F.sum(F.col("b1") - F.col("b0") + 1).alias("length"), F.min("b0").alias("first_block"))
 
 
 def hot_objects(trace: DataFrame, k: int = 10) -> DataFrame:

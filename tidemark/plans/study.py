@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.quantiles import Stat, exact_quantiles
 from tidemark.operators.slices import SLICE, lagged, prefix
+from tidemark.session import materialize
 
 ALL = "*"
 
@@ -91,12 +92,12 @@ def byte_sizing(trace: DataFrame) -> DataFrame:
     )
 
 
-def to_blocks(trace: DataFrame, block_bytes: int) -> DataFrame:
-    """Reads and writes of objects as accesses of fixed-size blocks ``id#n``.
+def block_ranges(trace: DataFrame, block_bytes: int) -> DataFrame:
+    """Reads and writes of objects as accesses of ranges b0..b1 of fixed-size blocks, each block of an access in one range.
 
-    A read covers the blocks of its extent. A write covers its
-    own and every block read since the previous write of the object: reads are tagged with
-    their write epoch, so this is one join of writes to distinct blocks per epoch.
+    A read covers the blocks of its extent. A write covers its own and every block read since the previous
+    write of the object: it shares their write epoch, whose ranges are merged along the block axis. So a
+    read of any length is one row, and no block is named.
     """
     has = set(trace.columns)
     a = F.coalesce(F.col("range_start"), F.lit(0)) if "range_start" in has else F.lit(0)
@@ -108,14 +109,35 @@ def to_blocks(trace: DataFrame, block_bytes: int) -> DataFrame:
     )
     is_write = F.col("op") != "get"
     ev = prefix(ev, ["app", "object_id"], "ts_ns", {"epoch": ("sum", is_write.cast("int"))}, ties=("op_id",), frame="rows_before").drop(SLICE)
-    own = ev.withColumn("block", F.explode(F.sequence("b0", "b1")))
-    touched = own.where(~is_write).select("app", "object_id", "epoch", "block").distinct()
-    swept = ev.where(is_write).join(touched, ["app", "object_id", "epoch"])
-    cols = ["app", "ts_ns", "op_id", "op", "object_id", "status", "block"]
-    wrote = swept.select(cols).unionByName(own.where(is_write).select(cols)).distinct()
-    return own.where(~is_write).select(cols).unionByName(wrote).withColumn(
-        "object_id", F.concat("object_id", F.lit("#"), F.col("block").cast("string"))
-    ).drop("block").withColumn("size", F.lit(None).cast("bigint"))
+    ev = materialize(ev, "accesses")
+    epoch = ["app", "object_id", "epoch"]
+    swept = materialize(ev.select(*epoch, "b0", "b1").distinct(), "swept")
+    reach = prefix(swept, epoch, "b0", {"reach": ("max", F.col("b1"))}, ties=("b1",), frame="rows_before")
+    apart = F.coalesce(F.col("b0") > F.col("reach") + 1, F.lit(True))
+    merged = prefix(reach, epoch, "b0", {"part": ("sum", apart.cast("int"))}, ties=("b1",)).groupBy(*epoch, "part").agg(F.min("b0").alias("b0"), F.max("b1").alias("b1"))
+    wrote = ev.where(is_write).drop("b0", "b1").join(merged, epoch)
+    cols = ["app", "ts_ns", "op_id", "op", "object_id", "status", "b0", "b1"]
+    return ev.where(~is_write).select(cols).unionByName(wrote.select(cols))
+
+
+#: Blocks that one row of a range is expanded to at once.
+EXPANDED = 4096
+
+
+def to_blocks(trace: DataFrame, block_bytes: int) -> DataFrame:
+    """``block_ranges`` block by block, as accesses of ``id#n``.
+
+    A long range is first cut into pieces, which are dealt out, so neither a row nor a task holds all its blocks.
+    """
+    ranges = materialize(block_ranges(trace, block_bytes), "block-ranges")
+    short = F.col("b1") - F.col("b0") < EXPANDED
+    pieces = ranges.where(~short).withColumn("_piece", F.explode(F.sequence(F.expr(f"b0 div {EXPANDED}L"), F.expr(f"b1 div {EXPANDED}L")))).repartition("object_id", "_piece")
+    begin = F.col("_piece") * EXPANDED
+    cut = pieces.withColumn("b0", F.greatest("b0", begin)).withColumn("b1", F.least("b1", begin + EXPANDED - 1)).drop("_piece")
+    blocks = ranges.where(short).unionByName(cut).withColumn("block", F.explode(F.sequence("b0", "b1")))
+    return blocks.select(
+        "app", "ts_ns", "op_id", "op", F.concat("object_id", F.lit("#"), F.col("block").cast("string")).alias("object_id"), "status", F.lit(None).cast("bigint").alias("size")
+    )
 
 
 def next_use(trace: DataFrame) -> DataFrame:
