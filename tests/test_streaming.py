@@ -3,6 +3,7 @@ import os
 import pandas as pd
 import pytest
 
+from tidemark.functions import columns as C
 from tidemark.plans import correlate as CR
 from tidemark.sources import tables as T
 from tidemark.streaming import correlation as SR
@@ -152,3 +153,22 @@ def test_state_is_gone_when_its_time_is_over(spark, tmp_path):
     # the watermark stands at 69 s: a (0 s) and b's first connect are long over, c's 40 s are within 35 s of it
     assert {r.sock_cookie for r in SR.state_table(log, spark, "open").collect()} == {"c", "b"} - ({"b"} if 30_000 + 35_000 < 69_000 else set())
     assert [(r.sock_cookie, r.seq) for r in SR.state_table(log, spark, "waiting").collect()] == [("d", 5)]
+
+
+def test_percentiles_of_windows_merged_from_panes_keep_their_rank(spark):
+    """Far more values than a sketch holds: the rank of each answer is within the stated error, and counts are exact."""
+    k, n = 512, 120_000
+    ops = spark.range(n).selectExpr(
+        "CAST(id AS STRING) AS op_id", "1700000000000000000 + id * 1000000000 AS ts_ns", "concat('b', id % 2) AS bucket", "'GetObject' AS s3_op", "'GET' AS verb",
+        "CASE WHEN id % 50 = 0 THEN 503 ELSE 200 END AS http_status", "CAST(pmod(xxhash64(id), 1000003) + 1 AS BIGINT) AS ttfb_ns", "false AS partial", "'clean' AS delimitation",
+    )
+    panes = W.scorecard_panes(ops, "1 hour", k=k)
+    got = {(r.start_us, r.bucket): r for r in W.merged_windows(panes, 6, {"p50": 0.5, "p95": 0.95}).collect()}
+    good = ops.where(C.timeable()).selectExpr("bucket", "ts_ns div 3600000000000 AS hour", "ttfb_ns").toPandas()
+    assert len(got) == 2 * (good.hour.nunique() + 5)
+    for (start, bucket), r in got.items():
+        hour = start // 3_600_000_000
+        own = good[(good.bucket == bucket) & (good.hour >= hour) & (good.hour < hour + 6)].ttfb_ns.sort_values().to_numpy()
+        assert r.latency_sample == len(own)
+        for value, p in ((r.p50, 0.5), (r.p95, 0.95)):
+            assert abs((own <= value).mean() - p) <= 2.3 / k**0.9 + 1 / len(own)

@@ -73,6 +73,9 @@ QUERIES = {
     "str7_windowed_scorecard": lambda s, d: W.latest(
         W.run_once(W.scorecard_windows(T.ops_from(_live(s, d))), "scorecard-windows", "update"), ["start_us", "bucket", "s3_op"]
     ).drop("ttfb_p50_approx"),
+    "str7_sliding_percentiles": lambda s, d: W.merged_windows(
+        W.latest(W.run_once(W.scorecard_panes(T.ops_from(_live(s, d))), "panes", "update"), ["start_us", "end_us", "bucket", "s3_op"]), 7, {"p50_ns": 0.5, "p95_ns": 0.95}
+    ),
     "str8_src10_live_scorecard": lambda s, d: W.landed(T.ops_from(_live(s, d)), "landed", SC.scorecard)
     .withColumn("status_counts", SC.status_text(F.col("status_counts")))
     .drop("p99_over_p50", "group_total"),
@@ -147,5 +150,10 @@ ORACLES = {
  SELECT (ts_ns // 1000000000) * 1000000 AS start_us, count(*) AS samples, min(srtt) AS min_srtt_us, max(srtt) AS max_srtt_us FROM z GROUP BY 1""",
     "str7_windowed_scorecard": f"""WITH {S.OPS} SELECT (ts_ns // 86400000000000) * 86400000000 AS start_us, bucket, s3_op, count(http_status) AS ops, count(*) FILTER (WHERE http_status >= 400) AS errors,
  count(ttfb_ns) FILTER (WHERE good) AS latency_sample, count(*) FILTER (WHERE http_status IS NULL) AS unanswered FROM opf GROUP BY 1, 2, 3""",
+    "str7_sliding_percentiles": f"""WITH {S.OPS}, z AS (SELECT unnest(range(0, 7)) AS k, ts_ns // 86400000000000 AS day, * FROM opf),
+ g AS (SELECT (day - k) * 86400000000 AS start_us, bucket, s3_op, count(http_status) AS ops, count(*) FILTER (WHERE http_status >= 400) AS errors, count(ttfb_ns) FILTER (WHERE good) AS latency_sample,
+  list(ttfb_ns ORDER BY ttfb_ns) FILTER (WHERE good AND ttfb_ns IS NOT NULL) AS l FROM z GROUP BY 1, 2, 3)
+ SELECT start_us, bucket, s3_op, CAST(ops AS BIGINT) AS ops, CAST(errors AS BIGINT) AS errors, CAST(latency_sample AS BIGINT) AS latency_sample,
+  l[CAST(ceil(len(l) * 0.5::DOUBLE) AS BIGINT)] AS p50_ns, l[CAST(ceil(len(l) * 0.95::DOUBLE) AS BIGINT)] AS p95_ns FROM g""",
     "str8_src10_live_scorecard": _SC["sco1_scorecard"],
 }
