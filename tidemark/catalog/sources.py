@@ -108,7 +108,8 @@ def _sunk(s, d, what):
     path = scratch_path(s, "sink")
     o = T.ops(s, d)
     cfg = replace(DEFAULT, sc_min_errors=3)
-    SK.write_scorecard(SC.scorecard(o, cfg), SC.reliability_findings(o, cfg), path)
+    advice = {fid: f"advice/{fid}" for fid, _ in SC.ERROR_FINDINGS.values()}
+    SK.write_scorecard(SC.scorecard(o, cfg), SC.reliability_findings(o, cfg), path, emitted_at="2024-06-01T00:00:00Z", recommendations=advice)
     return s.read.json(f"{path}/{what}")
 
 
@@ -130,7 +131,7 @@ QUERIES = {
     "src5_src6_access_trace": lambda s, d: AC.events(_access(s, d)),
     "src7_load_accounting": lambda s, d: AC.load_accounting(_access(s, d)),
     "src8_findings_sink": lambda s, d: _sunk(s, d, "findings").select(
-        "finding_id", "severity", F.array_join("source_schema", "+").alias("sources"), F.col("value_num"), "sample.judged", "scope.bucket", "scope.s3_op", "window.ts_start"
+        "finding_id", "severity", F.array_join("source_schema", "+").alias("sources"), F.col("value_num"), "sample.judged", "scope.bucket", "scope.s3_op", "window.ts_start", "emitted_at", "recommendation_ref"
     ),
     "src9_scorecard_sink": lambda s, d: _sunk(s, d, "scorecard").select("bucket", "s3_op", "ops", "errors", "ttfb_p50_ns", F.col("window.ts_end").alias("ts_end")),
     "geo1_geo2_top2_latency_map": lambda s, d: G.latency_map(T.conns(s, d), GEO),
@@ -180,5 +181,5 @@ ORACLES = {
 }
 from tidemark.catalog.scorecard import ORACLES as _SC  # noqa: E402
 
-ORACLES["src8_findings_sink"] = f"SELECT finding_id, severity, 'tidemark.operation/1+tidemark.connection/2' AS sources, value_num, judged, bucket, s3_op, CAST(ts_start AS VARCHAR) AS ts_start FROM ({_SC['sco2_reliability_findings']})"
+ORACLES["src8_findings_sink"] = f"SELECT finding_id, severity, 'tidemark.operation/1+tidemark.connection/2' AS sources, value_num, judged, bucket, s3_op, CAST(ts_start AS VARCHAR) AS ts_start, '2024-06-01T00:00:00Z' AS emitted_at, 'advice/' || finding_id AS recommendation_ref FROM ({_SC['sco2_reliability_findings']})"
 ORACLES["src9_scorecard_sink"] = f"SELECT bucket, s3_op, ops, errors, ttfb_p50_ns, CAST(ts_end AS VARCHAR) AS ts_end FROM ({_SC['sco1_scorecard']})"
