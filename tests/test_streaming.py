@@ -172,3 +172,21 @@ def test_percentiles_of_windows_merged_from_panes_keep_their_rank(spark):
         assert r.latency_sample == len(own)
         for value, p in ((r.p50, 0.5), (r.p95, 0.95)):
             assert abs((own <= value).mean() - p) <= 2.3 / k**0.9 + 1 / len(own)
+
+
+def test_lines_are_counted_by_the_pass_that_lands_them(spark, tmp_path):
+    """Three micro-batches, one line of each outcome, and a plan with one scan."""
+    from tidemark.sources import capture as CA
+
+    good = '{"schema":"x.operation/1","op_id":"%d","ts_ns":"1","sock_cookie":"s"}'
+    lines = [good % 1, "junk", '{"schema":"x.operation/9"}', good % 2, "", "junk", good % 3]
+    for i in range(3):
+        (tmp_path / f"{i}.txt").write_text("\n".join(lines[i * 2 :]))
+    whole = CA.classify(spark.read.text(str(tmp_path)))
+    want = CA.accounting(whole).first().asDict()
+    rows, counts = CA.load(whole)
+    assert counts == want and rows.count() == want["operations"] and want["bad_lines"] > 0
+    plan = CA.operations(whole.observe("seen", *CA.counts()))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "CollectMetrics" in plan
+    stored, live = W.run_counted(CA.classify(CA.read_line_stream(spark, str(tmp_path), max_files=1)), "t-counted", CA.operations, CA.counts())
+    assert live.first().asDict() == want and stored.count() == want["operations"] and stored.select("batch").distinct().count() == 3

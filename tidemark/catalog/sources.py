@@ -130,6 +130,11 @@ QUERIES = {
     "src4_empty_capture_guard": lambda s, d: CA.require_records(_classified(s, d), ("operation",)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n")),
     "src5_src6_access_trace": lambda s, d: AC.events(_access(s, d)),
     "src7_load_accounting": lambda s, d: AC.load_accounting(_access(s, d)),
+    "src2_observed_accounting": lambda s, d: s.createDataFrame([CA.load(_classified(s, d))[1]]),
+    "src2_observed_live_accounting": lambda s, d: W.run_counted(
+        CA.classify(CA.read_line_stream(s, _capture(s, d), max_files=2), NS, LINE_LIMIT), "counted-capture", CA.operations, CA.counts()
+    )[1],
+    "src7_observed_accounting": lambda s, d: s.createDataFrame([AC.load(_access(s, d))[1]]),
     "src8_findings_sink": lambda s, d: _sunk(s, d, "findings").select(
         "finding_id", "severity", F.array_join("source_schema", "+").alias("sources"), F.col("value_num"), "sample.judged", "scope.bucket", "scope.s3_op", "window.ts_start", "emitted_at", "recommendation_ref"
     ),
@@ -183,3 +188,4 @@ from tidemark.catalog.scorecard import ORACLES as _SC  # noqa: E402
 
 ORACLES["src8_findings_sink"] = f"SELECT finding_id, severity, 'tidemark.operation/1+tidemark.connection/2' AS sources, value_num, judged, bucket, s3_op, CAST(ts_start AS VARCHAR) AS ts_start, '2024-06-01T00:00:00Z' AS emitted_at, 'advice/' || finding_id AS recommendation_ref FROM ({_SC['sco2_reliability_findings']})"
 ORACLES["src9_scorecard_sink"] = f"SELECT bucket, s3_op, ops, errors, ttfb_p50_ns, CAST(ts_end AS VARCHAR) AS ts_end FROM ({_SC['sco1_scorecard']})"
+ORACLES |= {"src2_observed_accounting": ORACLES["src2_src3_parse_accounting"], "src2_observed_live_accounting": ORACLES["src2_src3_parse_accounting"], "src7_observed_accounting": ORACLES["src7_load_accounting"]}

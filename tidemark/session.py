@@ -6,8 +6,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -58,3 +59,10 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, metrics: list[Column], keep: Callable[[DataFrame], DataFrame], name: str = "table") -> tuple[DataFrame, dict[str, int]]:
+    """What ``keep`` makes of ``df``, stored, and metrics over all rows of ``df`` that the same write observes: one scan, not two."""
+    seen = Observation()
+    stored = materialize(keep(df.observe(seen, *metrics)), name)
+    return stored, seen.get

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as C
+from tidemark.session import counted
 from tidemark.sources import schemas as S
 from tidemark.sources.capture import parse_once, record_kind
 
@@ -87,12 +88,22 @@ def events(classified: DataFrame) -> DataFrame:
     return classified.where(F.col("outcome") == "event").drop("outcome", "value")
 
 
-def load_accounting(classified: DataFrame) -> DataFrame:
-    """One row: 'no usable reads' stays apart from 'not a trace at all'."""
+def counts() -> list[Column]:
+    """'No usable reads' stays apart from 'not a trace at all'."""
     o = F.col("outcome")
-    return classified.agg(
+    return [
         F.count_if(o == "event").alias("events"),
         F.count_if(o.isin("operation_dropped", "other_record", "unusable")).alias("skipped"),
         F.count_if(o == "operation_dropped").alias("operations_dropped"),
         F.count_if(o == "other_record").alias("other_records"),
-    )
+    ]
+
+
+def load_accounting(classified: DataFrame) -> DataFrame:
+    """One row: the counts of all lines."""
+    return classified.agg(*counts())
+
+
+def load(classified: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The events of a trace, stored, and the counts of all its lines, taken by the pass that stores them."""
+    return counted(classified, counts(), events, "trace")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import counted
 from tidemark.sources import schemas as S
 
 MAX_U64 = 18_446_744_073_709_551_615
@@ -123,14 +124,24 @@ def samples(classified: DataFrame) -> DataFrame:
     return _typed(classified, "sample")
 
 
-def accounting(classified: DataFrame) -> DataFrame:
-    """One row: records per kind, bad lines and unknown tags; nothing is dropped silently."""
+def counts() -> list[Column]:
+    """Records per kind, bad lines and unknown tags; nothing is dropped silently."""
     o = F.col("outcome")
-    return classified.agg(
+    return [
         *[F.count_if(o == k).alias(f"{k}s") for k in S.SCHEMAS],
         F.count_if(o == "bad").alias("bad_lines"),
         F.count_if(o == "unknown").alias("unknown_schema"),
-    )
+    ]
+
+
+def accounting(classified: DataFrame) -> DataFrame:
+    """One row: the counts of all lines."""
+    return classified.agg(*counts())
+
+
+def load(classified: DataFrame, kind: str = "operation") -> tuple[DataFrame, dict[str, int]]:
+    """The records of a kind, stored, and the counts of all lines, taken by the pass that stores them."""
+    return counted(classified, counts(), lambda df: _typed(df, kind), kind)
 
 
 class NoRecords(ValueError):
