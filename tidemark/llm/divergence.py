@@ -23,7 +23,7 @@ from tidemark.session import materialize
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 #: Bytes of a text split at once; bytes a task gathers before it sends them on, and those of an entry beside its term.
 PIECE_BYTES = 1 << 20
-GATHERED_BYTES = 32 << 20
+GATHERED_BYTES = 96 << 20
 ENTRY_BYTES = 250
 #: Sources of a block and rows of a slice, when pairs of sources are compared; terms of a dense strip.
 BLOCK = 128
