@@ -3,15 +3,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog import sql as S
+from tidemark.catalog import timeseries as _TS
 from tidemark.catalog.scorecard import ORACLES as _SC
 from tidemark.plans import correlate as CR
 from tidemark.plans import scorecard as SC
+from tidemark.plans import study as ST
 from tidemark.session import scratch_path
 from tidemark.sources import tables as T
 from tidemark.streaming import correlation as SR
+from tidemark.streaming import counters as CN
 from tidemark.streaming import enrich as EN
+from tidemark.streaming import summaries as SU
 from tidemark.streaming import windows as W
 
+HOT_SHARE = 0.005  # of the reads
+SOCKET_MEMORY = 3  # days
+
 
 def _e(s, d):
     return T.base_events(s, d)
@@ -40,6 +47,21 @@ def _left_waiting(s, d):
     return SR.state_table(log, s, "waiting")
 
 
+def _late(s, d):
+    """Every event, and whether the watermark of a day had passed it when it arrived."""
+    on_time, late = W.split_late(W.arrival_stream(T.with_turns(_e(s, d)), "turn", "arrivals"), "late", 86_400_000_000_000)
+    return on_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True))).select("event_id", "ts_ns", "late")
+
+
+def _live_trace(s, d):
+    return T.demand_trace(T.ops_from(_live(s, d)))
+
+
+def _gains(s, d):
+    samples = W.folder_stream(T.numbered_samples(T.samples(s, d)), "numbered")
+    return W.run_to_end(lambda ticks: CN.gain_windows(samples, ticks, timeout_ms=10**12), s, "gains").drop("batch")
+
+
 def _live_samples(s, d):
     li = W.table_stream(s, d, "lineitem")
     return li.selectExpr(
@@ -69,16 +91,27 @@ QUERIES = {
         lambda ticks: EN.enriched_stream(T.peer_sockets(_live(s, d)), T.address_answers(_live(s, d)), T.address_regions(s, d), ticks), s, "enriched"
     ).drop("batch"),
     "str4_waiting_events": lambda s, d: _left_waiting(s, d),
-    "str6_sample_windows": lambda s, d: W.latest(W.run_once(W.sample_windows(_live_samples(s, d)), "sample-windows", "update"), ["start_us"]).drop("sockets_approx"),
+    "str6_sample_windows": lambda s, d: W.latest(W.run_once(W.sample_windows(_live_samples(s, d)), "sample-windows", "update"), ["start_us"]),
     "str7_windowed_scorecard": lambda s, d: W.latest(
         W.run_once(W.scorecard_windows(T.ops_from(_live(s, d))), "scorecard-windows", "update"), ["start_us", "bucket", "s3_op"]
-    ).drop("ttfb_p50_approx"),
+    ),
     "str7_sliding_percentiles": lambda s, d: W.merged_windows(
         W.latest(W.run_once(W.scorecard_panes(T.ops_from(_live(s, d))), "panes", "update"), ["start_us", "end_us", "bucket", "s3_op"]), 7, {"p50_ns": 0.5, "p95_ns": 0.95}
     ),
     "str8_src10_live_scorecard": lambda s, d: W.landed(T.ops_from(_live(s, d)), "landed", SC.scorecard)
     .withColumn("status_counts", SC.status_text(F.col("status_counts")))
     .drop("p99_over_p50", "group_total"),
+    "str8_merged_scorecard": lambda s, d: SU.merged_scorecard(SU.collect_parts(T.ops_from(_live(s, d)), "parts", SU.scorecard_parts))
+    .withColumn("status_counts", SC.status_text(F.col("status_counts")))
+    .drop("p99_over_p50", "group_total"),
+    "str3_late_rows": _late,
+    "str6_ts1_counter_windows": _gains,
+    "str6_set2_socket_movement": lambda s, d: SU.socket_movement(
+        W.latest(W.run_once(SU.socket_panes(T.ops_from(_live(s, d))), "socket-panes", "update"), ["start_us", "end_us"]), SOCKET_MEMORY
+    ),
+    "seq5_live_hot_objects": lambda s, d: SU.hot_objects(
+        SU.collect_parts(ST.split_and_pooled(_live_trace(s, d)), "object-parts", lambda df: SU.object_parts(df, HOT_SHARE)), HOT_SHARE
+    ),
 }
 
 _E = S.OPS
@@ -146,14 +179,27 @@ ORACLES = {
     "str1_correlated_requests": f"WITH {_WIRE} SELECT * FROM cr",
     "str1_str5_live_correlation": f"WITH {_WIRE} SELECT * EXCLUDE (open), open AS flushed FROM cr",
     "str2_str3_live_connections": _CC,
-    "str6_sample_windows": """WITH z AS (SELECT (epoch_us(l_shipdate) // 86400000000) * 100000000 + (l_orderkey * 7919 + l_linenumber * 104729) % 100000000 AS ts_ns, CAST(round(l_tax * 100000) + 1000 AS BIGINT) AS srtt FROM lineitem)
- SELECT (ts_ns // 1000000000) * 1000000 AS start_us, count(*) AS samples, min(srtt) AS min_srtt_us, max(srtt) AS max_srtt_us FROM z GROUP BY 1""",
+    "str6_sample_windows": """WITH z AS (SELECT (epoch_us(l_shipdate) // 86400000000) * 100000000 + (l_orderkey * 7919 + l_linenumber * 104729) % 100000000 AS ts_ns, CAST(round(l_tax * 100000) + 1000 AS BIGINT) AS srtt, l_suppkey AS cookie FROM lineitem)
+ SELECT (ts_ns // 1000000000) * 1000000 AS start_us, count(*) AS samples, min(srtt) AS min_srtt_us, max(srtt) AS max_srtt_us, count(DISTINCT cookie) AS sockets FROM z GROUP BY 1""",
     "str7_windowed_scorecard": f"""WITH {S.OPS} SELECT (ts_ns // 86400000000000) * 86400000000 AS start_us, bucket, s3_op, count(http_status) AS ops, count(*) FILTER (WHERE http_status >= 400) AS errors,
- count(ttfb_ns) FILTER (WHERE good) AS latency_sample, count(*) FILTER (WHERE http_status IS NULL) AS unanswered FROM opf GROUP BY 1, 2, 3""",
+ count(ttfb_ns) FILTER (WHERE good) AS latency_sample, count(*) FILTER (WHERE http_status IS NULL) AS unanswered,
+ {S.pct('ttfb_ns', 0.5, 'good')} AS ttfb_p50_ns FROM opf GROUP BY 1, 2, 3""",
     "str7_sliding_percentiles": f"""WITH {S.OPS}, z AS (SELECT unnest(range(0, 7)) AS k, ts_ns // 86400000000000 AS day, * FROM opf),
  g AS (SELECT (day - k) * 86400000000 AS start_us, bucket, s3_op, count(http_status) AS ops, count(*) FILTER (WHERE http_status >= 400) AS errors, count(ttfb_ns) FILTER (WHERE good) AS latency_sample,
   list(ttfb_ns ORDER BY ttfb_ns) FILTER (WHERE good AND ttfb_ns IS NOT NULL) AS l FROM z GROUP BY 1, 2, 3)
  SELECT start_us, bucket, s3_op, CAST(ops AS BIGINT) AS ops, CAST(errors AS BIGINT) AS errors, CAST(latency_sample AS BIGINT) AS latency_sample,
   l[CAST(ceil(len(l) * 0.5::DOUBLE) AS BIGINT)] AS p50_ns, l[CAST(ceil(len(l) * 0.95::DOUBLE) AS BIGINT)] AS p95_ns FROM g""",
     "str8_src10_live_scorecard": _SC["sco1_scorecard"],
+    "str8_merged_scorecard": _SC["sco1_scorecard"],
+    "str3_late_rows": f"""WITH {_E}, a AS (SELECT event_id, ts_ns, (ts_ns + CAST(k AS BIGINT) * k * 60000000000) // 432000000000000 AS turn FROM e),
+ t AS (SELECT turn, max(max(ts_ns)) OVER (ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS youngest FROM a GROUP BY 1)
+ SELECT event_id, ts_ns, coalesce(ts_ns < youngest - 86400000000000, false) AS late FROM a JOIN t USING (turn)""",
+    "str6_ts1_counter_windows": f"""WITH {_TS.SEG} SELECT (ts_ns // 1000000000) * 1000000 AS start_us, count(*) AS samples, count(*) FILTER (WHERE pts IS NULL) AS segments_begun,
+ CAST(coalesce(sum(bytes_recv - pr), 0) AS BIGINT) AS received, CAST(coalesce(sum(bytes_sent - ps), 0) AS BIGINT) AS sent, CAST(coalesce(sum(total_retrans - pt), 0) AS BIGINT) AS retrans FROM seg GROUP BY 1""",
+    "str6_set2_socket_movement": f"""WITH {S.OPS}, z AS (SELECT ts_ns // 86400000000000 AS day, sock_cookie, count(*) AS n FROM ops GROUP BY 1, 2),
+ y AS (SELECT z.day, z.n, EXISTS (SELECT 1 FROM z o WHERE o.sock_cookie = z.sock_cookie AND o.day < z.day AND o.day >= z.day - {SOCKET_MEMORY}) AS known FROM z),
+ g AS (SELECT day, CAST(sum(n) AS BIGINT) AS records, count(*) AS sockets, count(*) FILTER (WHERE known) AS returned, count(*) FILTER (WHERE NOT known) AS fresh FROM y GROUP BY 1)
+ SELECT day * 86400000000 AS start_us, records, sockets, returned, fresh, (SELECT count(DISTINCT sock_cookie) FROM z WHERE z.day <= g.day AND z.day >= g.day - {SOCKET_MEMORY}) AS sockets_in_memory FROM g""",
+    "seq5_live_hot_objects": f"""WITH {S.TRACE}, b AS (SELECT CAST(app AS VARCHAR) AS app, object_id FROM trace WHERE op = 'get' UNION ALL SELECT '*', object_id FROM trace WHERE op = 'get'),
+ c AS (SELECT app, object_id, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY app) AS BIGINT) AS total FROM b GROUP BY 1, 2) SELECT * FROM c WHERE n >= {HOT_SHARE}::DOUBLE * total""",
 }

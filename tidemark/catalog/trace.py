@@ -27,14 +27,14 @@ QUERIES = {
     "mrc_residency_ceiling": lambda s, d: ST.resident_hits(ST.split_and_pooled(T.trace(s, d))),
     "mrc3_byte_sizing": lambda s, d: ST.byte_sizing(_pooled(s, d)),
     "mrc5_block_expansion": lambda s, d: _blocks(s, d).groupBy("op", "object_id").agg(F.count(F.lit(1)).alias("n"), F.max("ts_ns").alias("last_ts")),
-    "mrc6_working_set": lambda s, d: ST.summary(ST.split_and_pooled(T.trace(s, d))),
+    "mrc6_working_set": lambda s, d: ST.summary(T.trace(s, d), pool=True),
     "adv13_sequence_structure": lambda s, d: SQ.predictability(_pooled(s, d), k=8).select("share").withColumn("structured", F.col("share") >= DEFAULT.structure_floor),
     "ts15_next_use": lambda s, d: ST.next_use(_pooled(s, d)),
     "seq1_transitions": lambda s, d: SQ.transitions(_pooled(s, d)),
     "seq2_order2_transitions": lambda s, d: SQ.transitions(_pooled(s, d), order=2).withColumn("context", F.translate("context", "\x1f", ">")),
     "seq3_cooccurrence": lambda s, d: SQ.cooccurrence(_pooled(s, d), SMALL),
     "seq4_sequential_runs": lambda s, d: SQ.sequential_runs(materialize(ST.block_ranges(_pooled(s, d), BLOCK), "ranges")),
-    "seq5_hot_objects": lambda s, d: SQ.hot_objects(ST.split_and_pooled(T.trace(s, d)), 5),
+    "seq5_hot_objects": lambda s, d: SQ.hot_objects(T.trace(s, d), 5, pool=True),
     "seq6_predictability": lambda s, d: SQ.predictability(_pooled(s, d), k=4),
 }
 

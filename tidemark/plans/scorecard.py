@@ -53,7 +53,7 @@ def _latency(ops: DataFrame) -> DataFrame:
     )
 
 
-def _whole(c: Column) -> Column:
+def whole(c: Column) -> Column:
     return F.round(c).cast("bigint")
 
 
@@ -83,9 +83,9 @@ def scorecard(ops: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         "errors",
         (F.col("errors") / F.col("ops")).alias("error_rate"),
         "status_counts",
-        _whole(F.col("q.p50")).alias("ttfb_p50_ns"),
-        F.when(n >= cfg.min_tail_sample, _whole(F.col("q.p95"))).alias("ttfb_p95_ns"),
-        F.when(n >= cfg.min_p99_sample, _whole(F.col("q.p99"))).alias("ttfb_p99_ns"),
+        whole(F.col("q.p50")).alias("ttfb_p50_ns"),
+        F.when(n >= cfg.min_tail_sample, whole(F.col("q.p95"))).alias("ttfb_p95_ns"),
+        F.when(n >= cfg.min_p99_sample, whole(F.col("q.p99"))).alias("ttfb_p99_ns"),
         n.alias("latency_sample"),
         F.when(F.col("c.s3_op") == "GetObject", F.col("q.tput")).alias("throughput_bytes_per_s"),
         "ts_start",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Config
 from tidemark.operators.slices import HALO, SLICE, lagged, prefix, row_halo
+from tidemark.plans.study import split_and_pooled
 from tidemark.session import materialize
 
 
@@ -65,9 +66,12 @@ def sequential_runs(ranges: DataFrame) -> DataFrame:
     return runs.groupBy("app", "base", "run").agg(F.sum(F.col("b1") - F.col("b0") + 1).alias("length"), F.min("b0").alias("first_block"))
 
 
-def hot_objects(trace: DataFrame, k: int = 10) -> DataFrame:
+def hot_objects(trace: DataFrame, k: int = 10, pool: bool = False) -> DataFrame:
+    """Per app the k objects read most; ``pool`` adds those of all apps together, from the counts per app."""
     w = Window.partitionBy("app").orderBy(F.desc("n"), "object_id")
     counted = reads(trace).groupBy("app", "object_id").agg(F.count(F.lit(1)).alias("n"))
+    if pool:
+        counted = split_and_pooled(counted).groupBy("app", "object_id").agg(F.sum("n").alias("n"))
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -33,8 +33,11 @@ def whole_get() -> Column:
     return (F.col("op") == "get") & ~_ranged()
 
 
-def summary(trace: DataFrame) -> DataFrame:
-    """Per app: events, reads, distinct objects, ranged share and size coverage."""
+def summary(trace: DataFrame, pool: bool = False) -> DataFrame:
+    """Per app: events, reads, distinct objects, ranged share and size coverage.
+
+    ``pool`` adds the row of all apps together, from the counts per (app, object): the accesses are read and shuffled once.
+    """
     has_range = F.col("range_start").isNotNull() if "range_start" in trace.columns else F.lit(False)
     per_object = trace.groupBy("app", "object_id").agg(
         F.count(F.lit(1)).alias("events"),
@@ -47,8 +50,12 @@ def summary(trace: DataFrame) -> DataFrame:
         F.min("ts_ns").alias("ts_start"), F.max("ts_ns").alias("ts_end"),
     )
     s = lambda c: F.sum(c).alias(c)
+    counts = ("events", "gets", "whole", "sized", "ranged_excluded", "unplaceable", "body")
+    if pool:
+        both = split_and_pooled(per_object).groupBy("app", "object_id")
+        per_object = both.agg(*[s(c) for c in counts], F.min("ts_start").alias("ts_start"), F.max("ts_end").alias("ts_end"))
     return per_object.groupBy("app").agg(
-        *[s(c) for c in ("events", "gets", "whole", "sized", "ranged_excluded", "unplaceable", "body")],
+        *[s(c) for c in counts],
         F.count_if(F.col("gets") > 0).alias("objects"),
         F.min("ts_start").alias("ts_start"), F.max("ts_end").alias("ts_end"),
     ).select(

@@ -260,6 +260,16 @@ def lookups(events: DataFrame) -> DataFrame:
     )
 
 
+def with_turns(events: DataFrame, days: int = 5) -> DataFrame:
+    """Events with the ``turn`` they arrive in: each is up to a week under way, and a turn takes some days."""
+    return events.withColumn("turn", F.expr(f"CAST((ts_ns + CAST(k AS BIGINT) * k * 60000000000) div {days * 86_400_000_000_000} AS INT)"))
+
+
+def numbered_samples(samples_: DataFrame) -> DataFrame:
+    """The counters of ``samples`` with one number that orders equal times as its ties do."""
+    return samples_.selectExpr("sock_cookie", "ts_ns", "l_orderkey * 8 + l_linenumber AS seq", "bytes_recv", "bytes_sent", "total_retrans")
+
+
 def connects(events: DataFrame) -> DataFrame:
     return events.where("event_type = 'purchase'").selectExpr("concat('10.9.0.', CAST(k % 30 AS STRING)) AS ip", "ts_ns", "event_id AS seq")
 
