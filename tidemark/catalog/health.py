@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog import sql as S
+from tidemark.catalog import timeseries as TS
 from tidemark.catalog.scorecard import evidence_sql
 from tidemark.operators.quantiles import Stat, exact_quantiles
 from tidemark.plans import compare as CP
@@ -11,6 +12,7 @@ from tidemark.plans import findings as FD
 from tidemark.plans import floors as FL
 from tidemark.plans import health as H
 from tidemark.plans.scorecard import capture_window
+from tidemark.session import materialize
 from tidemark.sources import tables as T
 
 
@@ -54,6 +56,15 @@ def _full(conns=T.conns):
     return lambda s, d: H.full_report(T.ops(s, d), conns(s, d), T.sample_clock(s, d))
 
 
+def _open(s, d):
+    """The connections of a capture in which none has closed."""
+    return T.conns(s, d).where(F.lit(False))
+
+
+def _capture(conns=T.conns):
+    return lambda s, d: FD.flatten(H.capture_report(T.ops(s, d), conns(s, d), materialize(T.samples(s, d), "samples"), T.SAMPLE_TIES), with_evidence=True)
+
+
 _GLOBAL = [H.floor_row, H.span_rows, H.retransmit_row, H.http_error_row]
 
 
@@ -145,6 +156,8 @@ QUERIES = {
     "agg27_row_verdict": lambda s, d: H.row_verdict(H.rows(_cap(s, d, _GLOBAL), _GLOBAL)),
     "agg28_overall_verdict": _verdict(T.conns),
     "agg29_health_report": lambda s, d: FD.flatten(_full()(s, d), with_evidence=True),
+    "agg29_capture_report": _capture(),
+    "agg8_agg24_agg29_open_capture_report": _capture(_open),
     "agg29_health_report_one_path": lambda s, d: FD.flatten(_full(_single)(s, d), with_evidence=True),
     "agg30_evidence": lambda s, d: H.op_evidence(T.ops(s, d)).select(
         "finding_id", "row_op", *[F.array_join(F.col("evidence")[p], ",").alias(p) for p in ("op_ids", "sock_cookies", "aws_request_ids")]
@@ -329,7 +342,7 @@ R_PATH = [
 ENV = """env AS (SELECT *, CASE WHEN many THEN 'mixed' WHEN n > 0 AND cross_n = n THEN 'cross-region' WHEN bim THEN 'mixed' WHEN cross_n > 0 THEN 'cross-region'
  WHEN rtt_ms < 10 THEN 'same-region' WHEN rtt_ms IS NOT NULL THEN 'wan-or-cross-region' END AS cls FROM
  (SELECT count(*) AS n, count(*) FILTER (WHERE cross_region) AS cross_n, count(*) FILTER (WHERE via_vpce) AS vp, coalesce(min(region) <> max(region), false) AS many,
-  coalesce(max(live_srtt) / min(live_srtt) >= 5 AND max(live_srtt) / 1000.0 >= 10, false) AS bim, any_value(pool.floor_us) / 1000.0 AS rtt_ms FROM connf, pool))"""
+  coalesce(max(live_srtt) / min(live_srtt) >= 5 AND max(live_srtt) / 1000.0 >= 10, false) AS bim, (SELECT floor_us FROM pool) / 1000.0 AS rtt_ms FROM connf))"""
 R_ENV = [row_sql("environment", "'unjudged'", "cls", "'environment'", "NULL", "none", "n", "0", kind="connection", text="cls",
                  baseline="trunc(rtt_ms * 1000.0)", src="(SELECT * FROM env, win)", where="cls IS NOT NULL")]
 R_OPS = R_FLOOR + R_SPANS + R_RTX + R_ERR + R_TAIL + R_REUSE + R_STATUS + R_TPUT
@@ -448,9 +461,9 @@ ORACLES["jn13_provider_pivot"] = f"""WITH t AS ({ORACLES['jn13_provider_tiers']}
  max(mb_per_s) FILTER (WHERE provider = 'p0') AS p0_mb_per_s, max(think_ms) FILTER (WHERE provider = 'p1') AS p1_think_ms, max(mb_per_s) FILTER (WHERE provider = 'p1') AS p1_mb_per_s FROM t GROUP BY 1"""
 
 
-def full_report_sql(conns: str = S.CONNS) -> str:
+def full_report_sql(conns: str = S.CONNS, floors: str | None = None, more: str = "") -> str:
     rep = " UNION ALL ".join(R_OPS + R_CLASS + R_PATH + R_ENV)
-    base = f"{floors_sql(conns)}, {facts_sql()}, {CLASSES}, {PATH}, {ENV}, rep AS ({rep})"
+    base = f"{floors or floors_sql(conns)}, {facts_sql()}, {CLASSES}, {PATH}, {ENV}, rep AS (({rep}){more})"
     run = f"""{base}, {_VERDICT} SELECT verdict, CASE WHEN verdict = 'ATTENTION' THEN 'warn' WHEN verdict IN ('HEALTHY', 'CHECKS PASSED') THEN 'healthy' ELSE 'unjudged' END AS severity,
  (SELECT count(http_status) FROM ops) + (SELECT count(*) FROM conns) AS judged, (SELECT count(*) - count(http_status) FROM ops) AS excluded,
  (SELECT CAST(max(round(value_num * 1000)) AS BIGINT) FROM rep WHERE finding_id = 'baseline_rtt') AS baseline_rtt_us, (SELECT max(ts_start) FROM rep) AS ts_start, (SELECT max(ts_end) FROM rep) AS ts_end FROM v"""
@@ -461,3 +474,21 @@ UNION ALL BY NAME SELECT 'run' AS finding_id, 'run' AS domain, 'verdict' AS metr
 
 ORACLES["agg29_health_report"] = full_report_sql()
 ORACLES["agg29_health_report_one_path"] = full_report_sql(ONE_PATH)
+
+# the rows about samples stand on the chain of CTEs about segments, and on the window of the whole capture
+_CHAIN, _SERIES = TS.ORACLES["ts_series_rows"].removeprefix("WITH ").split("\nSELECT", 1)
+_SERIES = _SERIES.replace("(SELECT min(ts_ns) FROM samples)", "(SELECT ts_start FROM win)").replace("(SELECT max(ts_ns) FROM samples)", "(SELECT ts_end FROM win)")
+_CEIL = "yc AS (" + TS.ORACLES["agg24_sampled_ceilings"].replace(f"WITH {TS.SHAPE}, cw AS", "WITH cw AS") + ")"
+_ON_SAMPLES = f" UNION ALL BY NAME (SELECT{_SERIES})"
+_CEIL_ROWS = [
+    row_sql(fid, "'unjudged'", "'fyi'", f"'{metric}'", "ceiling", "bytes_per_s", "streams", "0", kind="connection", domain="client", text="note", src="(SELECT * FROM yc, win)", where=f"direction = '{way}'")
+    for fid, metric, way in (("recv_ceiling", "recv_window_ceiling", "down"), ("bdp_ceiling", "bdp_ceiling", "up"))
+]
+_OPEN = S.CONNS.replace("JOIN region ON n_regionkey = r_regionkey)", "JOIN region ON n_regionkey = r_regionkey WHERE false)")
+_POOL = floors_sql().split("pool AS (", 1)[1].split("),\nmix", 1)[0]
+_OPEN_POOL = f"""SELECT {S.mid('min_rtt_us')} AS floor_us, count(min_rtt_us) AS j, count(*) - count(min_rtt_us) AS x, (SELECT count(DISTINCT sock_cookie) FILTER (WHERE sent > 0 OR retrans > 0) FROM st) AS n,
+  (SELECT CAST(sum(sent) AS BIGINT) FROM st) AS sent, (SELECT CAST(sum(retrans) AS BIGINT) FROM st) AS rtx FROM samples"""
+ORACLES["agg29_capture_report"] = full_report_sql(floors=floors_sql().replace(S.SAMPLES, _CHAIN), more=_ON_SAMPLES)
+ORACLES["agg8_agg24_agg29_open_capture_report"] = full_report_sql(
+    floors=floors_sql(_OPEN).replace(S.SAMPLES, f"{_CHAIN}, {_CEIL}").replace(_POOL, _OPEN_POOL), more=_ON_SAMPLES + " UNION ALL BY NAME (" + " UNION ALL ".join(_CEIL_ROWS) + ")"
+)

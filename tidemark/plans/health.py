@@ -15,6 +15,7 @@ from tidemark.functions import columns as C
 from tidemark.operators.quantiles import Stat, exact_quantiles
 from tidemark.plans import findings as FD
 from tidemark.plans import floors as FL
+from tidemark.plans import timeseries as TS
 from tidemark.plans.scorecard import capture_window
 from tidemark.session import materialize
 
@@ -511,6 +512,37 @@ def full_report(
     return with_evidence(out, ops, cfg.max_evidence).unionByName(run_row(out, ops, conns, cfg))
 
 
+def sampled_path_rows(ceilings: DataFrame, conns: DataFrame, window: DataFrame) -> DataFrame:
+    """The ceilings of in-flight samples as rows of the report, only if no connection closed: closed ones tell more.
+
+    Each row is judged over the streams of its own direction.
+    """
+    f = (
+        ceilings.withColumn("closed", conns.agg(F.count(F.lit(1))).scalar())
+        .where(F.col("closed") == 0)
+        .withColumn("w", window.select(F.struct("*")).scalar())
+    )
+    down = F.col("direction") == "down"
+    given = dict(unit="bytes_per_s", judged=F.col("streams"), excluded=0, value_str=F.col("note"))
+    return FD.emit_each(
+        f,
+        [
+            (down, _row("recv_ceiling", "unjudged", "fyi", "recv_window_ceiling", F.col("ceiling"), **given)),
+            (~down, _row("bdp_ceiling", "unjudged", "fyi", "bdp_ceiling", F.col("ceiling"), **given)),
+        ],
+    )
+
+
+def capture_report(ops: DataFrame, conns: DataFrame, samples: DataFrame, ties: tuple[str, ...] = (), cfg: Config = DEFAULT) -> DataFrame:
+    """``full_report`` with everything that in-flight samples tell: throughput, loss timing and queueing, and, where nothing closed,
+    retransmits and ceilings in the place of those of connections. Samples are cut into segments once."""
+    seg, stats, shapes = TS.read_series(samples, ties, cfg)
+    window = capture_window(ops, conns, samples)
+    series = TS.reported_rows(seg, stats, shapes, window, cfg)
+    ceilings = sampled_path_rows(TS.sampled_ceilings(seg, stats, shapes, cfg), conns, window)
+    return full_report(ops, conns, samples, cfg, series.unionByName(ceilings), TS.sent_in_segments(stats))
+
+
 GLOBAL_ROWS = ["baseline_rtt", "dns_cold", "tcp_connect", "ttfb_new", "ttfb_reused", "retransmit_rate", "http_errors"]
 
 

@@ -69,8 +69,13 @@ def segment_stats(seg: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def send_deltas(seg: DataFrame) -> DataFrame:
     """One row: bytes and retransmits sent within segments, and the sockets that moved."""
+    return sent_in_segments(segment_stats(seg))
+
+
+def sent_in_segments(stats: DataFrame) -> DataFrame:
+    """``send_deltas`` from segments already summed up."""
     moved = (F.col("sent") > 0) | (F.col("retrans") > 0)
-    return segment_stats(seg).agg(
+    return stats.agg(
         F.coalesce(F.sum("sent"), F.lit(0)).alias("sent"),
         F.coalesce(F.sum("retrans"), F.lit(0)).alias("retrans"),
         F.count_distinct(F.when(moved, F.col("sock_cookie"))).alias("streams"),
@@ -396,9 +401,19 @@ def sampled_ceilings(seg: DataFrame, stats: DataFrame, shapes: DataFrame, cfg: C
 
 def series_rows(samples: DataFrame, window: DataFrame, ties: tuple[str, ...] = (), cfg: Config = DEFAULT) -> DataFrame:
     """The reported rows about throughput, loss timing and queueing as findings."""
+    return reported_rows(*read_series(samples, ties, cfg), window, cfg)
+
+
+def read_series(samples: DataFrame, ties: tuple[str, ...] = (), cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(segments, their sums, their shapes), each stored: what every row about samples is made of."""
     seg = segments(samples, ties)
     stats = materialize(segment_stats(seg, cfg), "segment-stats")
-    summary = materialize(ramp_summary(materialize(throughput_shapes(seg, stats, ties, cfg), "shapes")), "ramp")
+    return seg, stats, materialize(throughput_shapes(seg, stats, ties, cfg), "shapes")
+
+
+def reported_rows(seg: DataFrame, stats: DataFrame, shapes: DataFrame, window: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """``series_rows`` from samples already read."""
+    summary = materialize(ramp_summary(shapes), "ramp")
     w = window.select(F.struct("*")).scalar()
     base = dict(
         domain="network", severity="unjudged", excluded=0, sample_kind="connection",
