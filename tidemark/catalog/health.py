@@ -57,8 +57,8 @@ def _full(conns=T.conns):
 
 
 def _open(s, d):
-    """The connections of a capture in which none has closed."""
-    return T.conns(s, d).where(F.lit(False))
+    """The connections of a capture in which none has closed: no record carries a close time before the epoch."""
+    return T.conns(s, d).where("ts_ns < 0")
 
 
 def _capture(conns=T.conns):
