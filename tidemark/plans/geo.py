@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT, Config
 from tidemark.functions import columns as C
 from tidemark.operators.quantiles import Stat, exact_quantiles
+from tidemark.session import materialize
 
 
 def region_floors_ms(conns: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -37,19 +38,20 @@ def latency_map(conns: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def placement(latency: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row: nearest, runner-up, farthest, spread and how many regions cluster near."""
-    m = latency.where(F.col("floor_ms").isNotNull())
+    m = materialize(latency.where(F.col("floor_ms").isNotNull()).select("region", "floor_ms", "rank"), "latency")
+    m = m.withColumn("nearest_ms", m.agg(F.min("floor_ms")).scalar())
     near = F.min(F.struct("floor_ms", "region"))
+    gap = F.greatest(F.lit(cfg.cluster_min_ms), cfg.cluster_frac * F.col("nearest_ms"))
     one = m.agg(
         near.alias("n"), F.max(F.struct("floor_ms", "region")).alias("f"), F.count(F.lit(1)).alias("regions"),
         F.min(F.when(F.col("rank") == 2, F.struct("floor_ms", "region"))).alias("r"),
-        F.array_sort(F.collect_list("floor_ms")).alias("floors"),
+        F.count_if(F.col("floor_ms") <= F.col("nearest_ms") + gap).cast("int").alias("clustered"),
     )
-    gap = F.greatest(F.lit(cfg.cluster_min_ms), cfg.cluster_frac * F.col("n.floor_ms"))
     return one.where(F.col("regions") > 0).select(
         "regions", F.col("n.region").alias("nearest"), F.col("n.floor_ms").alias("nearest_ms"), F.col("r.region").alias("runner_up"),
         (F.col("r.floor_ms") - F.col("n.floor_ms")).alias("runner_up_gap_ms"), F.col("f.region").alias("farthest"),
         (F.col("f.floor_ms") - F.col("n.floor_ms")).alias("spread_ms"), (F.col("f.floor_ms") / F.col("n.floor_ms")).alias("spread_ratio"),
-        F.size(F.filter("floors", lambda x: x <= F.col("n.floor_ms") + gap)).alias("clustered"),
+        "clustered",
     )
 
 

@@ -55,18 +55,17 @@ def classify(lines: DataFrame, namespace: str | None = None, max_line_bytes: int
     usable = F.is_valid_utf8("value")
     if max_line_bytes is not None:
         usable = usable & (F.octet_length("value") <= max_line_bytes)
-    kind = F.when(usable, record_kind(F.get_json_object("value", "$.schema"), namespace))
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    df = parse_once(lines, {"_usable": usable, "_kind": kind})
+    sniffed = {"_usable": usable, "_tag": F.when(usable, F.get_json_object("value", "$.schema")), "_tree": F.when(usable, F.try_parse_json("value"))}
+    df = parse_once(lines, sniffed).withColumn("_kind", record_kind(F.col("_tag"), namespace))
     parsed = {
         name: F.when(F.col("_kind") == name, F.from_json("value", f"{ddl}, _corrupt STRING", opts)) for name, ddl in S.SCHEMAS.items()
     }
-    tree = F.try_parse_json("value")
     wrong_type = F.lit(False)
     for f in S.DECIMAL_STRINGS:
-        kind_of = F.schema_of_variant(F.try_variant_get(tree, f"$.{f}", "variant"))
+        kind_of = F.schema_of_variant(F.try_variant_get("_tree", f"$.{f}", "variant"))
         wrong_type = wrong_type | F.coalesce(~kind_of.isin("STRING", "VOID"), F.lit(False))
-    is_object = F.try_parse_json("value").isNotNull() & value.startswith("{")
+    is_object = F.col("_tree").isNotNull() & value.startswith("{")
     df = parse_once(
         df,
         {
@@ -95,7 +94,7 @@ def classify(lines: DataFrame, namespace: str | None = None, max_line_bytes: int
         .when(F.col("_object"), "unknown")
         .otherwise("bad")
     )
-    return parse_once(df, {"outcome": outcome}).drop("_kind", "_usable", "_numeric", "_object")
+    return parse_once(df, {"outcome": outcome}).drop("_kind", "_tag", "_tree", "_usable", "_numeric", "_object")
 
 
 def _typed(df: DataFrame, name: str) -> DataFrame:
