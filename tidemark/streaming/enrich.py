@@ -75,11 +75,15 @@ def enriched_stream(
         *[F.when(F.col("known"), F.col(f"opened.{c}")).alias(n) for c, n in (("ts", "connect_ts"), ("pid", "pid"), ("ip", "ip"))],
         *[F.when(F.col("known") & (F.struct(f"_{c}.ts", f"_{c}.seq") > at), F.col(f"_{c}.v")).alias(c) for c in ("sni", "tls_version", "cipher")],
     )
+    # an address may be asked for all day: answers and connects meet in cells of the reach, and an answer is in its own cell and the next
+    cell = lambda c: F.expr(f"{c} div {resolved_within_ns + 1}L")
+    cells = F.array(cell("ts_ns"), cell("ts_ns") + 1)
     named = _live(answers, ticks, late_by, "ip").where(_only(F.col("host").isNotNull())).select(
-        F.col("ip").alias("a_ip"), F.col("at").alias("a_at"), F.col("ts_ns").alias("a_ts"), F.col("seq").alias("a_seq"), "host"
+        F.col("ip").alias("a_ip"), F.col("at").alias("a_at"), F.col("ts_ns").alias("a_ts"), F.col("seq").alias("a_seq"), "host", F.explode(cells).alias("a_cell")
     )
+    conns = conns.withColumn("cell", cell("connect_ts"))
     reach = _micros(max_life_ns + resolved_within_ns)
-    near = (F.col("ip") == F.col("a_ip")) & (F.col("a_at") <= F.col("at")) & (F.col("a_at") >= F.col("at") - reach)
+    near = (F.col("ip") == F.col("a_ip")) & (F.col("cell") == F.col("a_cell")) & (F.col("a_at") <= F.col("at")) & (F.col("a_at") >= F.col("at") - reach)
     in_time = (F.col("a_ts") <= F.col("connect_ts")) & (F.col("connect_ts") - F.col("a_ts") <= resolved_within_ns)
     own = ["at", "sock_cookie", "seq", "close_ts", "known", "connect_ts", "pid", "ip", "sni", "tls_version", "cipher"]
     resolved = conns.join(named, near & in_time, "left_outer").groupBy(*own).agg(F.max(F.when(F.col("a_ts").isNotNull(), F.struct("a_ts", "a_seq", "host"))).alias("r"))
