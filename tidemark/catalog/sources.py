@@ -19,6 +19,8 @@ from tidemark.streaming import windows as W
 NS = "capture"
 # Fixed value: the capture format's line limit.
 LINE_LIMIT = 1 << 20
+# A compressed file is read by one task.
+LINES_A_FILE = 1_000_000
 
 
 def _op_json(numeric_ts=False):
@@ -67,7 +69,8 @@ def _capture(s, d):
         ).alias("value")
     )
     path = scratch_path(s, "capture")
-    ops.unionByName(c).unionByName(x).write.text(path)
+    # lines repeat their field names and some are padded to a megabyte: compressed they are a small part of that
+    ops.unionByName(c).unionByName(x).write.option("maxRecordsPerFile", LINES_A_FILE).text(path, compression="gzip")
     return path
 
 
