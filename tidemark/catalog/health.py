@@ -62,7 +62,7 @@ def _open(s, d):
 
 
 def _capture(conns=T.conns):
-    return lambda s, d: FD.flatten(H.capture_report(T.ops(s, d), conns(s, d), materialize(T.samples(s, d), "samples"), T.SAMPLE_TIES), with_evidence=True)
+    return lambda s, d: FD.flatten(H.capture_report(T.ops(s, d), conns(s, d), T.samples(s, d, sliced=True), T.SAMPLE_TIES), with_evidence=True)
 
 
 _GLOBAL = [H.floor_row, H.span_rows, H.retransmit_row, H.http_error_row]

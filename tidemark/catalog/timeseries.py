@@ -12,13 +12,14 @@ from tidemark.sources import tables as T
 TIES = T.SAMPLE_TIES
 
 
-def _segments(s, d):
-    return TS.segments(materialize(T.samples(s, d), "samples"), TIES)
+def _segments(s, d, store=False):
+    return TS.segments(T.samples(s, d, sliced=True), TIES, store=store)
 
 
-def _seg(s, d):
-    seg = _segments(s, d)
-    return seg, materialize(TS.segment_stats(seg), "segment-stats")
+def _seg(s, d, store=False):
+    seg = _segments(s, d, store)
+    stats = TS.segment_stats(seg)
+    return seg, stats if TS.known(seg) and not store else materialize(stats, "segment-stats")
 
 
 def _shapes(s, d):
@@ -26,20 +27,22 @@ def _shapes(s, d):
 
 
 def _rates(s, d):
-    return materialize(TS.interval_rates(*_seg(s, d), TIES), "rates")
+    rates = TS.interval_rates(*_seg(s, d), TIES)
+    return rates if TS.known(rates) else materialize(rates, "rates")
 
 
 def _sustained(s, d):
     rates = _rates(s, d)
-    return TS.sustained_rates(rates, materialize(TS.robust_peaks(rates, TIES), "peaks"))
+    peaks = TS.robust_peaks(rates, TIES)
+    return TS.sustained_rates(rates, peaks if TS.known(rates) else materialize(peaks, "peaks"))
 
 
 def _agg(s, d):
-    return TS.aggregate_buckets(*_seg(s, d))
+    return TS.aggregate_buckets(*_seg(s, d, store=True))
 
 
 def _ceilings(s, d):
-    seg, st = _seg(s, d)
+    seg, st = _seg(s, d, store=True)
     return TS.sampled_ceilings(seg, st, materialize(TS.throughput_shapes(seg, st, TIES), "shapes"))
 
 
@@ -61,7 +64,7 @@ QUERIES = {
     "ts10_aggregate_throughput": lambda s, d: TS.aggregate_throughput(materialize(_agg(s, d), "buckets")),
     "ts11_throughput_ramp": lambda s, d: TS.ramp_summary(_shapes(s, d)),
     "ts_series_rows": lambda s, d: FD.flatten(
-        TS.series_rows(materialize(T.samples(s, d), "samples"), capture_window(T.sample_clock(s, d)), TIES)
+        TS.series_rows(T.samples(s, d, sliced=True), capture_window(T.sample_clock(s, d)), TIES)
     ),
     "agg24_sampled_ceilings": _ceilings,
 }

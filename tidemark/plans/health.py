@@ -537,6 +537,7 @@ def capture_report(ops: DataFrame, conns: DataFrame, samples: DataFrame, ties: t
     """``full_report`` with everything that in-flight samples tell: throughput, loss timing and queueing, and, where nothing closed,
     retransmits and ceilings in the place of those of connections. Samples are cut into segments once."""
     seg, stats, shapes = TS.read_series(samples, ties, cfg)
+    samples = seg  # the same rows, stored
     window = capture_window(ops, conns, samples)
     series = TS.reported_rows(seg, stats, shapes, window, cfg)
     ceilings = sampled_path_rows(TS.sampled_ceilings(seg, stats, shapes, cfg), conns, window)

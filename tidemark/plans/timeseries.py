@@ -6,39 +6,90 @@ come from partial aggregation, so one long-lived socket does not own a task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT, Config
 from tidemark.functions import columns as C
 from tidemark.operators.quantiles import Stat, exact_quantiles
-from tidemark.operators.slices import SLICE, lagged, prefix, with_slices
+from tidemark.operators.slices import SLICE, lagged, prefix, uncut, with_slices
 from tidemark.plans import findings as FD
 from tidemark.session import materialize
 
 SEG = ["sock_cookie", "seg"]
 
 
-def segments(samples: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+#: What the rows of ``segments`` know of their whole segment, where sockets fit a task.
+KNOWN = ("_direction", "_t0", "_t1", "_floor_us", "_n_rates", "_peak", "_s", "_e")
+
+
+def known(df: DataFrame) -> bool:
+    """Whether rows carry ``KNOWN``, so that the sums of segments need not be joined to them."""
+    return set(KNOWN) <= set(df.columns)
+
+
+def segments(samples: DataFrame, ties: tuple[str, ...] = (), cfg: Config = DEFAULT, store: bool = True) -> DataFrame:
     """Samples with ``seg`` (a new one whenever a byte counter falls) and ``prev_*`` columns,
-    which are NULL on the first sample of a segment. The result is stored once: every later
-    step reads it several times."""
+    which are NULL on the first sample of a segment. The result is stored once, as most later
+    steps read it several times; without ``store`` only where sockets had to be cut.
+
+    Where no socket has to be cut, the same tasks add what the later steps would join to every row (``KNOWN``); of what is stored then, the
+    rows of a socket lie together, so that later sums by segment are all but done before they are shuffled."""
     cols = ("ts_ns", "bytes_recv", "bytes_sent", "total_retrans", "rcv_ooopack")
-    prev = lagged(
-        with_slices(samples, "ts_ns"), ["sock_cookie"], "ts_ns", {f"prev_{c}": (c, 1) for c in cols}, ties=ties
-    )
+    sliced = samples if SLICE in samples.columns else with_slices(samples, "ts_ns", keys=["sock_cookie"])
+    if not uncut(sliced):
+        sliced = materialize(sliced, "samples")
+    prev = lagged(sliced, ["sock_cookie"], "ts_ns", {f"prev_{c}": (c, 1) for c in cols}, ties=ties)
     reset = (F.col("bytes_recv") < F.col("prev_bytes_recv")) | (F.col("bytes_sent") < F.col("prev_bytes_sent"))
     flagged = prev.withColumn("_reset", F.coalesce(reset, F.lit(False)))
-    out = prefix(flagged, ["sock_cookie"], "ts_ns", {"seg": ("sum", F.col("_reset").cast("int"))}, ties=ties)
-    return materialize(
-        out.select(
-            *samples.columns,
-            SLICE,
-            "seg",
-            *[F.when(~F.col("_reset"), F.col(f"prev_{c}")).alias(f"prev_{c}") for c in cols],
-        ),
-        "segments",
-    )
+    out = prefix(flagged, ["sock_cookie"], "ts_ns", {"seg": ("sum", F.col("_reset").cast("int"))}, ties=ties).select(
+        *[c for c in samples.columns if c != SLICE],
+        SLICE,
+        "seg",
+        *[F.when(~F.col("_reset"), F.col(f"prev_{c}")).alias(f"prev_{c}") for c in cols],
+    )
+    if uncut(sliced):
+        out = _with_known(out, ties, cfg)
+    return materialize(out, "segments") if store or not uncut(sliced) else out
+
+
+def _with_known(seg: DataFrame, ties: tuple[str, ...], cfg: Config) -> DataFrame:
+    """Samples with ``KNOWN``, by windows over whole segments in one order."""
+    ordered = Window.partitionBy(*SEG).orderBy("ts_ns", *ties)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    over = lambda c: c.over(whole)
+    at = ", ".join(("ts_ns", *ties))
+    ahead = lambda c, k: F.expr(f"lead({c}, {k}) IGNORE NULLS OVER (PARTITION BY sock_cookie, seg ORDER BY {at})")
+    three = lambda c: (F.col(c) + ahead(c, 1) + ahead(c, 2)) / 3.0
+    optional = lambda name, kind: F.col(name) if name in seg.columns else F.lit(None).cast(kind)
+    d = seg.withColumns({f"_{x}": _interval(F.lit(x), F.lit(0), optional("delivery_rate_bps", "bigint"))[1] for x in ("down", "up")})
+    d = d.select(
+        "*", over(F.max("bytes_sent")).alias("last_sent"), over(F.max("bytes_recv")).alias("last_recv"),
+        over(F.min("ts_ns")).alias("_t0"), over(F.max("ts_ns")).alias("_t1"),
+        over(F.min(C.usable_rtt(optional("min_rtt_us", "bigint"), cfg))).alias("_floor_us"), three("_down").alias("_down3"), three("_up").alias("_up3"),
+    ).withColumn("_direction", _direction(cfg))
+    t, rate = _interval(F.col("_direction"), F.col("_t0"), optional("delivery_rate_bps", "bigint"))
+    mean = F.when(F.col("_direction") == "down", F.col("_down3")).when(F.col("_direction") == "up", F.col("_up3"))
+    d = d.select("*", t.alias("_t"), rate.alias("_rate"), mean.alias("_mean"))
+    n = over(F.count("_rate"))
+    d = d.select("*", n.alias("_n_rates"), F.when(n < 3, over(F.max("_rate"))).otherwise(over(F.max("_mean"))).alias("_peak"))
+    active = F.when(F.col("_rate") >= cfg.ts_idle_frac * F.col("_peak"), F.col("_t"))
+    return d.select(*seg.columns, *KNOWN[:-2], over(F.min(active)).alias("_s"), over(F.max(active)).alias("_e"))
+
+
+def _direction(cfg: Config) -> Column:
+    up = (F.col("last_sent") > F.col("last_recv")) & (F.col("last_sent") >= cfg.min_directional_bytes)
+    down = (F.col("last_recv") > F.col("last_sent")) & (F.col("last_recv") >= cfg.min_directional_bytes)
+    return F.when(up, "up").when(down, "down")
+
+
+def _interval(direction: Column, start: Column, delivery: Column) -> tuple[Column, Column]:
+    """(t, rate) of a sample of a segment with this direction and start; null where it has no direction."""
+    ts, prev, t0 = (c.cast("double") for c in (F.col("ts_ns"), F.col("prev_ts_ns"), start))
+    dt = F.col("ts_ns") - F.col("prev_ts_ns")
+    down, up = direction == "down", direction == "up"
+    rate = F.when(down, F.when(dt > 0, (F.col("bytes_recv") - F.col("prev_bytes_recv")).cast("double") / (dt / 1e9))).when(up, delivery.cast("double"))
+    return F.when(down, (prev + ts) / 2.0 - t0).when(up, ts - t0), rate
 
 
 def segment_stats(seg: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -46,8 +97,6 @@ def segment_stats(seg: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     first = lambda c: F.min_by(c, "ts_ns")
     last = lambda c: F.max_by(c, "ts_ns")
     floor = C.usable_rtt(F.col("min_rtt_us"), cfg)
-    up = (F.col("last_sent") > F.col("last_recv")) & (F.col("last_sent") >= cfg.min_directional_bytes)
-    down = (F.col("last_recv") > F.col("last_sent")) & (F.col("last_recv") >= cfg.min_directional_bytes)
     # byte counters never fall inside a segment, so their extremes are its first and last values
     return (
         seg.groupBy(*SEG)
@@ -63,7 +112,7 @@ def segment_stats(seg: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
             F.max(F.when(F.col("rcv_wnd") > 0, F.col("rcv_wnd"))).alias("max_rcv_wnd"),
         )
         .withColumn("sent", F.col("last_sent") - F.col("first_sent"))
-        .withColumn("direction", F.when(up, "up").when(down, "down"))
+        .withColumn("direction", _direction(cfg))
     )
 
 
@@ -82,26 +131,27 @@ def sent_in_segments(stats: DataFrame) -> DataFrame:
     )
 
 
-def _with_stats(seg: DataFrame, stats: DataFrame) -> DataFrame:
-    return seg.join(stats, SEG)
+def _with_stats(seg: DataFrame, stats: DataFrame, where: str, *cols: str) -> DataFrame:
+    """Samples of the segments of which ``where`` is true, with these columns of their sums."""
+    if not known(seg):
+        return seg.join(stats.where(where).select(*SEG, *cols), SEG)
+    named = seg.where(F.col("sock_cookie").isNotNull()).withColumns({c: F.col(f"_{c}") for c in ("direction", "t0", "t1", "floor_us")})
+    return named.where(where)
 
 
 def interval_rates(seg: DataFrame, stats: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """(segment, t, rate): received bytes over the interval at its midpoint for downloads,
     the sampled delivery rate for uploads; t counts from the segment start."""
-    s = _with_stats(seg, stats.where(F.col("direction").isNotNull()).select(*SEG, "direction", "t0"))
-    ts, prev, t0 = (F.col(c).cast("double") for c in ("ts_ns", "prev_ts_ns", "t0"))
-    dt = F.col("ts_ns") - F.col("prev_ts_ns")
-    down = F.col("direction") == "down"
-    rate = F.when(down, F.when(dt > 0, (F.col("bytes_recv") - F.col("prev_bytes_recv")).cast("double") / (dt / 1e9))).otherwise(
-        F.col("delivery_rate_bps").cast("double")
-    )
-    t = F.when(down, (prev + ts) / 2.0 - t0).otherwise(ts - t0)
-    return s.select(*SEG, SLICE, "ts_ns", *ties, "direction", t.alias("t"), rate.alias("rate")).where(F.col("rate").isNotNull())
+    s = _with_stats(seg, stats, "direction IS NOT NULL", "direction", "t0")
+    t, rate = _interval(F.col("direction"), F.col("t0"), F.col("delivery_rate_bps"))
+    told = [c for c in KNOWN if c in s.columns]
+    return s.select(*SEG, SLICE, "ts_ns", *ties, "direction", t.alias("t"), rate.alias("rate"), *told).where(F.col("rate").isNotNull())
 
 
 def robust_peaks(rates: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
     """Per segment the best three-interval moving mean (the plain maximum below three)."""
+    if known(rates):
+        return rates.groupBy(*SEG).agg(F.max("_n_rates").alias("n_rates"), F.max("_peak").alias("peak"))
     three = lagged(rates, SEG, "ts_ns", {"r1": ("rate", -1), "r2": ("rate", -2)}, ties=ties)
     mean = (F.col("rate") + F.col("r1") + F.col("r2")) / 3.0
     return three.groupBy(*SEG).agg(
@@ -112,11 +162,19 @@ def robust_peaks(rates: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
 
 def sustained_rates(rates: DataFrame, peaks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Per segment the median of the rates that are not idle against its peak."""
+    if known(rates):
+        return rates.groupBy(*SEG).agg(F.max("_n_rates").alias("n_rates"), F.max("_peak").alias("peak"), _sustained(cfg).alias("sustained"))
     active = rates.join(peaks, SEG).where(F.col("rate") >= cfg.ts_idle_frac * F.col("peak"))
     mids = exact_quantiles(active, SEG, {"r": F.col("rate")}, [Stat("sustained", "r", "mid")])
     return peaks.join(mids.select(*SEG, "sustained"), SEG, "left").withColumn("sustained", F.coalesce("sustained", "peak"))
 
 
+def _sustained(cfg: Config) -> Column:
+    """``sustained`` as an aggregate over the rates of a segment that fits a task."""
+    active = F.when(F.col("rate") >= cfg.ts_idle_frac * F.col("_peak"), F.col("rate"))
+    return F.coalesce(F.percentile(active, 0.5), F.max("_peak"))
+
+
 def _third(rel: Column) -> Column:
     return F.when(rel < 1.0 / 3.0, 0).when(rel < 2.0 / 3.0, 1).otherwise(2)
 
@@ -124,6 +182,8 @@ def _third(rel: Column) -> Column:
 def throughput_shapes(seg: DataFrame, stats: DataFrame, ties: tuple[str, ...] = (), cfg: Config = DEFAULT) -> DataFrame:
     """One row per directional segment: sustained and peak rate, shape, time to 90 % of peak,
     loss by thirds of the active window, and whether the sender went idle at the end."""
+    if known(seg):
+        return _shaped(_shapes_at_once(seg, cfg), cfg)
     rates = materialize(interval_rates(seg, stats, ties), "rates")
     base = materialize(sustained_rates(rates, materialize(robust_peaks(rates, ties), "peaks"), cfg), "sustained")
     idle = cfg.ts_idle_frac * F.col("peak")
@@ -132,22 +192,46 @@ def throughput_shapes(seg: DataFrame, stats: DataFrame, ties: tuple[str, ...] =
         .groupBy(*SEG, "direction", "n_rates", "peak", "sustained")
         .agg(F.min(F.when(F.col("rate") >= idle, F.col("t"))).alias("s"), F.max(F.when(F.col("rate") >= idle, F.col("t"))).alias("e"))
         .withColumn("aw", F.col("e") - F.col("s"))
-        .withColumn("judgeable", (F.col("n_rates") >= cfg.min_ts_intervals) & (F.col("aw") > 0) & (F.col("peak") > 0))
+        .withColumn("judgeable", _judgeable(cfg))
     )
-    rel = F.col("t") - F.col("s")
-    inside = F.col("judgeable") & (F.col("t") >= F.col("s")) & (F.col("t") <= F.col("e"))
-    part = lambda lo, hi: F.avg(F.when(inside & (rel >= lo) & (rel <= hi), F.col("rate")))
     aw = F.col("aw")
     shape = (
         rates.join(window.drop("direction"), SEG)
         .groupBy(*SEG)
-        .agg(
-            part(aw / 3.0, aw * 2.0 / 3.0).alias("middle"),
-            part(aw * 2.0 / 3.0, aw).alias("last"),
-            F.min(F.when(inside & (F.col("rate") >= 0.9 * F.col("peak")), rel / F.when(aw > 0, aw) * 100.0)).alias("t90_pct"),
-        )
+        .agg(*_course())
     )
     w = materialize(window.join(shape, SEG), "windows")
+    joined = seg.join(stats.select(*SEG, "t0", "t1"), SEG).join(w.select(*SEG, "direction", "s", "e", "aw", "judgeable"), SEG)
+    return _shaped(w.join(joined.groupBy(*SEG).agg(*_events()), SEG), cfg)
+
+
+def _shapes_at_once(seg: DataFrame, cfg: Config) -> DataFrame:
+    """What ``throughput_shapes`` judges by, in one aggregate over samples that know their segment."""
+    s = _with_stats(seg, seg, "direction IS NOT NULL AND _n_rates > 0")
+    t, rate = _interval(F.col("direction"), F.col("t0"), F.col("delivery_rate_bps"))
+    s = s.withColumns({"t": t, "rate": rate, "n_rates": F.col("_n_rates"), "peak": F.col("_peak"), "s": F.col("_s"), "e": F.col("_e")})
+    s = s.withColumn("aw", F.col("e") - F.col("s")).withColumn("judgeable", _judgeable(cfg))
+    return s.groupBy(*SEG).agg(*[F.max(c).alias(c) for c in ("direction", "n_rates", "peak", "judgeable")], _sustained(cfg).alias("sustained"), *_course(), *_events())
+
+
+def _judgeable(cfg: Config) -> Column:
+    return (F.col("n_rates") >= cfg.min_ts_intervals) & (F.col("aw") > 0) & (F.col("peak") > 0)
+
+
+def _course() -> list[Column]:
+    """How a segment's rates run within its active window."""
+    rel, aw = F.col("t") - F.col("s"), F.col("aw")
+    inside = F.col("judgeable") & (F.col("t") >= F.col("s")) & (F.col("t") <= F.col("e"))
+    part = lambda lo, hi: F.avg(F.when(inside & (rel >= lo) & (rel <= hi), F.col("rate")))
+    return [
+        part(aw / 3.0, aw * 2.0 / 3.0).alias("middle"),
+        part(aw * 2.0 / 3.0, aw).alias("last"),
+        F.min(F.when(inside & (F.col("rate") >= 0.9 * F.col("peak")), rel / F.when(aw > 0, aw) * 100.0)).alias("t90_pct"),
+    ]
+
+
+def _events() -> list[Column]:
+    """Losses of a segment by thirds of its active window, and whether its sender went idle at the end."""
     middle = (F.col("prev_ts_ns").cast("double") + F.col("ts_ns").cast("double")) / 2.0 - F.col("t0").cast("double")
     late = (F.col("ts_ns").cast("double") - F.col("t0").cast("double")) >= 2.0 / 3.0 * (F.col("t1").cast("double") - F.col("t0").cast("double"))
     lost = F.greatest(
@@ -156,19 +240,20 @@ def throughput_shapes(seg: DataFrame, stats: DataFrame, ties: tuple[str, ...] =
         ),
         F.lit(0),
     )
-    joined = seg.join(stats.select(*SEG, "t0", "t1"), SEG).join(w.select(*SEG, "direction", "s", "e", "aw", "judgeable"), SEG)
     third = _third((middle - F.col("s")) / F.when(F.col("aw") > 0, F.col("aw")))
     in_window = F.col("judgeable") & (middle >= F.col("s")) & (middle <= F.col("e"))
-    events = joined.groupBy(*SEG).agg(
+    return [
         *[F.coalesce(F.sum(F.when(in_window & (third == i), lost)), F.lit(0)).alias(f"loss_{i}") for i in range(3)],
         F.coalesce(
             F.max((F.col("direction") == "up") & (F.col("t1") > F.col("t0")) & F.col("rate_app_limited") & late), F.lit(False)
         ).alias("app_limited"),
-    )
+    ]
+
+
+def _shaped(w: DataFrame, cfg: Config) -> DataFrame:
     rising = (F.col("middle") > 0) & (F.col("last") > cfg.ts_ramp_margin * F.col("middle"))
     return (
-        w.join(events, SEG)
-        .withColumn(
+        w.withColumn(
             "shape",
             F.when(~F.col("judgeable"), "short")
             .when(F.coalesce(rising, F.lit(False)), "ramping")
@@ -186,7 +271,7 @@ def queueing(seg: DataFrame, stats: DataFrame, cfg: Config = DEFAULT) -> DataFra
     span = F.greatest(F.col("t1").cast("double") - F.col("t0").cast("double"), F.lit(1.0))
     third = _third((F.col("ts_ns").cast("double") - F.col("t0").cast("double")) / span)
     return (
-        _with_stats(seg, stats.where(F.col("floor_us") > 0).select(*SEG, "t0", "t1", "floor_us"))
+        _with_stats(seg, stats, "floor_us > 0", "t0", "t1", "floor_us")
         .groupBy(*SEG)
         .agg(
             F.max(ratio).alias("worst_ratio"),
@@ -206,7 +291,7 @@ def aggregate_buckets(seg: DataFrame, stats: DataFrame, cfg: Config = DEFAULT) -
     covers a bucket in full has no edge there, and sockets add up the same way.
     """
     w = cfg.agg_bucket_ns
-    s = _with_stats(seg, stats.where(F.col("direction").isNotNull()).select(*SEG, "direction"))
+    s = _with_stats(seg, stats, "direction IS NOT NULL", "direction")
     moved = F.greatest(
         F.when(F.col("direction") == "down", F.col("bytes_recv") - F.col("prev_bytes_recv")).otherwise(
             F.col("bytes_sent") - F.col("prev_bytes_sent")
@@ -361,9 +446,11 @@ def sampled_ceilings(seg: DataFrame, stats: DataFrame, shapes: DataFrame, cfg: C
     Downloads: peak receive window over the RTT floor; uploads: median cwnd x MSS over it.
     The medians are over segments whose throughput is known, or over all when none is.
     """
-    cwnd = exact_quantiles(
-        seg, SEG, {"c": F.when(F.col("snd_cwnd") > 0, F.col("snd_cwnd"))}, [Stat("cwnd", "c", "mid")]
-    ).select(*SEG, "cwnd")
+    window_size = F.when(F.col("snd_cwnd") > 0, F.col("snd_cwnd"))
+    if known(seg):
+        cwnd = seg.groupBy(*SEG).agg(F.percentile(window_size, 0.5).alias("cwnd"))
+    else:
+        cwnd = exact_quantiles(seg, SEG, {"c": window_size}, [Stat("cwnd", "c", "mid")]).select(*SEG, "cwnd")
     s = (
         stats.where((F.col("floor_us") > 0) & F.col("direction").isNotNull())
         .join(cwnd, SEG, "left")
@@ -374,11 +461,11 @@ def sampled_ceilings(seg: DataFrame, stats: DataFrame, shapes: DataFrame, cfg: C
         "ceiling",
         F.when(F.col("direction") == "down", F.col("max_rcv_wnd") / rtt).otherwise(F.col("cwnd") * float(cfg.mss_bytes) / rtt),
     ).where(F.col("ceiling").isNotNull())
-    known = F.col("sustained").isNotNull()
+    measured = F.col("sustained").isNotNull()
     mids = exact_quantiles(
         s,
         ["direction"],
-        {"all": F.col("ceiling"), "k": F.when(known, F.col("ceiling")), "r": F.col("sustained")},
+        {"all": F.col("ceiling"), "k": F.when(measured, F.col("ceiling")), "r": F.col("sustained")},
         [Stat("ceiling_all", "all", "mid"), Stat("ceiling_known", "k", "mid"), Stat("achieved", "r", "mid")],
     )
     tally = s.groupBy("direction").agg(
@@ -406,7 +493,7 @@ def series_rows(samples: DataFrame, window: DataFrame, ties: tuple[str, ...] = (
 
 def read_series(samples: DataFrame, ties: tuple[str, ...] = (), cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(segments, their sums, their shapes), each stored: what every row about samples is made of."""
-    seg = segments(samples, ties)
+    seg = segments(samples, ties, cfg)
     stats = materialize(segment_stats(seg, cfg), "segment-stats")
     return seg, stats, materialize(throughput_shapes(seg, stats, ties, cfg), "shapes")
 
