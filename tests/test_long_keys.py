@@ -87,7 +87,7 @@ def test_capture_lines_are_stored_compressed(spark, tmp_path):
     lines = spark.read.text(CS._capture(spark, str(tmp_path)))
     assert all(f.endswith(".gz") for f in lines.inputFiles())
     assert lines.count() == 2060
-    assert lines.where("length(value) > 1048576").count() == 2
+    assert lines.where("length(value) > 1048576").count() == 3
 
 
 def test_answers_meet_connects_in_cells_of_time(spark, tmp_path):
