@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,17 @@ def test_dual_coordinate_descent_reaches_the_optimum():
         return v - 2 * x.T @ (cost * slack * y)
 
     assert np.abs(gradient(np.append(w, b))).max() < 0.05
+
+
+def test_language_features_take_two_bytes_a_bucket():
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(n)) for n in (1500, 4000)] + ["word " * 70_000, "the", "", "é" * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * len(texts)), pa.array(texts)], ["label", "text"])
+    (got,) = langid._counted(iter([batch]))
+    sizes, gaps, counts = (got.column(c).to_pylist() for c in ("n", "gaps", "counts"))
+    for text, n, g, c in zip(texts, sizes, gaps, counts, strict=True):
+        data = np.frombuffer(f" {text.lower()} ".encode(), np.uint8)
+        found = np.bincount(np.concatenate(list(langid._subwords(data))), minlength=langid.BUCKETS + 1)[: langid.BUCKETS]
+        assert np.array_equal(np.cumsum(langid._unpacked(g, n), dtype=np.uint16), np.flatnonzero(found))
+        assert np.array_equal(langid._unpacked(c, n), found[found > 0])
+    assert all(len(g) + len(c) == 2 * n for n, g, c in list(zip(sizes, gaps, counts, strict=True))[:2])
