@@ -76,7 +76,7 @@ def _capture(s, d):
 
 def _live_operations(s, d):
     """The same capture as a stream of lines, landed and read as a table."""
-    lines = CA.read_line_stream(s, _capture(s, d), max_files=2)
+    lines = CA.read_line_stream(s, _capture(s, d))
     return W.run_once(CA.operations(CA.classify(lines, NS, LINE_LIMIT)), "live-capture").drop("batch")
 
 
@@ -135,7 +135,7 @@ QUERIES = {
     "src7_load_accounting": lambda s, d: AC.load_accounting(_access(s, d)),
     "src2_observed_accounting": lambda s, d: s.createDataFrame([CA.load(_classified(s, d))[1]]),
     "src2_observed_live_accounting": lambda s, d: W.run_counted(
-        CA.classify(CA.read_line_stream(s, _capture(s, d), max_files=2), NS, LINE_LIMIT), "counted-capture", CA.operations, CA.counts()
+        CA.classify(CA.read_line_stream(s, _capture(s, d)), NS, LINE_LIMIT), "counted-capture", CA.operations, CA.counts()
     )[1],
     "src7_observed_accounting": lambda s, d: s.createDataFrame([AC.load(_access(s, d))[1]]),
     "src8_findings_sink": lambda s, d: _sunk(s, d, "findings").select(

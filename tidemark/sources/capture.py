@@ -15,9 +15,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def read_line_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """The same lines as a stream; ``classify`` and ``records`` work on it unchanged."""
-    return spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+#: Files of a micro-batch for each task that can run at once, where none are named.
+FILES_A_TASK = 4
+
+
+def read_line_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The same lines as a stream; ``classify`` and ``records`` work on it unchanged.
+
+    A compressed file is read by one task, so a micro-batch of fewer files than tasks leaves cores idle: unless ``max_files`` says
+    otherwise, it takes some for every task that can run at once.
+    """
+    return spark.readStream.option("maxFilesPerTrigger", max_files or FILES_A_TASK * spark.sparkContext.defaultParallelism).text(path)
 
 
 def record_kind(tag: Column, namespace: str | None = None) -> Column:
