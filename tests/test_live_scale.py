@@ -33,3 +33,24 @@ def test_a_micro_batch_of_the_live_capture_has_files_for_all_cores(spark, tables
     assert seen[0].select("batch").distinct().count() == 1
     counts = CS.QUERIES["src2_observed_live_accounting"](spark, tables).first()
     assert counts.asDict() == CS.QUERIES["src2_src3_parse_accounting"](spark, tables).first().asDict()
+
+
+def test_a_socket_waits_in_few_values(spark):
+    """Thousands of samples of a socket in one micro-batch are one element of its state, and numbers beside nulls stay whole."""
+    from tidemark.streaming import correlation as SR
+    from tidemark.streaming import counters as CN
+
+    big = (1 << 60) + 1
+    rows = spark.range(3000).selectExpr(
+        "CAST(id % 2 AS STRING) AS sock_cookie", "1700000000000000000 + id * 1000000 AS ts_ns", "id AS seq", f"{big} + id * 7 AS bytes_recv",
+        "CASE WHEN id % 10 > 5 THEN id END AS bytes_sent", "id AS total_retrans",
+    )
+    stream = W.folder_stream(rows.coalesce(1), "t-packed")
+    path, log = W.scratch_path(spark, "t-packed-out"), W.scratch_path(spark, "t-packed-log")
+    W.drain(CN.gains(stream, late_by="1 hour"), path, log)
+    waits = SR.state_table(log, spark, "waiting").collect()
+    assert len(waits) == 2 and sum(len(r.samples) for r in waits) < 3000 * 48
+    got = W.run_to_end(lambda ticks: CN.gain_windows(stream, ticks, timeout_ms=10**9), spark, "t-packed-end").collect()
+    assert sum(r.samples for r in got) == 3000 and sum(r.segments_begun for r in got) == 2
+    sent = [(i, i - 2) for i in range(2, 3000) if i % 10 > 5 and (i - 2) % 10 > 5]
+    assert (sum(r.received for r in got), sum(r.sent for r in got), sum(r.retrans for r in got)) == (14 * 2998, 2 * len(sent), 2 * 2998)
