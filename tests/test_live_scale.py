@@ -54,3 +54,21 @@ def test_a_socket_waits_in_few_values(spark):
     assert sum(r.samples for r in got) == 3000 and sum(r.segments_begun for r in got) == 2
     sent = [(i, i - 2) for i in range(2, 3000) if i % 10 > 5 and (i - 2) % 10 > 5]
     assert (sum(r.received for r in got), sum(r.sent for r in got), sum(r.retrans for r in got)) == (14 * 2998, 2 * len(sent), 2 * 2998)
+
+
+def test_a_connect_meets_spans_and_not_every_answer(spark):
+    """Three thousand answers of one address within the reach: the join's state holds their spans."""
+    from tidemark.streaming import enrich as EN
+
+    s0 = 1_700_000_000_000_000_000
+    sockets = spark.createDataFrame(
+        [("s", s0 + 2999 * 10**6, 1, "connect", 1, "x", None, None, None), ("s", s0 + 3001 * 10**6, 2, "close", 1, None, None, None, None), ("t", s0 + 9000 * 10**9, 3, "close", 1, None, None, None, None)],
+        "sock_cookie string, ts_ns long, seq long, kind string, pid int, ip string, sni string, tls_version string, cipher int",
+    )
+    answers = spark.sql(f"SELECT 'x' AS ip, {s0} + id * 1000000 AS ts_ns, id AS seq, concat('n', id) AS host FROM range(3000) UNION ALL SELECT 'y', {s0} + 9000000000000, 9, 'n'")
+    regions = spark.createDataFrame([("x", "here")], "ip string, region string")
+    live = EN.enriched_stream(W.folder_stream(sockets, "t-spans-s"), W.folder_stream(answers, "t-spans-a"), regions)
+    q = live.writeStream.format("memory").queryName("t_spans").outputMode("append").option("checkpointLocation", W.scratch_path(spark, "t-spans")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    held = [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"] if o["operatorName"] == "symmetricHashJoin"]
+    assert held and max(held) < 200

@@ -2,19 +2,25 @@
 
 ``plans.correlate.enriched_connections`` says what a record holds; this is its streaming twin. Closes meet the other events of
 their socket in a stream-stream left outer join, and the address they were opened to meets its resolutions in a second
-one. Both joins are bounded in event time, so their state is, and each is followed by an aggregate by close that keeps the
-latest partner: four stateful operators in a chain, without a line of state code. A close leaves once the
-watermarks of both sides have passed it, with nulls for partners that never came.
+one, where they wait gathered by short spans of time. Both joins are bounded in event time, so their state is, and each is followed by an
+aggregate by close that keeps the latest partner: five stateful operators, without a line of state code. A close leaves
+once the watermarks of both sides have passed it (the span of its connect, too), with nulls for partners that never came.
 """
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.correlate import MAX_LIFE_NS, RESOLVED_WITHIN_NS, enriched_columns
 
 
+#: Spans of time in the reach of a resolution.
+SPANS = 24
+
+
 def _live(events: DataFrame, ticks: DataFrame | None, late_by: str, key: str) -> DataFrame:
     """Events with their event time and watermark; ticks are rows of a clock alone, which let the watermark of a side that is silent go on.
 
@@ -75,18 +81,29 @@ def enriched_stream(
         *[F.when(F.col("known"), F.col(f"opened.{c}")).alias(n) for c, n in (("ts", "connect_ts"), ("pid", "pid"), ("ip", "ip"))],
         *[F.when(F.col("known") & (F.struct(f"_{c}.ts", f"_{c}.seq") > at), F.col(f"_{c}.v")).alias(c) for c in ("sni", "tls_version", "cipher")],
     )
-    # an address may be asked for all day: answers and connects meet in cells of the reach, and an answer is in its own cell and the next
-    cell = lambda c: F.expr(f"{c} div {resolved_within_ns + 1}L")
-    cells = F.array(cell("ts_ns"), cell("ts_ns") + 1)
-    named = _live(answers, ticks, late_by, "ip").where(_only(F.col("host").isNotNull())).select(
-        F.col("ip").alias("a_ip"), F.col("at").alias("a_at"), F.col("ts_ns").alias("a_ts"), F.col("seq").alias("a_seq"), "host", F.explode(cells).alias("a_cell")
+    # an address may be asked for all day: its answers are gathered by short spans of time, so that a connect meets a bounded number of spans
+    # and looks into its own only. Connects and spans meet in cells of the reach; a span is in its own cell and the next
+    width = max(1, resolved_within_ns // 1000 // SPANS)
+    reach = -(-(resolved_within_ns // 1000 + 1) // width)
+    span_of = lambda us: F.expr(f"({us} - pmod({us}, {width}L)) div {width}L")
+    cell_of = lambda span: F.expr(f"({span} - pmod({span}, {reach}L)) div {reach}L")
+    named = (
+        _live(answers, ticks, late_by, "ip").where(_only(F.col("host").isNotNull()))
+        .groupBy(F.window("at", f"{width} microseconds").alias("w"), "ip")
+        .agg(F.collect_list(F.struct(F.col("ts_ns").alias("a_ts"), F.col("seq").alias("a_seq"), "host")).alias("answers"))
+        .select(F.col("ip").alias("a_ip"), F.window_time("w").alias("a_at"), F.unix_micros("w.start").alias("start_us"), "answers")
+        .withColumn("a_span", span_of("start_us"))
+        .select("a_ip", "a_at", "a_span", "answers", F.array_max("answers").alias("newest"), F.explode(F.array(cell_of("a_span"), cell_of("a_span") + 1)).alias("a_cell"))
     )
-    conns = conns.withColumn("cell", cell("connect_ts"))
-    reach = _micros(max_life_ns + resolved_within_ns)
-    near = (F.col("ip") == F.col("a_ip")) & (F.col("cell") == F.col("a_cell")) & (F.col("a_at") <= F.col("at")) & (F.col("a_at") >= F.col("at") - reach)
-    in_time = (F.col("a_ts") <= F.col("connect_ts")) & (F.col("connect_ts") - F.col("a_ts") <= resolved_within_ns)
+    conns = conns.withColumn("connect_us", F.expr("connect_ts div 1000")).withColumn("span", span_of("connect_us"))
+    # a close without a connect meets nothing, but waits as the others do: not all of them in one task
+    conns = conns.withColumn("cell", F.coalesce(cell_of("span"), F.xxhash64("sock_cookie", "seq")))
+    bounds = (F.col("a_at") <= F.col("at") + F.lit(timedelta(microseconds=width + 1))) & (F.col("a_at") >= F.col("at") - _micros(max_life_ns + resolved_within_ns))
+    near = (F.col("ip") == F.col("a_ip")) & (F.col("cell") == F.col("a_cell")) & (F.col("a_span") <= F.col("span")) & (F.col("a_span") >= F.col("span") - reach)
+    in_time = lambda x: (x["a_ts"] <= F.col("connect_ts")) & (F.col("connect_ts") - x["a_ts"] <= resolved_within_ns)
+    latest = F.when(F.col("a_span") == F.col("span"), F.array_max(F.filter("answers", in_time))).when(in_time(F.col("newest")), F.col("newest"))
     own = ["at", "sock_cookie", "seq", "close_ts", "known", "connect_ts", "pid", "ip", "sni", "tls_version", "cipher"]
-    resolved = conns.join(named, near & in_time, "left_outer").groupBy(*own).agg(F.max(F.when(F.col("a_ts").isNotNull(), F.struct("a_ts", "a_seq", "host"))).alias("r"))
+    resolved = conns.join(named, near & bounds, "left_outer").withColumn("latest", latest).groupBy(*own).agg(F.max("latest").alias("r"))
     return (
         resolved.join(regions.select(F.col("ip").alias("r_ip"), "region"), F.col("ip") == F.col("r_ip"), "left")
         .select("*", F.col("r.host").alias("host"), F.col("r.a_ts").alias("resolved_ts"))
